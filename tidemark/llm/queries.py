@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.lines import remove_boilerplate
 from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.substring import remove_repeats
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,8 +20,33 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder), shingle=4)
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = remove_repeats(_documents(spark, folder), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = remove_boilerplate(_documents(spark, folder), min_sites=10)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op8_line_dedup": op8_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": r"""
+        WITH lines AS (
+          SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+        ), keyed AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS k FROM lines),
+        common AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10),
+        kept AS (
+          SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM common)) AS n_removed,
+                 coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE k NOT IN (SELECT k FROM common)), '') AS t
+          FROM keyed GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+               CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(t, '')) END AS kept_sha256
+        FROM documents d LEFT JOIN kept USING (doc_id)""",
+}
