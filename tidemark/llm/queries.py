@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.lines import remove_boilerplate
 from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.quality import with_quality
 from tidemark.llm.substring import remove_repeats
 
 
@@ -30,10 +31,21 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _fold(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    out = with_quality(_documents(spark, folder), labels, train_where=_fold(3) != 1)
+    return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
