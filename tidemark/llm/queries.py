@@ -11,6 +11,7 @@ from tidemark.llm.lines import remove_boilerplate
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.quality import with_quality
 from tidemark.llm.substring import remove_repeats
+from tidemark.llm.toxicity import with_toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +36,12 @@ def _fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    out = with_toxicity(_documents(spark, folder), labels, train_where=_fold(5) != 0)
+    return out.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     out = with_quality(_documents(spark, folder), labels, train_where=_fold(3) != 1)
@@ -44,6 +51,7 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_toxicity": op5_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
 }
