@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.lines import remove_boilerplate
 from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.perplexity import quality_rules
 from tidemark.llm.quality import with_quality
 from tidemark.llm.substring import remove_repeats
 from tidemark.llm.toxicity import with_toxicity
+from tidemark.llm.vectors import near_vectors
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder), shingle=4)
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"), cosine=0.98)
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = remove_repeats(_documents(spark, folder), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -48,12 +54,18 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(_documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
