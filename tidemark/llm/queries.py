@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.lines import remove_boilerplate
 from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.mixing import mix
+from tidemark.llm.packing import best_fit
 from tidemark.llm.perplexity import quality_rules
 from tidemark.llm.quality import with_quality
 from tidemark.llm.substring import remove_repeats
+from tidemark.llm.tokens import read_ranks, with_token_counts
 from tidemark.llm.toxicity import with_toxicity
 from tidemark.llm.vectors import near_vectors
+from tidemark.llm.work import written
+
+#: A public vocabulary of 50,256 pieces; a parameter, never copied.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Target weights of domains and of languages within each; all others are 1.
+DOMAINS = ["web", "books", "news", "code"]
+WEIGHTS = {("web",): 3, ("books",): 5, ("news",): 1, ("code",): 1} | {(d, "en"): 4 for d in DOMAINS} | {("web", "en", "src0"): 2}
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,6 +43,26 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def with_domain(docs: DataFrame) -> DataFrame:
+    """docs with a domain by the number that ends the source's name."""
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) as int)")
+    return docs.withColumn("domain", F.coalesce(F.get(F.array(*map(F.lit, DOMAINS)), number % len(DOMAINS)), F.lit("other")))
+
+
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    rows = written(with_domain(_documents(spark, folder)).select("doc_id", "domain", "lang", "source", words.alias("n_tokens")), "mix-input")
+    return mix(rows, WEIGHTS, share=1.0, max_epochs=2)
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return with_token_counts(_documents(spark, folder), read_ranks(VOCABULARY)).select("doc_id", "n_words", "n_tokens")
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit(op6_token_counts(spark, folder))
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = remove_boilerplate(_documents(spark, folder), min_sites=10)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -62,13 +92,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
+    "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
+
+def _fill_sql(k: int) -> str:
+    """Budgets of level k (1 to 3) from those of the level above, as for Spark."""
+    path, parent = ["domain", "lang", "source"][:k], ["domain", "lang"][: k - 1]
+    name, cols, part = path[-1], ", ".join(path), f"PARTITION BY {', '.join(parent)}" if parent else ""
+    link = "CROSS JOIN f0" if k == 1 else f"JOIN f{k - 1} USING ({', '.join(parent)})"
+    weight = "CASE concat_ws('/', " + cols + ") " + " ".join(f"WHEN '{'/'.join(p)}' THEN {w}" for p, w in WEIGHTS.items()) + " ELSE 1 END"
+    return f"""
+        n{k} AS (SELECT {cols}, sum(2 * avail)::HUGEINT AS cap, ({weight})::HUGEINT AS weight FROM leaves GROUP BY {cols}),
+        o{k} AS (SELECT *, row_number() OVER ({part} ORDER BY cap::DOUBLE / weight, {name}) AS r FROM n{k} {link}),
+        g{k} AS (SELECT *, coalesce(sum(cap) OVER ({part} ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone,
+                        sum(weight) OVER ({part} ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM o{k}),
+        h{k} AS (SELECT *, cap * rest <= weight * (B - gone) AS is_full FROM g{k}),
+        f{k} AS (SELECT {cols}, CASE WHEN is_full THEN cap ELSE (weight * (B - coalesce(sum(cap) FILTER (WHERE is_full) OVER ({part}), 0)))
+                        // greatest(coalesce(sum(weight) FILTER (WHERE NOT is_full) OVER ({part}), 0), 1) END AS B FROM h{k})"""
+
+
+MIX_SQL = rf"""
+        WITH d AS (
+          SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens,
+                 coalesce(([{', '.join(f"'{x}'" for x in DOMAINS)}])[try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT) % {len(DOMAINS)} + 1], 'other') AS domain
+          FROM documents),
+        leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS avail FROM d GROUP BY ALL),
+        f0 AS (SELECT sum(avail)::HUGEINT AS B FROM leaves), {_fill_sql(1)}, {_fill_sql(2)}, {_fill_sql(3)},
+        b AS (SELECT *, CASE WHEN avail > 0 THEN B // avail ELSE 0 END AS fulls, CASE WHEN avail > 0 THEN B % avail ELSE 0 END AS rest
+              FROM leaves JOIN f3 USING (domain, lang, source)),
+        e AS (SELECT d.*, fulls, rest, md5(concat_ws(':', 1, fulls + 1, doc_id)) AS h FROM d JOIN b USING (domain, lang, source)),
+        p AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM e)
+        SELECT doc_id, domain, lang, source, n_tokens, unnest(range(1, fulls::BIGINT + 1))::INT AS epoch, n_tokens AS n_taken FROM e
+        UNION ALL
+        SELECT doc_id, domain, lang, source, n_tokens, (fulls + 1)::INT, least(n_tokens, rest - used)::BIGINT FROM p WHERE used < rest"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": MIX_SQL,
     "op8_line_dedup": r"""
         WITH lines AS (
           SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
