@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import text as tx
 from tidemark.llm.graph import connected_components
-from tidemark.llm.work import small_or_not, written
+from tidemark.llm.work import small_or_not, whole_groups, written
 
 #: Places of the universe that the two permutations act on.
 PLACES = 1 << 20
 #: A pair at Jaccard 0.8 shows a differing sign bit in a tenth of the coordinates; this many
 #: standard deviations above that a pair is no candidate (about one in 10**9 true pairs).
 SIGMAS = 6.0
+#: Members of a split bucket are paired in Spark up to this size of bucket, so a row for at most so many; larger buckets are compared in blocks.
+SMALL = 8
+#: Rows and shingles of a block.
+BLOCK_ROWS = 512
+BLOCK_SHINGLES = 2_000_000
 
 
 @cache
@@ -98,6 +103,49 @@ def _sets(shingle: int):
     return sets
 
 
+def _compare(rows: pa.Table, percent: int, most: int) -> list[tuple[int, int]]:
+    """Links between rows of one block that tie together components not yet tied; each is confirmed on the full sets."""
+    col = lambda name: rows[name].to_numpy()
+    ids, chunk = col("id"), col("chunk")
+    bits = np.stack([col(f"b{k}").view(np.uint64) for k in (1, 2, 3)], axis=1)
+    sets = rows["shingles"].combine_chunks()
+    n = sets.value_lengths().to_numpy().astype(np.int64)
+    flat, ends = sets.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)])
+    same = bool(rows["lo"][0].as_py() == rows["hi"][0].as_py())
+    _, label = np.unique(col("component"), return_inverse=True)
+    sizes = np.bincount(label)
+    found = []
+    for a in np.argsort(sizes[label], kind="stable"):
+        if label[a] == np.bincount(label).argmax():
+            continue
+        near = (label != label[a]) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
+        if not same:
+            near &= chunk != chunk[a]
+        near &= np.bitwise_count(bits ^ bits[a]).sum(axis=1) <= most
+        left, own = np.flatnonzero(near), flat[ends[a] : ends[a + 1]]
+        while len(left):
+            now, left = left[:64], left[64:]
+            others = np.concatenate([flat[ends[b] : ends[b + 1]] for b in now])
+            hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+            common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(n[now])[:-1]]), dtype=np.int64)
+            for b in now[100 * common >= percent * (n[a] + n[now] - common)]:
+                if label[b] != label[a]:
+                    found.append((int(ids[a]), int(ids[b])))
+                    label[label == label[b]] = label[a]
+            left = left[label[left] != label[a]]
+    return found
+
+
+def _blocks(percent: int, most: int):
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches, ["key", "lo", "hi"]):
+            for a, b in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+                found = _compare(rows.slice(a, b - a), percent, most)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return links
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5
 ) -> DataFrame:
@@ -110,7 +158,8 @@ def near_duplicates(
     Equal texts are first gathered to one representative, so a group of copies is one row from
     then on.  Band buckets are linked in two exact steps: every member is compared with its
     bucket's smallest id; then, only in buckets whose members are still in several components,
-    the members outside the largest component are compared with those of other components.
+    members of different components are compared: in small buckets as pairs, in larger ones block by block inside tasks
+    that give out only the links that tie components together.
     Every pair that shares a bucket is thus compared or already known to be connected, without
     emitting all pairs of a bucket.  With 32 bands of 5 a pair at 0.8 shares none with
     probability 3e-6.  Each candidate is confirmed on the full sets.
@@ -129,7 +178,7 @@ def near_duplicates(
     reps = described.where("id is not null and n_shingles > 0").join(firsts.withColumnRenamed("rep", "id"), ["f1", "f2", "id"], "left_semi")
     reps = reps.dropDuplicates(["id", "f1", "f2"])
     buckets = reps.select("id", "n_shingles", "b1", "b2", "b3", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1").select("key", "hub")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("held"), F.min("id").alias("hub")).where("c > 1")
     members = written(buckets.join(shared, "key"), "members")
 
     width = min(192, bands * rows)
@@ -148,14 +197,17 @@ def near_duplicates(
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     placed = written(placed.join(split, "key", "left_semi"), "split")
-    main = placed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    placed = placed.join(main, "key")
+    few = placed.where(F.col("c") <= SMALL).select("key", "id", "hub", "component", "n_shingles", "b1", "b2", "b3")
     rest = (
-        placed.where("component != main").alias("a")
-        .join(placed.alias("b"), F.expr(f"a.key = b.key and a.component != b.component and a.id != a.hub and b.id != b.hub and (b.component = b.main or a.id < b.id) and {alike}"))
+        few.alias("a").join(few.alias("b"), F.expr(f"a.key = b.key and a.id < b.id and a.component != b.component and a.id != a.hub and b.id != b.hub and {alike}"))
         .select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
     )
     more = _verified(base, rest, shingle, percent)
+    many = placed.where(F.col("c") > SMALL).withColumn("parts", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int"))
+    many = many.withColumn("chunk", F.expr("cast(pmod(xxhash64(id, 5), parts) as int)")).withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = many.select("key", "id", "component", "b1", "b2", "b3", "n_shingles", "chunk", F.least("chunk", "partner").alias("lo"), F.greatest("chunk", "partner").alias("hi"))
+    many = many.join(_sets_of(base, many.select("id"), shingle), "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    more = more.unionByName(written(many.mapInArrow(_blocks(percent, most), "u long, v long"), "block-links"))
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
 
@@ -170,10 +222,7 @@ def near_duplicates(
 def _verified(base: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets reach the similarity."""
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    ids = written(ids, "ids")
-    texts = base.join(small_or_not(ids), "id", "left_semi").distinct()
-    sets = written(texts.mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")
+    sets = _sets_of(base, pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))), shingle)
     both = (
         pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("s")), "u")
         .join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("t")), "v")
@@ -181,3 +230,10 @@ def _verified(base: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
     )
     enough = both.where(f"100 * common >= {percent} * (size(s) + size(t) - common)").select("u", "v").distinct()
     return written(enough, "links")
+
+
+def _sets_of(base: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """Shingle sets of the texts of some ids, one row each."""
+    ids = written(ids.distinct(), "ids")
+    texts = base.join(small_or_not(ids), "id", "left_semi").distinct()
+    return written(texts.mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")

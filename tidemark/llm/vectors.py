@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import connected_components
-from tidemark.llm.work import written
+from tidemark.llm.work import whole_groups, written
 
 #: Pairs of rows that are compared at a time inside a task.
 PAIRS = 1 << 16
@@ -58,6 +58,10 @@ def _matrix(values: pa.Array) -> np.ndarray:
     return flat.reshape(len(values), -1)
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
 def _describe(bands: int, bits: int, seed: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,13 +96,13 @@ def _links_of(cosine: float, deviations: float, seed: int):
         dims = rows["dim"].to_numpy()
         col = lambda name: rows[name].to_numpy()
         ids, weight, band, chunk, same = col("id"), col("n"), col("band"), col("chunk"), col("lo") == col("hi")
-        keys, factors = _matrix(rows["keys"].combine_chunks()), col("factor")
+        keys, factors = _matrix(_one(rows["keys"])), col("factor")
         for dim in np.unique(dims):
             where = np.flatnonzero(dims == dim)
             place = np.zeros(n, dtype=np.int64)
             place[where] = np.arange(len(where))
             part = rows.take(pa.array(where))
-            v = unit(_matrix(part["vec"].combine_chunks()))
+            v = unit(_matrix(_one(part["vec"])))
             turned = (v @ rotation(int(dim), seed).T).astype(np.float32)
             codes = np.frombuffer(b"".join(part["code"].to_pylist()), dtype=np.uint8).reshape(len(where), -1)
             left = end_of[where] - where - 1
@@ -139,31 +143,12 @@ def _links_of(cosine: float, deviations: float, seed: int):
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[root[hit]])], names=["id", "links", "other"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows = rows if rest is None else pa.concat_tables([rest, rows])
-            starts = _starts(rows.select(block))
-            if starts[-1]:
-                yield from compare(rows.slice(0, starts[-1]), starts[:-1])
-            rest = rows.slice(starts[-1])
-        if rest is not None:
-            yield from compare(rest, np.array([0]))
+        for rows, starts in whole_groups(batches, block):
+            yield from compare(rows, starts)
 
     return found
 
 
-def _starts(rows: pa.Table) -> np.ndarray:
-    change = np.zeros(rows.num_rows, dtype=bool)
-    change[0] = True
-    for column in rows.columns:
-        x = column.to_numpy()
-        change[1:] |= x[1:] != x[:-1]
-    return np.flatnonzero(change)
-
-
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98,
     bands: int = 40, bits: int = 16, block: int = 512, deviations: float = 5.0, seed: int = 17,

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small_or_not(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint only if its counted rows are within the limit."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by the named columns in tables of whole groups, and the groups' starts; holds one group more than a batch."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        starts = _starts(rows.select(names))
+        if starts[-1]:
+            yield rows.slice(0, starts[-1]).combine_chunks(), starts[:-1]
+        rest = rows.slice(starts[-1])
+    if rest is not None:
+        yield rest.combine_chunks(), np.array([0])
+
+
+def _starts(keys: pa.Table) -> np.ndarray:
+    change = np.zeros(keys.num_rows, dtype=bool)
+    change[0] = True
+    for column in keys.columns:
+        x = column.to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(change)
