@@ -28,9 +28,9 @@ NEAR = 5
 #: At most so many labelled rows, those with the least hashes of their id, train the trees and the calibration.
 TRAIN_ROWS = 12_000
 #: A word start of so many characters is learned as toxic if at least this share of the toxic
-#: training texts have it, and so many times the share of the others.
+#: training texts have it, and their words have it so many times as often a text as those of the others.
 STEM = 4
-STEM_SHARE = 0.03
+STEM_SHARE = 0.02
 STEM_ODDS = 20.0
 FEATURES = [
     "learned", "learned_hits", "strong", "mild", "strong_hits", "any_hits", "disguised", "near_second_person", "second_person", "capital_letters", "capital_words",
@@ -73,18 +73,18 @@ def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = tx.split_words(plain[data], offsets)
             h = stem_hashes(w)
             for k, (a, b) in enumerate(zip(w.bounds[:-1], w.bounds[1:], strict=True)):
-                own = np.unique(h[a:b]).view(np.int64)
+                own, n = np.unique(h[a:b], return_counts=True)
                 label = np.full(len(own), batch.column(0)[first + k].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(own)], names=["label", "stem"])
+                yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(own.view(np.int64)), pa.array(n)], names=["label", "stem", "n"])
 
 
 def learned_stems(train: DataFrame) -> np.ndarray:
     """Hashes of word starts that mark toxic training texts; at most 1 / STEM_SHARE texts' worth of them."""
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1.0, 0), sizes.get(0.0, 0)
-    counted = train.select("label", "text").mapInArrow(_stems, "label double, stem long").groupBy("stem")
-    counted = counted.agg(F.sum("label").alias("t"), F.sum(F.lit(1.0) - F.col("label")).alias("c"))
-    marks = counted.where((F.col("t") >= max(3.0, STEM_SHARE * toxic)) & (F.col("t") * clean >= STEM_ODDS * toxic * (F.col("c") + 0.5)))
+    counted = train.select("label", "text").mapInArrow(_stems, "label double, stem long, n long").groupBy("stem")
+    counted = counted.agg(F.sum("label").alias("texts"), F.sum(F.col("label") * F.col("n")).alias("t"), F.sum((F.lit(1.0) - F.col("label")) * F.col("n")).alias("c"))
+    marks = counted.where((F.col("texts") >= max(3.0, STEM_SHARE * toxic)) & (F.col("t") * clean >= STEM_ODDS * toxic * (F.col("c") + 0.5)))
     best = marks.orderBy(F.desc("t"), "stem").limit(1000).select("stem").collect()
     return np.sort(np.array([r.stem for r in best], dtype=np.int64).view(np.uint64))
 
