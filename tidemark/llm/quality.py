@@ -128,15 +128,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("id", "label", "text")
-    got = joined.mapInArrow(_features, "id long, label int, ids array<int>, counts array<int>").toArrow().sort_by("id").combine_chunks()
+    rows = joined.mapInArrow(_features, "id long, label int, ids array<int>, counts array<int>")
+    # The bounded sample is trained on in one task, so that the driver only sees the model.
+    fitted = rows.repartition(1).sortWithinPartitions("id").mapInArrow(_fit, "odds binary, bias double").first()
+    if fitted is None:
+        return QualityModel(np.zeros(2 * SLOTS, dtype=np.float32), 0.0)
+    return QualityModel(np.frombuffer(bytes(fitted.odds), dtype=np.float32), fitted.bias)
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = []
-    for batch in got.to_batches():
+    for batch in batches:
         ids, counts = batch.column(2), batch.column(3)
-        at, flat, flat_counts = ids.offsets.to_numpy(), ids.values.to_numpy(), counts.values.to_numpy()
-        labelled = batch.column(1).to_pylist()
-        found += [(y, flat[a:b], flat_counts[a:b].astype(np.float32)) for y, a, b in zip(labelled, at[:-1], at[1:], strict=True)]
-    vectors, weights, bias = train(found)
-    return QualityModel((vectors @ (weights[1] - weights[0])).astype(np.float32), float(bias[1] - bias[0]))
+        at, flat, flat_counts = ids.offsets.to_numpy(), ids.values.to_numpy(), counts.values.to_numpy().astype(np.float32)
+        found += [(y, flat[a:b], flat_counts[a:b]) for y, a, b in zip(batch.column(1).to_pylist(), at[:-1], at[1:], strict=True)]
+    if found:
+        vectors, weights, bias = train(found)
+        odds = (vectors @ (weights[1] - weights[0])).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([odds.tobytes()], pa.binary()), pa.array([float(bias[1] - bias[0])])], names=["odds", "bias"])
 
 
 def scorer(docs: DataFrame, model: QualityModel):
