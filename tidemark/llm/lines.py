@@ -53,7 +53,8 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = own.groupBy("_id").agg(F.collect_set("line_hash").alias("_drop"))
     own = written(own, "own")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    d, o = docs.select(*names).alias("d"), small_or_not(own, limit=50_000).alias("o")
+    # The same join at every size: a text is shuffled once, to its own few hashes.
+    d, o = docs.select(*names).alias("d"), own.hint("merge").alias("o")
     joined = d.join(o, F.col(f"d.`{id_col}`").eqNullSafe(F.col("o._id")), "left").select("d.*", "_drop")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda line: ~F.array_contains(F.col("_drop"), _line_hash(line)))
