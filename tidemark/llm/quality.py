@@ -16,7 +16,7 @@ from tidemark.llm import text as tx
 SLOTS = 1 << 17
 GRAMS = (3, 4)
 #: At most so many labelled rows, those with the least hashes of their id, train a model.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 DIM = 16
 EPOCHS = 8
 
