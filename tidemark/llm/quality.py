@@ -16,7 +16,7 @@ from tidemark.llm import text as tx
 SLOTS = 1 << 17
 GRAMS = (3, 4)
 #: At most so many labelled rows, those with the least hashes of their id, train a model.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 DIM = 16
 EPOCHS = 8
 
@@ -140,7 +140,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = []
     for batch in batches:
         ids, counts = batch.column(2), batch.column(3)
-        at, flat, flat_counts = ids.offsets.to_numpy(), ids.values.to_numpy(), counts.values.to_numpy().astype(np.float32)
+        # Small copies, so that a batch's own memory can go.
+        at, flat, flat_counts = ids.offsets.to_numpy(), ids.values.to_numpy().copy(), counts.values.to_numpy().astype(np.float32)
         found += [(y, flat[a:b], flat_counts[a:b]) for y, a, b in zip(batch.column(1).to_pylist(), at[:-1], at[1:], strict=True)]
     if found:
         vectors, weights, bias = train(found)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handled in blocks of about so many bytes; one longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15
