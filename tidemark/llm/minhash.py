@@ -114,10 +114,10 @@ def _compare(rows: pa.Table, percent: int, most: int) -> list[tuple[int, int]]:
     same = bool(rows["lo"][0].as_py() == rows["hi"][0].as_py())
     _, label = np.unique(col("component"), return_inverse=True)
     sizes = np.bincount(label)
+    # Of two rows of different components at most one is in the largest, so the other's turn comes.  That holds only for the components at the start.
+    turns = np.flatnonzero(label != sizes.argmax())
     found = []
-    for a in np.argsort(sizes[label], kind="stable"):
-        if label[a] == np.bincount(label).argmax():
-            continue
+    for a in turns[np.argsort(sizes[label[turns]], kind="stable")]:
         near = (label != label[a]) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
         if not same:
             near &= chunk != chunk[a]
