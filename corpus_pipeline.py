@@ -29,9 +29,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    gone = written(near_duplicates(docs, shingle=5).where("not kept").select("doc_id"), "duplicates")
-    return docs.join(small_or_not(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, of those with the least doc_id (nulls last) the first; repeated and null ids are rows of their own."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, "_row", shingle=5).select("_row", "component_id")
+    placed = written(rows.select("_row", "doc_id").join(found, "_row"), "placed")
+    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least")).select("least._row")
+    gone = written(placed.join(stays, "_row", "left_anti").select("_row"), "duplicates")
+    return rows.join(small_or_not(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

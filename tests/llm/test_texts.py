@@ -127,3 +127,13 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     packed = pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in packed} == set(taken)
     assert len({hashlib.md5(str(r).encode()).hexdigest() for r in packed}) == len(packed)
+
+
+def test_pipeline_keeps_one_row_of_repeated_and_null_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, a), (7, a), (None, b), (None, b), (None, c), (4, c), (4, c + " end"), (5, None), (None, "")]
+    out = dict(pipeline.STAGES)["minhash_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert out.columns == ["doc_id", "text"]
+    kept = Counter((r.doc_id, r.text if r.doc_id != 4 else "c") for r in out.collect())
+    assert kept == Counter([(1, a), (None, b), (4, "c"), (5, None), (None, "")])
