@@ -16,7 +16,7 @@ from tidemark.llm import text as tx
 SLOTS = 1 << 17
 GRAMS = (3, 4)
 #: At most so many labelled rows, those with the least hashes of their id, train a model.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 6000
 DIM = 16
 EPOCHS = 8
 
@@ -58,18 +58,20 @@ def feature_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct slots and their counts for each text."""
+    """Distinct slots and their counts for each text, as bytes: slots of four bytes, counts of the least width that holds them."""
     for batch in batches:
         for first, past, data, offsets in tx.blocks(batch.column(2)):
             ids, of = feature_ids(data, offsets)
             key, counts = np.unique(of.astype(np.int64) * (2 * SLOTS) + ids, return_counts=True)
             ends = np.searchsorted(key, np.arange(past - first + 1, dtype=np.int64) * (2 * SLOTS))
+            slots, spans = (key % (2 * SLOTS)).astype(np.uint32), list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            widths = [np.min_scalar_type(int(counts[a:b].max(initial=0))) for a, b in spans]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, past - first),
                     batch.column(1).slice(first, past - first),
-                    tx.list_array((key % (2 * SLOTS)).astype(np.int32), ends),
-                    tx.list_array(counts.astype(np.int32), ends),
+                    pa.array([slots[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([counts[a:b].astype(t).tobytes() for (a, b), t in zip(spans, widths, strict=True)], pa.binary()),
                 ],
                 names=["id", "label", "ids", "counts"],
             )
@@ -84,7 +86,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 5, rate: f
     for _ in range(EPOCHS):
         for k in rng.permutation(len(rows)):
             label, ids, counts = rows[k]
-            share = counts / max(1, counts.sum())
+            share = (counts / max(1, counts.sum(dtype=np.int64))).astype(np.float32)
             mean = share @ vectors[ids] if len(ids) else np.zeros(DIM, dtype=np.float32)
             out = weights @ mean + bias
             p = np.exp(out - out.max())
@@ -121,14 +123,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on at most `rows` labelled documents, those whose ids have the least hashes.
 
     Labels other than 0 and 1, and null ids, are left out; an id labelled twice takes the larger
-    label.  Without labelled documents the model gives 0.5.
+    label, an id with several texts is learned by the least of them.  Without labelled documents the model gives 0.5.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    joined = texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("id", "label", "text")
-    rows = joined.mapInArrow(_features, "id long, label int, ids array<int>, counts array<int>")
+    joined = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = joined.mapInArrow(_features, "id long, label int, ids binary, counts binary")
     # The bounded sample is trained on in one task, so that the driver only sees the model.
     fitted = rows.repartition(1).sortWithinPartitions("id").mapInArrow(_fit, "odds binary, bias double").first()
     if fitted is None:
@@ -139,10 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = []
     for batch in batches:
-        ids, counts = batch.column(2), batch.column(3)
-        # Small copies, so that a batch's own memory can go.
-        at, flat, flat_counts = ids.offsets.to_numpy(), ids.values.to_numpy().copy(), counts.values.to_numpy().astype(np.float32)
-        found += [(y, flat[a:b], flat_counts[a:b]) for y, a, b in zip(batch.column(1).to_pylist(), at[:-1], at[1:], strict=True)]
+        # Views of the batch's own memory, five bytes or so a slot.
+        for y, ids, counts in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            slots, values = np.frombuffer(ids.as_buffer() or b"", dtype=np.uint32), counts.as_buffer() or b""
+            found.append((y, slots, np.frombuffer(values, dtype=f"u{len(values) // max(1, len(slots))}") if len(slots) else np.zeros(0, np.uint8)))
     if found:
         vectors, weights, bias = train(found)
         odds = (vectors @ (weights[1] - weights[0])).astype(np.float32)
@@ -160,13 +162,19 @@ def scorer(docs: DataFrame, model: QualityModel):
     return score
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_where: Column | None = None) -> DataFrame:
-    """docs with a column score (0 to 1, higher: better quality; any of that name is replaced).
+def with_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_where: Column | None = None, score_col: str = "score", rows: int = TRAIN_ROWS
+) -> DataFrame:
+    """docs with a column score_col (0 to 1, higher: better quality; any of that name is replaced).
 
     Words, word pairs and character n-grams are hashed to slots with learned vectors, a document is
-    their mean, a softmax gives its class.  Scoring reads whole texts.  A null or empty text takes the
-    prior.  train_where limits the labelled rows to learn from.
+    their mean, a softmax gives its class.  Scoring reads whole texts, block by block.  train_where limits the
+    labelled rows to learn from, of which at most `rows` are taken (see fit).
+
+    Defined cases: a null or empty text takes the prior.  Rows that repeat an id are scored each by its own text.
+    A null id is scored and never learned from.  A text of any length is scored whole, in memory in proportion to the longest one.
+    Other columns are returned as they are.  An empty table gives an empty result; without labels all score 0.5.
     """
     usable = labels if train_where is None else labels.where(train_where)
-    model = fit(docs, usable, id_col, text_col)
-    return docs.withColumn("score", scorer(docs, model)(F.col(text_col).cast("string")))
+    model = fit(docs, usable, id_col, text_col, rows=rows)
+    return docs.withColumn(score_col, scorer(docs, model)(F.col(text_col).cast("string")))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handled in blocks of about so many bytes; one longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _U = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15
@@ -61,8 +61,9 @@ def _power_table(base: int, size: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1); the table grows by doubling and is kept."""
-    return _power_table(base, 1 << max(16, int(n - 1).bit_length()))[:n]
+    """base**0 .. base**(n-1).  Tables up to that of a block are kept; a longer text's is made for it alone."""
+    size = 1 << max(16, int(n - 1).bit_length())
+    return (_power_table if size <= 2 * BLOCK_BYTES else _power_table.__wrapped__)(base, size)[:n]
 
 
 def inverse(base: int) -> int:
@@ -71,21 +72,18 @@ def inverse(base: int) -> int:
 
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, past, bytes, offsets) of runs of texts; a null is an empty text."""
-    texts = pc.fill_null(texts, "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
-    n = len(texts)
-    if not n:
-        return
-    all_offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
-    first = 0
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))])
+    first, n = 0, len(texts)
     while first < n:
-        past = int(np.searchsorted(all_offsets, all_offsets[first] + limit, side="right")) - 1
+        past = int(np.searchsorted(ends, ends[first] + limit, side="right")) - 1
         past = min(n, max(past, first + 1))
-        lo, hi = all_offsets[first], all_offsets[past]
-        yield first, past, data[lo:hi], all_offsets[first : past + 1] - lo
+        # Only the block's own rows are copied, so a batch is never held twice.
+        block = pc.fill_null(texts.slice(first, past - first), "").cast(pa.large_string())
+        at = np.frombuffer(block.buffers()[1], dtype=np.int64)[block.offset : block.offset + past - first + 1]
+        data = np.frombuffer(block.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]]
+        yield first, past, data, at - at[0]
         first = past
 
 

@@ -2,46 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tidemark.operators.storage import shared_folder, small_or_not
+from tidemark.operators.storage import stored as written
 
-#: A side of at most so many narrow rows (a key or two) is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 400_000
+__all__ = ["shared_folder", "small_or_not", "unused", "whole_groups", "written"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; in local mode a temporary one where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _local_dir(spark.sparkContext.applicationId)
-
-
-@cache
-def _local_dir(_application: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read from there: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_or_not(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint only if its counted rows are within the limit."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores behind it as long as a column has it, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
