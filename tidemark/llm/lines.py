@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.work import small_or_not, written
+from tidemark.llm.work import small_or_not, unused, written
 
 
 def _line_hash(line: Column) -> Column:
@@ -44,23 +44,24 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the boilerplate hashes that it holds itself.
 
     Defined cases: a null text stays null with 0 lines; an empty one has one (blank) line.  A null site
-    counts as no site.  Rows that repeat an id are treated alike, and so are null ids.  Other columns
-    are returned as they are; those named n_lines or n_removed are replaced.  Empty in, empty out.
+    counts as no site.  Rows that repeat an id, and null ids, are told apart by their texts.  Other columns,
+    whatever their names, are returned as they are; those named n_lines or n_removed are replaced.  Texts of any
+    length are cut whole.  Empty in, empty out.
     """
     found = written(boilerplate_lines(docs, text_col, site_col, min_sites).select("line_hash"), "boilerplate")
     hashes = F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), _line_hash))
-    own = docs.select(F.col(id_col).alias("_id"), F.explode(hashes).alias("line_hash")).join(small_or_not(found), "line_hash", "left_semi")
-    own = own.groupBy("_id").agg(F.collect_set("line_hash").alias("_drop"))
-    own = written(own, "own")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # A text's key is a hash of its id and itself: null or repeated ids never gather under one key.
+    row, key = F.xxhash64(F.col(id_col), F.col(text_col)), F.col("_id")
+    own = docs.select(row.alias("_id"), F.explode(hashes).alias("line_hash")).join(small_or_not(found), "line_hash", "left_semi")
+    own = written(own.groupBy(key).agg(F.collect_set("line_hash").alias("_drop")), "own")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    key, drop, kept = unused(docs.columns, "_id", "_drop", "_kept")
     # The same join at every size: a text is shuffled once, to its own few hashes.
-    d, o = docs.select(*names).alias("d"), own.hint("merge").alias("o")
-    joined = d.join(o, F.col(f"d.`{id_col}`").eqNullSafe(F.col("o._id")), "left").select("d.*", "_drop")
+    joined = docs.select(*(F.col(f"`{c}`") for c in names), row.alias(key)).join(own.toDF(key, drop).hint("merge"), key, "left")
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda line: ~F.array_contains(F.col("_drop"), _line_hash(line)))
-    joined = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
-    joined = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
-    n_kept = F.greatest(F.coalesce(F.size("_kept"), F.lit(0)), F.lit(0)).cast("long")
-    joined = joined.withColumn("n_removed", F.col("n_lines") - n_kept)
-    text = F.when(F.col("n_removed") == 0, F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    return joined.withColumn(text_col, text).select(*names, "n_lines", "n_removed")
+    left = F.filter(lines, lambda line: ~F.array_contains(F.col(drop), _line_hash(line)))
+    joined = joined.withColumn(kept, F.when(F.col(drop).isNull(), lines).otherwise(left))
+    n_lines, n_kept = (F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)).cast("long") for x in (lines, F.col(kept)))
+    text = F.when(n_lines == n_kept, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    shown = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    return joined.select(*shown, n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"))
