@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.work import small_or_not, written
+from tidemark.llm.work import small_or_not, unused, written
 
-#: Hex digits of a document's seeded hash that give its bucket within a leaf.
-DIGITS = 3
+#: Hex digits of a document's seeded hash by which a leaf is cut into buckets, and then its last bucket again, as long as that has more rows.
+DIGITS = 2
+BUCKET_ROWS = 2_000
 
 
 def _filled(children: DataFrame, parent: list[str]) -> DataFrame:
@@ -61,15 +62,16 @@ def mix(
     of the last one are within it.
 
     Budgets are computed on one row a leaf.  The prefix needs no sort of a leaf: token sums by hash
-    bucket find the one bucket (of 4096) in which it ends, and only that bucket's rows are ordered.
+    bucket (256 a leaf) find the one bucket in which it ends; as long as such a bucket has more than
+    BUCKET_ROWS rows it is cut into 256 again.  Only the last bucket's rows are ordered.
 
     Defined cases: a null level value is the value ''.  Null or negative token counts are zero.  Rows
-    that repeat an id are all counted and taken each by its place.  A weight of 0 takes nothing.
-    Shares round down, so a node may lose a token a child.  Other columns are returned as
-    they are.  An empty table gives an empty result.
+    that repeat an id are all counted and taken each by its place; having one hash they are ordered together.
+    A weight of 0 takes nothing.  Shares round down, so a node may lose a token a child.  Other columns, whatever
+    their names, are returned as they are.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("epoch", "n_taken")]
+    names = [c for c in docs.columns if c.lower() not in ("epoch", "n_taken")]
     keys = [f"_k{k}" for k in range(len(levels))]
     tokens = F.greatest(F.coalesce(F.col(tokens_col).cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long"))
     own = {**{k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, levels, strict=True)}, "_n": tokens, "_id": F.col(id_col)}
@@ -82,19 +84,35 @@ def mix(
     leaves = written(leaves.select(*keys, fulls, F.expr("if(avail > 0, b % avail, 0)").alias("left")), "mix-leaves")
     leaves = small_or_not(leaves, limit=100_000)
 
-    h = F.md5(F.concat_ws(":", F.lit(seed), F.col("fulls") + 1, F.coalesce(F.col("_id").cast("string"), F.lit(""))))
-    sums = narrow.join(leaves, keys).where("left > 0").groupBy(*keys, "left", F.substring(h, 1, DIGITS).alias("bucket")).agg(F.sum("_n").alias("t"))
-    upto = F.sum("t").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    cuts = sums.withColumn("upto", upto).where("upto >= left").groupBy(*keys).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("t")).alias("gone"))).alias("c"))
-    cuts = small_or_not(written(cuts.select(*keys, F.col("c.bucket").alias("cut"), F.col("c.gone").alias("gone")), "mix-cuts"), limit=100_000)
-
-    rows = docs.select(*names, *(v.alias(k) for k, v in own.items())).join(leaves, keys).join(cuts, keys, "left").withColumn("_h", h)
-    bucket = F.substring("_h", 1, DIGITS)
-    epochs = F.col("fulls").cast("int") + F.when(F.col("cut").isNotNull() & (bucket < F.col("cut")), 1).otherwise(0)
+    def seeded(fulls: Column, ident: Column) -> Column:
+        return F.md5(F.concat_ws(":", F.lit(seed), fulls + 1, F.coalesce(ident.cast("string"), F.lit(""))))
+
+    hashed = written(narrow.join(leaves, keys).where("left > 0").select(*keys, "left", "_n", seeded(F.col("fulls"), F.col("_id")).alias("h")), "mix-hashes")
+    cuts = hashed.select(*keys, F.lit("").alias("cut"), F.lit(0).cast("long").alias("gone")).distinct()
+    digits = 0
+    while True:
+        inside = hashed.join(cuts, keys).where(F.substring("h", 1, digits) == F.col("cut"))
+        digits += DIGITS
+        sums = inside.groupBy(*keys, "left", "gone", F.substring("h", 1, digits).alias("bucket")).agg(F.sum("_n").alias("t"), F.count("*").alias("c"))
+        upto = F.col("gone") + F.sum("t").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+        found = sums.withColumn("upto", upto).where("upto >= left").groupBy(*keys).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("t")).alias("gone"), "c")).alias("x"))
+        found = written(found.select(*keys, F.col("x.bucket").alias("cut"), F.col("x.gone").alias("gone"), F.col("x.c").alias("c")), "mix-cuts")
+        cuts = small_or_not(found.select(*keys, "cut", "gone"), limit=100_000)
+        if digits >= 32 or (found.agg(F.max("c")).first()[0] or 0) <= BUCKET_ROWS:
+            break
+
+    # The documents' own columns keep their names; what is joined to them takes names that they don't use.
+    hidden = dict(zip([*own, "fulls", "left", "cut", "gone", "h", "at"], unused(docs.columns, *own, "fulls", "left", "cut", "gone", "h", "at"), strict=True))
+    h = {k: F.col(v) for k, v in hidden.items()}
+    at_keys, shown = [hidden[k] for k in keys], [F.col(f"`{c}`") for c in names]
+    rows = docs.select(*shown, *(v.alias(hidden[k]) for k, v in own.items()))
+    rows = rows.join(leaves.withColumnsRenamed(hidden), at_keys).join(cuts.withColumnsRenamed(hidden), at_keys, "left").withColumn(hidden["h"], seeded(h["fulls"], h["_id"]))
+    bucket = F.substring(hidden["h"], 1, digits)
+    epochs = h["fulls"].cast("int") + F.when(h["cut"].isNotNull() & (bucket < h["cut"]), 1).otherwise(0)
     many = F.when(epochs > 0, F.sequence(F.lit(1), epochs)).otherwise(F.array().cast("array<int>"))
-    taken = rows.select(*names, F.explode(many).alias("epoch"), F.col("_n").alias("n_taken"))
-    last = rows.where(bucket == F.col("cut"))
-    at = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_h", "_n").rowsBetween(Window.unboundedPreceding, -1))
-    last = last.withColumn("_at", F.col("gone") + F.coalesce(at, F.lit(0))).where("_at < left")
-    last = last.select(*names, (F.col("fulls") + 1).cast("int").alias("epoch"), F.least("_n", F.col("left") - F.col("_at")).alias("n_taken"))
+    taken = rows.select(*shown, F.explode(many).alias("epoch"), h["_n"].alias("n_taken"))
+    last = rows.where(bucket == h["cut"])
+    before = F.sum(hidden["_n"]).over(Window.partitionBy(*at_keys).orderBy(hidden["h"], hidden["_n"]).rowsBetween(Window.unboundedPreceding, -1))
+    last = last.withColumn(hidden["at"], h["gone"] + F.coalesce(before, F.lit(0))).where(h["at"] < h["left"])
+    last = last.select(*shown, (h["fulls"] + 1).cast("int").alias("epoch"), F.least(h["_n"], h["left"] - h["at"]).alias("n_taken"))
     return taken.unionByName(last)
