@@ -6,7 +6,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.work import written
@@ -14,6 +14,8 @@ from tidemark.llm.work import written
 #: A shard, packed by one task, holds about so many pieces and tokens at most.
 SHARD_PIECES = 100_000
 SHARD_TOKENS = 200_000_000
+#: Equal rows, and pieces of one document, are counted out in two steps of at most so many.
+STEP = 10_000
 
 
 def pack_lengths(lengths: np.ndarray, capacities: list[int], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +82,15 @@ def _pack(capacities: list[int], overhead: int):
     return pack
 
 
+def _counted_out(df: DataFrame, name: str, count: Column) -> DataFrame:
+    """df with each row once for every number from 0 to count - 1, in column `name`; no array holds more than STEP numbers or steps of them."""
+    long = lambda x: F.lit(x).cast("long")
+    df = df.withColumn("_count", count.cast("long")).where("_count > 0")
+    df = df.withColumn("_step", F.explode(F.sequence(long(0), F.floor((F.col("_count") - 1) / STEP))))
+    first = F.col("_step") * STEP
+    return df.withColumn(name, F.explode(F.sequence(first, F.least(F.col("_count"), first + STEP) - 1))).drop("_count", "_step")
+
+
 def best_fit(
     docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", capacities: tuple[int, ...] = (512, 1024, 2048, 4096, 8192), overhead: int = 64,
     shard_pieces: int = SHARD_PIECES, shard_tokens: int = SHARD_TOKENS,
@@ -93,7 +104,8 @@ def best_fit(
     larger tasks.  The result doesn't depend on how the input is partitioned.
 
     Defined cases: a document of zero or null length gives one row, piece 0 with no bin.  Repeated
-    rows are packed each, with copy 0, 1, ...; they are dealt apart.  Null ids are packed alike.
+    rows are packed each, with copy 0, 1, ...; they are dealt apart, and counted out in steps of STEP.  Null ids
+    are packed alike.  Negative lengths count as zero.
     Extra columns are ignored.  An empty table gives an empty result.
     """
     largest = max(capacities)
@@ -102,8 +114,7 @@ def best_fit(
     cut = F.floor((F.greatest("total", F.lit(1)) - 1) / largest)
     size = lengths.agg(F.sum(F.col("copies") * (cut + 1)), F.sum(F.col("copies").cast("double") * F.col("total"))).first()
     shards = max(1, -(-(size[0] or 0) // shard_pieces), int(-(-(size[1] or 0) // shard_tokens)))
-    items = lengths.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    items = items.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), cut)))
+    items = _counted_out(_counted_out(lengths, "copy", F.col("copies")), "piece", cut + 1)
     items = items.withColumn("start", F.col("piece") * largest).withColumn("n", F.least(F.lit(largest).cast("long"), F.col("total") - F.col("start")))
     full = items.where("n > 0").withColumn("shard", F.pmod(F.xxhash64("id", "copy", "piece"), F.lit(shards)))
     schema = "id long, copy long, piece long, start long, n_tokens long, bin_id long, offset long, bin_size long, bin_used long"
