@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as tx
-from tidemark.llm.work import written
+from tidemark.llm.work import unused, written
 
 #: Insults, by strength; a parameter of the operator.
 LEXICON = {
@@ -27,11 +27,11 @@ DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 NEAR = 5
 #: At most so many labelled rows, those with the least hashes of their id, train the trees and the calibration.
 TRAIN_ROWS = 12_000
-#: A word start of so many characters is learned as toxic if at least this share of the toxic
-#: training texts have it, and their words have it so many times as often a text as those of the others.
-STEM = 4
-STEM_SHARE = 0.02
-STEM_ODDS = 20.0
+#: A run of so many bytes of a word in boundary marks (a shorter word whole) is learned as toxic if at least this share of the
+#: toxic texts that it is learned on have it, and their words have it so many times as often a text as those of the others.
+GRAM = 6
+GRAM_SHARE = 0.02
+GRAM_ODDS = 20.0
 FEATURES = [
     "learned", "learned_hits", "strong", "mild", "strong_hits", "any_hits", "disguised", "near_second_person", "second_person", "capital_letters", "capital_words",
     "exclamations", "questions", "other_punctuation", "punctuation_runs", "digits", "log_words", "mean_word",
@@ -58,35 +58,52 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return plain, masked
 
 
-def stem_hashes(w: tx.Words) -> np.ndarray:
-    """A hash of each word's first STEM characters."""
-    firsts = np.flatnonzero((w.data & 0xC0) != 0x80)
-    at = np.searchsorted(firsts, w.starts) + STEM
-    ends = np.minimum(w.ends, np.append(firsts, len(w.data))[np.minimum(at, len(firsts))])
-    return tx.word_hashes(tx.Words(w.data, w.offsets, w.starts, ends, w.bounds))
-
-
-def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gram_hashes(w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of GRAM bytes of each word between boundary marks, a shorter word as one run; and each run's word."""
+    sizes = w.ends - w.starts + 2
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(bounds[-1]) - bounds[of] - 1
+    marked = np.where((at < 0) | (at == sizes[of] - 2), np.uint8(32), w.data[np.clip(w.starts[of] + at, 0, max(0, len(w.data) - 1))]) if len(of) else np.zeros(0, np.uint8)
+    runs = np.maximum(sizes - GRAM + 1, 1)
+    word = np.repeat(np.arange(len(sizes)), runs)
+    first = bounds[word] + np.arange(len(word)) - np.repeat(np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) if len(runs) else np.zeros(0, np.int64)
+    out = np.zeros(len(word), dtype=np.uint64)
+    for k in range(GRAM):
+        # Six bytes and a mark of length fit into 64 bits.
+        inside = k < sizes[word]
+        out = out << np.uint64(8) | np.where(inside, marked[np.minimum(first + k, max(0, len(marked) - 1))], 0).astype(np.uint64) if len(marked) else out
+    return tx.mix(out), word
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     plain, _ = _tables()
     for batch in batches:
-        for first, _, data, offsets in tx.blocks(batch.column(1)):
+        labels = batch.column(0).to_numpy()
+        for first, past, data, offsets in tx.blocks(batch.column(1)):
             w = tx.split_words(plain[data], offsets)
-            h = stem_hashes(w)
-            for k, (a, b) in enumerate(zip(w.bounds[:-1], w.bounds[1:], strict=True)):
-                own, n = np.unique(h[a:b], return_counts=True)
-                label = np.full(len(own), batch.column(0)[first + k].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(own.view(np.int64)), pa.array(n)], names=["label", "stem", "n"])
+            h, word = gram_hashes(w)
+            of = np.repeat(np.arange(past - first), w.counts())[word].astype(np.uint64)
+            order = np.lexsort((h, of))
+            h, of = h[order], of[order]
+            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (of[1:] != of[:-1])]))
+            n = np.diff(np.append(starts, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(labels[first + of[starts].astype(np.int64)]), pa.array(h[starts].view(np.int64)), pa.array(n)], names=["label", "gram", "n"])
 
 
-def learned_stems(train: DataFrame) -> np.ndarray:
-    """Hashes of word starts that mark toxic training texts; at most 1 / STEM_SHARE texts' worth of them."""
+def learned_grams(train: DataFrame) -> np.ndarray:
+    """Hashes of runs of letters that mark toxic training texts.  The training rows are bounded, so these are too."""
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1.0, 0), sizes.get(0.0, 0)
-    counted = train.select("label", "text").mapInArrow(_stems, "label double, stem long, n long").groupBy("stem")
+    counted = train.select("label", "text").mapInArrow(_grams, "label double, gram long, n long").groupBy("gram")
     counted = counted.agg(F.sum("label").alias("texts"), F.sum(F.col("label") * F.col("n")).alias("t"), F.sum((F.lit(1.0) - F.col("label")) * F.col("n")).alias("c"))
-    marks = counted.where((F.col("texts") >= max(3.0, STEM_SHARE * toxic)) & (F.col("t") * clean >= STEM_ODDS * toxic * (F.col("c") + 0.5)))
-    best = marks.orderBy(F.desc("t"), "stem").limit(1000).select("stem").collect()
-    return np.sort(np.array([r.stem for r in best], dtype=np.int64).view(np.uint64))
+    marks = counted.where((F.col("texts") >= max(3.0, GRAM_SHARE * toxic)) & (F.col("t") * clean >= GRAM_ODDS * toxic * (F.col("c") + 0.5)))
+    return np.sort(np.array([r.gram for r in marks.select("gram").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which hashes are in a sorted table."""
+    return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h if len(table) else np.zeros(len(h), dtype=bool)
 
 
 class TextFeatures:
@@ -114,7 +131,8 @@ class TextFeatures:
         words = w.counts().astype(float)
         n = np.maximum(words, 1)
         strong, listed, second = np.isin(h, self.strong), np.isin(h, self.any), np.isin(h, self.second)
-        learned = np.isin(stem_hashes(w), self.learned)
+        grams, word = gram_hashes(w)
+        learned = np.bincount(word[_among(grams, self.learned)], minlength=len(h)) > 0
         any_hit = listed | learned
         said = np.concatenate([[0], np.cumsum(second)])
         at = np.flatnonzero(any_hit)
@@ -161,18 +179,22 @@ def feature_column(docs: DataFrame, lexicon: dict[str, list[str]], learned: np.n
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, lexicon: dict[str, list[str]]
 ) -> tuple[PipelineModel, np.ndarray] | None:
-    """Stems and trees from four fifths of at most `rows` labelled documents, the calibration from the rest; None without both classes."""
+    """From at most `rows` labelled documents, dealt by a hash of their id: two fifths give the learned lexicon, two the trees, one the calibration.
+
+    The lexicon is thus never learned on rows that grow the trees, which would trust it too much.  None where a class is missing.
+    An id with several texts is learned by the least of them.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("double").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(F.broadcast(sample), "id").dropDuplicates(["id"])
-    found = written(found.select("id", "label", "text"), "toxicity-sample")
-    calibrating = F.pmod(F.xxhash64(F.lit("calibration"), "id"), F.lit(5)) == 0
-    learned = learned_stems(found.where(~calibrating))
-    found = found.select("id", "label", feature_column(docs, lexicon, learned)(F.col("text")).alias("values"))
+    found = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(5))
+    found = written(found.select("id", "label", "text", part.alias("part")), "toxicity-sample")
+    learned = learned_grams(found.where("part > 2"))
+    found = found.where("part <= 2").select("id", "label", "part", feature_column(docs, lexicon, learned)(F.col("text")).alias("values"))
     found = written(found.coalesce(4), "toxicity-features").withColumn("features", array_to_vector("values"))
-    train, rest = found.where(~calibrating), found.where(calibrating)
+    train, rest = found.where("part > 0"), found.where("part = 0")
     if train.select("label").distinct().count() < 2 or rest.isEmpty():
         return None
     trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.3, seed=3, maxBins=32).fit(train)
@@ -183,26 +205,30 @@ def fit(
 
 def with_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    train_where: Column | None = None, rows: int = TRAIN_ROWS, lexicon: dict[str, list[str]] | None = None,
+    train_where: Column | None = None, rows: int = TRAIN_ROWS, lexicon: dict[str, list[str]] | None = None, score_col: str = "score",
 ) -> DataFrame:
-    """docs with a column score (0 to 1, higher: toxic likelier; any of that name is replaced).
+    """docs with a column score_col (0 to 1, higher: toxic likelier; any of that name is replaced).
 
     Features of whole texts: densities of two given lexicons, plain and in disguised spelling, and of
-    word starts that mark toxic texts in the training rows (insults of any language), hits within
+    words with a run of letters that marks toxic texts in the training rows (insults of any language), hits within
     five words of a second-person word, capitals and punctuation.  A thousandth of the score comes
-    from the trees' own probability, so that texts of one isotonic step keep their order.
-    A null or empty text has zero features and is scored like any other.  Where labels hold but one
-    class, the score is 0.5.
+    from the trees' own probability, so that texts of one isotonic step keep their order.  At most `rows`
+    labelled rows are learned from.
+
+    Defined cases: a null or empty text has zero features and is scored like any other.  Where labels hold but one
+    class, the score is 0.5.  Rows that repeat an id are scored each by its own text.  A null id is scored and never
+    learned from.  A text of any length is read whole, in memory in proportion to the longest one.  Other columns, whatever
+    their names, are returned as they are.  An empty table gives an empty result.
     """
     usable = labels if train_where is None else labels.where(train_where)
     fitted = fit(docs, usable, id_col, text_col, label_col, rows, lexicon := lexicon or LEXICON)
-    names = [c for c in docs.columns if c != "score"]
+    shown = [F.col(f"`{c}`") for c in docs.columns if c.lower() != score_col.lower()]
     if fitted is None:
-        return docs.select(*names, F.lit(0.5).alias("score"))
-    (trees, isotonic), learned = fitted[0].stages, fitted[1]
-    taken = set(docs.columns)
-    hidden = {c: f"_tidemark_{c}" for c in ("values", "features", "raw", "calibrated", "rawPrediction", "probability", "prediction") if c in taken}
-    out = docs.withColumnsRenamed(hidden).withColumn("values", feature_column(docs, lexicon, learned)(F.col(hidden.get(text_col, text_col)).cast("string")))
-    out = trees.transform(out.withColumn("features", array_to_vector("values"))).withColumn("raw", vector_to_array("probability")[1])
-    out = isotonic.transform(out).withColumn("score_", F.lit(0.999) * F.col("calibrated") + F.lit(0.001) * F.col("raw"))
-    return out.select(*(F.col(hidden.get(c, c)).alias(c) for c in names), F.col("score_").alias("score"))
+        return docs.select(*shown, F.lit(0.5).alias(score_col))
+    (trees, isotonic), learned = (x.copy() for x in fitted[0].stages), fitted[1]
+    values, features, raw, chance, guess, one, calibrated = unused(docs.columns, "values", "features", "rawPrediction", "probability", "prediction", "raw", "calibrated")
+    trees.setFeaturesCol(features).setRawPredictionCol(raw).setProbabilityCol(chance).setPredictionCol(guess)
+    isotonic.setFeaturesCol(one).setPredictionCol(calibrated)
+    out = docs.withColumn(values, feature_column(docs, lexicon, learned)(F.col(text_col).cast("string")))
+    out = trees.transform(out.withColumn(features, array_to_vector(values))).withColumn(one, vector_to_array(chance)[1])
+    return isotonic.transform(out).select(*shown, (F.lit(0.999) * F.col(calibrated) + F.lit(0.001) * F.col(one)).alias(score_col))
