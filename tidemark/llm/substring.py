@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import text as tx
 from tidemark.llm.work import small_or_not, written
 
-#: Bits of the filter over repeated anchors: its size (16 MB) never grows with the data.
-FILTER_BITS = 27
+#: The filter over repeated anchors has about so many bits for each of them, between 2**20 and 2**27 (16 MB) in all.
+ANCHOR_BITS = 16
+LEAST_FILTER, MOST_FILTER = 20, 27
 
 
 def _leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -56,7 +57,7 @@ def _anchors(n: int):
     return anchors
 
 
-def _candidates(n: int, repeated):
+def _candidates(n: int, size: int, repeated):
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = repeated.value
         for batch in batches:
@@ -64,19 +65,21 @@ def _candidates(n: int, repeated):
                 w = tx.split_words(data, offsets)
                 h = tx.word_hashes(w)
                 starts, places, hashes = _windows(w, h, n)
-                at = hashes[places] >> np.uint64(64 - FILTER_BITS)
+                at = hashes[places] >> np.uint64(64 - size)
                 starts = starts[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
                 of = np.searchsorted(w.bounds, starts, side="right") - 1
-                rolled = tx.rolling_hashes(h, n, tx._WORD_BASE_2)
+                rolled = tx.rolling_hashes(h, n, tx._WORD_BASE_2)[starts]
+                again = tx.rolling_hashes(tx.mix(h ^ np.uint64(tx._WORD_BASE)), n)[starts]
                 rows = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rolled[starts].view(np.int64)),
+                        pa.array(rolled.view(np.int64)),
+                        pa.array(again.view(np.int64)),
                         batch.column(0).slice(first, past - first).take(rows),
                         batch.column(1).slice(first, past - first).take(rows),
                         pa.array((starts - w.bounds[of]).astype(np.int32)),
                     ],
-                    names=["h", "id", "t", "pos"],
+                    names=["h", "g", "k", "t", "pos"],
                 )
 
     return candidates
@@ -84,58 +87,64 @@ def _candidates(n: int, repeated):
 
 def _cut(n: int):
     schema = "id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-
-    def one(words: list[bytes], copied: bool, found: list[int] | None) -> tuple[int, list[dict], str]:
-        total = len(words)
-        covered = np.zeros(total + 1, dtype=np.int32)
-        if copied and total >= n:
-            covered[:total] = 1
-        elif found:
-            at = np.unique(found)
-            covered = np.zeros(total + 1, dtype=np.int32)
-            np.add.at(covered, at, 1)
-            np.add.at(covered, at + n, -1)
-            covered = (np.cumsum(covered) > 0).astype(np.int32)
-        edges = np.flatnonzero(np.diff(covered, prepend=0))
-        spans = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
-        kept = b" ".join(words if not spans else [x for x, c in zip(words, covered, strict=False) if not c])
-        return int(covered.sum()), spans, kept.decode()
+
+    def covered(w: tx.Words, found: pa.Array, copied: np.ndarray) -> np.ndarray:
+        """Which words of a block lie in a window to remove."""
+        counts, at = w.counts(), np.zeros(len(w.starts) + 1, dtype=np.int64)
+        lengths = np.nan_to_num(found.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        starts = found.flatten().to_numpy().astype(np.int64) + np.repeat(w.bounds[:-1], lengths)
+        np.add.at(at, starts, 1)
+        np.add.at(at, starts + n, -1)
+        return (np.cumsum(at[:-1]) > 0) | np.repeat(copied & (counts >= n), counts)
+
+    def joined(w: tx.Words, kept: np.ndarray) -> pa.Array:
+        """The kept words of each text with one space between."""
+        starts, sizes = w.starts[kept], (w.ends - w.starts)[kept] + 1
+        ends = np.cumsum(sizes)
+        data = w.data[np.minimum(np.arange(sizes.sum()) + np.repeat(starts - (ends - sizes), sizes), max(0, len(w.data) - 1))]
+        data[ends - 1] = 32
+        words = np.concatenate([[0], np.cumsum(kept)])[w.bounds]
+        last = np.concatenate([[0], ends])[words[1:]][np.diff(words) > 0] - 1  # the spaces behind each text's last word
+        solid = np.ones(len(data), dtype=bool)
+        solid[last] = False
+        at = np.concatenate([[0], np.cumsum(solid)])[np.concatenate([[0], ends])[words]]
+        return pa.LargeStringArray.from_buffers(len(words) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data[solid])).cast(pa.string())
+
+    def spans(w: tx.Words, gone: np.ndarray) -> pa.Array:
+        before, after = np.concatenate([[False], gone[:-1]]), np.concatenate([gone[1:], [False]])
+        firsts, lasts = np.zeros(len(gone) + 1, dtype=bool), np.zeros(len(gone) + 1, dtype=bool)
+        firsts[w.bounds[:-1]] = True
+        lasts[w.bounds[1:]] = True
+        starts = np.flatnonzero(gone & (~before | firsts[:-1]))
+        ends = np.flatnonzero(gone & (~after | lasts[1:])) + 1
+        base = w.bounds[np.searchsorted(w.bounds, starts, side="right") - 1]
+        pairs = pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base)], names=["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, w.bounds).astype(np.int32)), pairs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            for lo in range(0, len(texts), 64):
-                rows = [
-                    (len(words := (x or "").encode().split()), *one(words, c, p))
-                    for x, c, p in zip(*(batch.column(k).slice(lo, 64).to_pylist() for k in (1, 2, 3)), strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, 64),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([r[2] for r in rows], pa.list_(span)),
-                        pa.array([r[3] for r in rows], pa.string()),
-                    ],
-                    names=["id", "n_words", "n_removed", "spans", "kept_text"],
-                )
+            for first, past, data, offsets in tx.blocks(batch.column(1)):
+                w, size = tx.split_words(data, offsets), past - first
+                copied = batch.column(2).slice(first, size).to_numpy(zero_copy_only=False)
+                gone = covered(w, batch.column(3).slice(first, size), copied)
+                removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.bounds])
+                columns = [batch.column(0).slice(first, size), pa.array(w.counts().astype(np.int64)), pa.array(removed.astype(np.int64)), spans(w, gone), joined(w, ~gone)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_removed", "spans", "kept_text"])
 
     return cut, schema
 
 
-def _repeated_filter(anchors: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits with those of anchors that occur at least twice."""
-    place: Column = F.shiftrightunsigned("g", 64 - FILTER_BITS) + 1
-    rows = (
-        anchors.groupBy("g").count().where("count > 1").select(place.alias("p"))
-        .groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    )
-    out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+def _repeated_filter(anchors: DataFrame) -> tuple[int, np.ndarray]:
+    """The filter's size as a power of two, and its bits: set for anchors that occur at least twice."""
+    repeated = written(anchors.groupBy("g").count().where("count > 1").select("g"), "anchors")
+    size = min(MOST_FILTER, max(LEAST_FILTER, (repeated.count() * ANCHOR_BITS).bit_length()))
+    place: Column = F.shiftrightunsigned("g", 64 - size) + 1
+    rows = repeated.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(1 << (size - 3), dtype=np.uint8)
     for row in rows.toLocalIterator():
-        part = np.frombuffer(bytes(row.bits), dtype=np.uint8)
+        part = np.frombuffer(bytes(row.bits), dtype=np.uint8)[: len(out) - (row.b - 1) * 4096]
         out[(row.b - 1) * 4096 :][: len(part)] = part
-    return out
+    return size, out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
@@ -146,32 +155,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     to maximal spans.  Kept words are joined by one space.
 
     All windows are hashed.  To shuffle only those that can be repeated, the windows' anchors (about
-    a tenth as many) are counted first, and a bitmap of fixed size tells which anchors repeat; what
-    passes it by chance is settled by the exact count of the windows' 64-bit hashes, so the filter
-    decides nothing.  Of texts equal byte for byte one sends its windows, the copies are known to
-    repeat as a whole.  Counts combine map-side and hot windows are rejoined by the adaptive skew
-    join; only a text's own positions are gathered together.
+    a tenth as many) are counted first, and a bitmap tells which anchors repeat; what
+    passes it by chance is settled by the exact count, so the filter decides nothing.  It has 16 bits a repeated anchor
+    up to 16 MB; from some ten million repeated anchors on it fills, and more windows are sent that turn out single.  A window is
+    told by two hashes of 64 bits made with different bases over different word hashes.  Of texts equal byte for byte one sends its windows, the copies are known to
+    repeat as a whole.  Counts combine map-side and are written, so that the join of windows with the repeated ones reads two tables and
+    the adaptive skew join can split a hot window; only a text's own positions are gathered together.
 
     Defined cases: a null or wordless text has no words and keeps an empty text.  Every row is a
     document, so a repeated row is a copy and loses all words if it has `window` of them.  A null
-    id is kept as such.  Extra columns are ignored.  An empty table gives an empty result.
+    id is kept as such.  A text of any length is read whole, in memory in proportion to the longest one.  Extra columns are
+    ignored.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keyed = base.withColumn("t", F.xxhash64("text"))
-    light = keyed.select("id", "t", F.unhex(F.md5("text")).alias("m")).where("m is not null")
-    groups = light.groupBy("m").agg(F.count("*").alias("c"), F.min("id").alias("first")).where("c > 1")
-    copies = light.join(groups, "m").groupBy("id", "t").agg(F.bool_and(F.expr("id <=> first")).alias("sends"))
+    # A text goes by (k, t): its id, or a hash of it for a null id, and another hash; rows may repeat an id.
+    keyed = base.withColumn("k", F.coalesce("id", F.xxhash64("text"))).withColumn("t", F.hash("text"))
+    light = keyed.select("id", "k", "t", F.unhex(F.md5("text")).alias("m")).where("m is not null")
+    groups = written(light.groupBy("m").agg(F.count("*").alias("c"), F.min("id").alias("first")).where("c > 1"), "copied-texts")
+    copies = light.join(small_or_not(groups), "m").groupBy("k", "t").agg(F.bool_and(F.expr("id <=> first")).alias("sends"))
     copies = written(copies, "copies")
-    silent = copies.where("not sends").select("id", "t")
-    speaking = keyed.alias("a").join(small_or_not(silent).alias("b"), F.expr("a.t = b.t and a.id <=> b.id"), "left_anti")
-    repeated = spark.sparkContext.broadcast(_repeated_filter(speaking.select("text").mapInArrow(_anchors(window), "g long")))
-    sent = written(speaking.select("id", "t", "text").mapInArrow(_candidates(window, repeated), "h long, id long, t long, pos int"), "windows")
-    again = sent.groupBy("h").count().where("count > 1").select("h")
-    marks = sent.join(again, "h").select("id", "t", "pos", F.lit(False).alias("copied"))
-    marks = marks.unionByName(copies.select("id", "t", F.lit(None).cast("int").alias("pos"), F.lit(True).alias("copied")))
-    marks = marks.groupBy("id", "t").agg(F.max("copied").alias("copied"), F.collect_list("pos").alias("found"))
+    silent = copies.where("not sends").select("k", "t")
+    speaking = keyed.join(small_or_not(silent), ["k", "t"], "left_anti")
+    size, bits = _repeated_filter(speaking.select("text").mapInArrow(_anchors(window), "g long"))
+    schema = "h long, g long, k long, t int, pos int"
+    repeated = spark.sparkContext.broadcast(bits)
+    sent = written(speaking.select("k", "t", "text").mapInArrow(_candidates(window, size, repeated), schema), "windows")
+    repeated.destroy()
+    again = written(sent.groupBy("h", "g").count().where("count > 1").select("h", "g"), "repeated-windows")
+    marks = sent.join(small_or_not(again), ["h", "g"]).select("k", "t", "pos", F.lit(False).alias("copied"))
+    marks = marks.unionByName(copies.select("k", "t", F.lit(None).cast("int").alias("pos"), F.lit(True).alias("copied")))
+    marks = written(marks.groupBy("k", "t").agg(F.max("copied").alias("copied"), F.collect_list("pos").alias("found")), "marks")
     cut, schema = _cut(window)
-    joined = keyed.alias("a").join(marks.alias("b"), F.expr("a.t = b.t and a.id <=> b.id"), "left")
-    out = joined.select("a.id", "a.text", F.coalesce("b.copied", F.lit(False)).alias("copied"), "b.found").mapInArrow(cut, schema)
+    joined = keyed.join(marks, ["k", "t"], "left")
+    out = joined.select("id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "found").mapInArrow(cut, schema)
     return out.withColumnRenamed("id", id_col)
