@@ -75,7 +75,7 @@ def chained(names, spans):
     sets = {x: np.arange(2 * spans[x], 2 * spans[x] + 20) if x in spans else np.arange(20) + 1000 * (k + 1) for k, x in enumerate(names)}
     n, zero = len(names), pa.array([0] * len(names), pa.int64())
     held = pa.array([sets[x].tolist() for x in names], pa.list_(pa.int64()))
-    rows = pa.table({"id": range(n), "chunk": zero, "component": range(n), "b1": zero, "b2": zero, "b3": zero, "lo": zero, "hi": zero, "shingles": held})
+    rows = pa.table({"id": range(n), "component": range(n), "b1": zero, "b2": zero, "b3": zero, "turn": [k > 0 for k in range(n)], "shingles": held})
     top = list(range(n))
     for u, v in minhash._compare(rows, 80, 192):
         top = [top[u] if t == top[v] else t for t in top]

@@ -106,21 +106,17 @@ def _sets(shingle: int):
 def _compare(rows: pa.Table, percent: int, most: int) -> list[tuple[int, int]]:
     """Links between rows of one block that tie together components not yet tied; each is confirmed on the full sets."""
     col = lambda name: rows[name].to_numpy()
-    ids, chunk = col("id"), col("chunk")
+    ids, turn = col("id"), rows["turn"].to_numpy()
     bits = np.stack([col(f"b{k}").view(np.uint64) for k in (1, 2, 3)], axis=1)
     sets = rows["shingles"].combine_chunks()
     n = sets.value_lengths().to_numpy().astype(np.int64)
     flat, ends = sets.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)])
-    same = bool(rows["lo"][0].as_py() == rows["hi"][0].as_py())
     _, label = np.unique(col("component"), return_inverse=True)
     sizes = np.bincount(label)
-    # Of two rows of different components at most one is in the largest, so the other's turn comes.  That holds only for the components at the start.
-    turns = np.flatnonzero(label != sizes.argmax())
+    turns = np.flatnonzero(turn)
     found = []
     for a in turns[np.argsort(sizes[label[turns]], kind="stable")]:
         near = (label != label[a]) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
-        if not same:
-            near &= chunk != chunk[a]
         near &= np.bitwise_count(bits ^ bits[a]).sum(axis=1) <= most
         left, own = np.flatnonzero(near), flat[ends[a] : ends[a + 1]]
         while len(left):
@@ -138,7 +134,7 @@ def _compare(rows: pa.Table, percent: int, most: int) -> list[tuple[int, int]]:
 
 def _blocks(percent: int, most: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in whole_groups(batches, ["key", "lo", "hi"]):
+        for rows, starts in whole_groups(batches, ["key", "chunk", "block"]):
             for a, b in zip(starts, [*starts[1:], rows.num_rows], strict=True):
                 found = _compare(rows.slice(a, b - a), percent, most)
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
@@ -159,7 +155,8 @@ def near_duplicates(
     then on.  Band buckets are linked in two exact steps: every member is compared with its
     bucket's smallest id; then, only in buckets whose members are still in several components,
     members of different components are compared: in small buckets as pairs, in larger ones block by block inside tasks
-    that give out only the links that tie components together.
+    that give out only the links that tie components together.  Blocks hold the members outside a bucket's largest component, by chunks,
+    against all: a bucket of c members of which m are outside costs c rows for each 512 of the m.
     Every pair that shares a bucket is thus compared or already known to be connected, without
     emitting all pairs of a bucket.  With 32 bands of 5 a pair at 0.8 shares none with
     probability 3e-6.  Each candidate is confirmed on the full sets.
@@ -173,13 +170,14 @@ def near_duplicates(
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     describe, schema = _describe(shingle, bands, rows)
     described = written(base.mapInArrow(describe, schema), "signatures")
-    firsts = described.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"))
+    firsts = written(described.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep")), "firsts")
     # The representatives alone keep their bands.  Equal texts have equal sets, so any row will do.
     reps = described.where("id is not null and n_shingles > 0").join(firsts.withColumnRenamed("rep", "id"), ["f1", "f2", "id"], "left_semi")
     reps = reps.dropDuplicates(["id", "f1", "f2"])
     buckets = reps.select("id", "n_shingles", "b1", "b2", "b3", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("held"), F.min("id").alias("hub")).where("c > 1")
-    members = written(buckets.join(shared, "key"), "members")
+    # Counts are written before they are joined, here and below, so that the adaptive skew join can split a hot bucket.
+    members = written(buckets.join(small_or_not(written(shared, "buckets")), "key"), "members")
 
     width = min(192, bands * rows)
     share = percent / 100
@@ -194,19 +192,30 @@ def near_duplicates(
     links = _verified(base, stars, shingle, percent)
     found = connected_components(links)
 
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    placed = written(placed.join(split, "key", "left_semi"), "split")
+    placed = written(members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    # The largest component of each bucket that is still split.
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    split = sizes.groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("n", "component", "s")).alias("most")).where("components > 1")
+    split = written(split.select("key", F.col("most.component").alias("largest"), F.col("most.n").alias("its_n"), F.col("most.s").alias("its_s")), "split-buckets")
+    placed = written(placed.join(small_or_not(split), "key"), "split")
     few = placed.where(F.col("c") <= SMALL).select("key", "id", "hub", "component", "n_shingles", "b1", "b2", "b3")
     rest = (
         few.alias("a").join(few.alias("b"), F.expr(f"a.key = b.key and a.id < b.id and a.component != b.component and a.id != a.hub and b.id != b.hub and {alike}"))
         .select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
     )
     more = _verified(base, rest, shingle, percent)
-    many = placed.where(F.col("c") > SMALL).withColumn("parts", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int"))
-    many = many.withColumn("chunk", F.expr("cast(pmod(xxhash64(id, 5), parts) as int)")).withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = many.select("key", "id", "component", "b1", "b2", "b3", "n_shingles", "chunk", F.least("chunk", "partner").alias("lo"), F.greatest("chunk", "partner").alias("hi"))
-    many = many.join(_sets_of(base, many.select("id"), shingle), "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    # Of two rows of different components one is not in the largest.  Those few are dealt to chunks; each chunk meets all rows of the bucket once.
+    many = placed.where(F.col("c") > SMALL).withColumn("minor", F.col("component") != F.col("largest"))
+    parts = F.greatest(F.ceil((F.col("c") - F.col("its_n")) / BLOCK_ROWS), F.ceil((F.col("held") - F.col("its_s")) / BLOCK_SHINGLES))
+    many = many.withColumn("parts", F.greatest(parts, F.lit(1)).cast("int"))
+    many = many.withColumn("own", F.when(F.col("minor"), F.expr("cast(pmod(xxhash64(id, 5), parts) as int)")))
+    many = many.withColumn("wide", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int"))
+    many = many.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("strip", F.expr("cast(pmod(xxhash64(id, 7), wide) as int)"))
+    # A chunk's own rows go to every strip of the bucket, the others to the one that they fall into.
+    strips = F.when(F.col("own") == F.col("chunk"), F.sequence(F.lit(0), F.col("wide") - 1)).otherwise(F.array("strip"))
+    many = many.withColumn("block", F.explode(strips)).withColumn("turn", F.coalesce(F.col("own") == F.col("chunk"), F.lit(False)))
+    many = many.select("key", "id", "component", "b1", "b2", "b3", "n_shingles", "chunk", "block", "turn")
+    many = many.join(_sets_of(base, many.select("id"), shingle), "id").repartition("key", "chunk", "block").sortWithinPartitions("key", "chunk", "block")
     more = more.unionByName(written(many.mapInArrow(_blocks(percent, most), "u long, v long"), "block-links"))
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
