@@ -43,10 +43,10 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
-    """docs with a domain by the number that ends the source's name."""
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
+    """docs with a domain, in the column `name`, by the number that ends the source's name."""
     number = F.expr("try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) as int)")
-    return docs.withColumn("domain", F.coalesce(F.get(F.array(*map(F.lit, DOMAINS)), number % len(DOMAINS)), F.lit("other")))
+    return docs.withColumn(name, F.coalesce(F.get(F.array(*map(F.lit, DOMAINS)), number % len(DOMAINS)), F.lit("other")))
 
 
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:

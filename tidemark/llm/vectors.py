@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import connected_components
-from tidemark.llm.work import whole_groups, written
+from tidemark.llm.work import small_or_not, whole_groups, written
 
 #: Pairs of rows that are compared at a time inside a task.
 PAIRS = 1 << 16
@@ -149,9 +150,15 @@ def _links_of(cosine: float, deviations: float, seed: int):
     return found
 
 
+def bands_for(cosine: float, bits: int, missed: float) -> int:
+    """Bands of which a pair at the cosine shares at least one but for the probability `missed`."""
+    same = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** bits
+    return 1 if same >= 1 else max(1, math.ceil(math.log(missed) / math.log1p(-same)))
+
+
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98,
-    bands: int = 40, bits: int = 16, block: int = 512, deviations: float = 5.0, seed: int = 17,
+    bands: int | None = None, bits: int | None = None, block: int = 512, deviations: float = 5.0, seed: int = 17, missed: float = 4e-8,
 ) -> DataFrame:
     """One row for each row of vectors: id, n_links, component_id, kept.
 
@@ -160,8 +167,9 @@ def near_vectors(
     reachable, kept marks id = component_id.
 
     Equal vectors are first gathered to one representative with a count.  Sign bits against random
-    hyperplanes give `bands` bucket keys of `bits` bits: a pair at 0.98 shares none of 40 with
-    probability 4e-8.  Within a bucket the pairs are screened by codes: the signs of the randomly
+    hyperplanes give `bands` bucket keys of `bits` bits.  Unless given, bits grow with the logarithm of the counted
+    representatives (16 to 30), so that buckets of unlike vectors stay small, and bands follow from them: a pair at
+    the threshold shares none with a probability of at most `missed` (40 bands of 16 bits at 0.98).  Within a bucket the pairs are screened by codes: the signs of the randomly
     rotated vector and its stored correction factor give an unbiased estimate of the inner product
     with a confidence bound, and only pairs whose upper bound reaches the threshold are recomputed
     exactly (a bound of five deviations).  Buckets of more than `block` rows are dealt to chunks and
@@ -180,14 +188,16 @@ def near_vectors(
     firsts = keyed.where("usable").groupBy(*group).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     firsts = firsts.withColumn("dim", F.size("vec")).withColumn("node", F.monotonically_increasing_id())
     firsts = written(firsts, "vector-groups")
+    bits = bits or min(30, max(16, (firsts.count() // 4).bit_length()))
+    bands = bands or bands_for(cosine, bits, missed)
     schema = f"id long, label long, dim int, n long, vec {firsts.schema['vec'].dataType.simpleString()}, keys array<int>, code binary, factor double"
     coded = firsts.select(F.col("node").alias("id"), "label", "dim", "n", "vec").mapInArrow(_describe(bands, bits, seed), schema)
     coded = written(coded, "vector-codes")
 
     bucket = ["label", "dim", "band", "key"]
     placed = coded.select("id", "label", "dim", F.posexplode("keys").alias("band", "key"))
-    shared = placed.groupBy(*bucket).agg(F.count("*").alias("c")).where("c > 1")
-    parts = placed.join(shared, bucket).withColumn("parts", F.ceil(F.col("c") / block).cast("int"))
+    shared = written(placed.groupBy(*bucket).agg(F.count("*").alias("c")).where("c > 1"), "vector-buckets")
+    parts = placed.join(small_or_not(shared), bucket).withColumn("parts", F.ceil(F.col("c") / block).cast("int"))
     parts = parts.withColumn("chunk", F.expr("cast(pmod(xxhash64(id, 3), parts) as int)"))
     parts = parts.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     parts = parts.select("id", "band", "key", "chunk", F.least("chunk", "partner").alias("lo"), F.greatest("chunk", "partner").alias("hi"))
