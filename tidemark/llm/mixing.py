@@ -94,6 +94,7 @@ def mix(
         inside = hashed.join(cuts, keys).where(F.substring("h", 1, digits) == F.col("cut"))
         digits += DIGITS
         sums = inside.groupBy(*keys, "left", "gone", F.substring("h", 1, digits).alias("bucket")).agg(F.sum("_n").alias("t"), F.count("*").alias("c"))
+        sums = written(sums, "mix-sums")  # added up by bucket before a leaf's few hundred sums meet in one task
         upto = F.col("gone") + F.sum("t").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         found = sums.withColumn("upto", upto).where("upto >= left").groupBy(*keys).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("t")).alias("gone"), "c")).alias("x"))
         found = written(found.select(*keys, F.col("x.bucket").alias("cut"), F.col("x.gone").alias("gone"), F.col("x.c").alias("c")), "mix-cuts")
