@@ -11,8 +11,8 @@ ABBREVIATIONS = {
 }
 #: What remote work is recognised by.
 REMOTE_HINTS = ["remote", "work from home", "telework", "virtual", "anywhere"]
-#: Typographic characters and what they fold to, one for one.
-FOLD_FROM, FOLD_TO = "‘’‚“”„–—−   ", "'''\"\"\"---   "
+#: Typographic characters and what they fold to, one for one: six quotation marks, eight dashes, four spaces.
+FOLD_FROM, FOLD_TO = "‘’ʼ´“”‐‑‒–—―−­   ﻿", "''''\"\"--------    "
 
 
 def _col(c: Column | str) -> Column:
