@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -45,11 +46,16 @@ def test_texts(spark):
     assert values(spark, [" x x x "], text.term_count(F.col("a"), F.lit(" x "))) == [2]
     assert values(spark, ["a  b", "one two three four", None], text.excerpt("a", 9)) == ["a b", "one two…", ""]
     assert values(spark, ["https://x.org/jobs/head-coach_fort-12?x=1", "https://x.org/"], text.deslugify("a")) == ["Head Coach Fort", None]
-    assert values(spark, ["<p>a&amp;b</p><script>x<y</script><b>c</b>"], text.html_to_text("a")) == ["a&b\nc"]
+    html = ["<p>a&amp;b</p><script>x<y</script><b>c</b>", "caf&eacute;&#8211;&#x2019;&rsquo;&nbsp;x &unknown; &#150; R&D; AT&T", "&lt;b&gt;bold&lt;/b&gt;", None]
+    assert values(spark, html, text.html_to_text("a")) == ["a&b\nc", "café–’’ x &unknown; – R&D; AT&T", "bold", ""]
+    assert values(spark, ["https://x.org/jobs/" + "a" * 3000], F.length(text.deslugify("a"))) == [3000]
 
 
 def test_money(spark):
     said = ["$1,234.50", "-5", "(250)", "12.5.3", "1.5e6", "n/a", None, "€ 7"]
+    assert values(spark, [".5"], money.parse_amount(F.col("a"))) == [5.0]
+    labels = [("1000", x) for x in ("Every two weeks", "twice per month", "fortnightly", "per diem", "annualised", "2weeks", "hr.")]
+    assert values(spark, labels, money.annual_pay(F.col("a").cast("double"), F.lit(None).cast("double"), F.col("b"))) == [26000.0, 24000.0, 26000.0, 260000.0, None, None, None]
     assert values(spark, said, money.parse_amount(F.col("a"))) == [1234.5, -5.0, None, None, 1.5e6, None, None, 7.0]
     pay = money.annual_pay(F.col("a").cast("double"), F.lit(None).cast("double"), F.col("b"))
     assert values(spark, [("50", "salary per hour"), ("1000", "Bi-Weekly"), ("60000", ""), ("40", None), ("1", "year")], pay) == [104000.0, 26000.0, 60000.0, 83200.0, None]
@@ -68,6 +74,40 @@ def test_lexicon(spark):
     assert [r.award_score for r in award.collect()] == [11.5, 0.0]
 
 
+def first_come(rows, seen):
+    used, taken = [{x[k] for x in seen} - {None} for k in (0, 1)], []
+    for s, *keys in sorted(rows):
+        if not any(x in u for x, u in zip(keys, used, strict=True) if x is not None):
+            taken.append(s)
+            for x, u in zip(keys, used, strict=True):
+                u.add(x)
+    return taken
+
+
+@pytest.mark.parametrize("last_rows", [0, 100_000])
+def test_greedy_matches_brute_force(spark, last_rows):
+    rng = random.Random(3)
+    rows = [(s, rng.choice([None, *(f"i{k}" for k in range(60))]), rng.choice([None, *(f"f{k}" for k in range(60))])) for s in range(200)]
+    seen = [("i1", "f1"), ("i2", None), (None, "f9")]
+    kinds = "identity string, fingerprint string"
+    out = history.filter_new(spark.createDataFrame(rows, "seq long, " + kinds), spark.createDataFrame(seen, kinds), last_rows=last_rows)
+    assert sorted(r.seq for r in out.collect()) == first_come(rows, seen)
+
+
+def test_greedy_settles_long_chains(spark):
+    rows = [(k, f"i{k // 2}", f"f{(k + 1) // 2}") for k in range(5000)]
+    kinds = "identity string, fingerprint string"
+    out = history.filter_new(spark.createDataFrame(rows, "seq long, " + kinds), spark.createDataFrame([], kinds))
+    assert sorted(r.seq for r in out.collect()) == list(range(0, 5000, 2))
+
+
+def test_filter_new_query_matches_brute_force(spark):
+    e = spark.read.parquet(f"{DATA}/events.parquet")
+    keys = e.select("event_id", F.concat("event_type", F.pmod(F.xxhash64("event_id"), F.lit(2000))), F.concat(F.lit("u"), "user_id")).collect()
+    want = first_come([tuple(r) for r in keys if r[0] % 100 > 0], [tuple(r)[1:] for r in keys if r[0] % 100 == 0])
+    assert sorted(r.seq for r in queries.QUERIES["filter_new"](spark, DATA).collect()) == want
+
+
 def test_greedy_takes_rows_that_only_dropped_rows_block(spark):
     new = spark.createDataFrame([(1, "i1", "X"), (2, "i2", "X"), (3, "i2", "Y"), (4, "i9", "Z"), (5, None, None), (6, None, None)], "seq long, identity string, fingerprint string")
     seen = spark.createDataFrame([("i9", "Q")], "identity string, fingerprint string")
@@ -112,12 +152,19 @@ def test_boards(spark):
 
 def test_captures(spark):
     results = "Title: Coach at Fort\nURL: https://a.org/jobs/coach-fort#x\nHighlights: one\ntwo\n...\nTitle: Again\nURL: https://a.org/jobs/coach-fort#y\nTitle: Top 10 jobs\nURL: https://b.org/jobs/some-job\n"
-    out = captures.search_results(spark.createDataFrame([(1, results)], "k int, t string"), "k", "t").orderBy("at").collect()
-    assert [(r.title, r.highlights, r.reason) for r in out] == [("Coach at Fort", "one\ntwo", None), ("Top 10 jobs", "", "editorial or announcement, not a posting")]
+    early = "Title: Best 5 ways\nURL: https://a.org/jobs/coach-fort\n"
+    out = captures.search_results(spark.createDataFrame([(1, early + results), (2, results)], "k int, t string"), "k", "t").orderBy("k", "at").collect()
+    editorial = "editorial or announcement, not a posting"
+    assert [(r.k, r.title, r.highlights, r.reason) for r in out] == [
+        (1, "Best 5 ways", "", editorial), (1, "Coach at Fort", "one\ntwo", None), (1, "Top 10 jobs", "", editorial), (2, "Top 10 jobs", "", editorial),
+    ]
     page = "SOURCE_URL: https://a.org\nRETRIEVED: 2024-01-10\n---\n## Coach\n\nAcme Reno, NV Full-Time ● Posted 3 days ago\n## Cook\n## Chef\n"
     out = captures.captured_listings(spark.createDataFrame([(1, page)], "k int, t string"), "k", "t").orderBy("at").collect()
     assert [(r.title, r.state, r.employment_type, str(r.posted_at)) for r in out][0] == ("Coach", "NV", "Full-Time", "2024-01-07 00:00:00")
     assert [r.meta for r in out][1:] == [None, None]
+    page = "SOURCE_URL: https://a.org\nRETRIEVED: 2024-01-10\n---\n## A\nFounded 3 years ago, Reno, NV Contract $50,000 - $60,000 / year ● Posted 2 weeks ago\n## B\nwon 5 days ago\n"
+    out = captures.captured_listings(spark.createDataFrame([(1, page)], "k int, t string"), "k", "t").orderBy("at").collect()
+    assert [(r.title, r.state, r.employment_type, r.pay, r.posted_at and str(r.posted_at)) for r in out] == [("A", "NV", "Contract", "$50,000 - $60,000 / year", "2023-12-27 00:00:00"), ("B", None, None, None, None)]
     html = '<script type="application/ld+json">{"@graph": [{"@type": "JobPosting", "title": "T", "identifier": {"value": "9"}}]}</script><script type="application/ld+json">{bad</script>'
     (row,) = captures.json_ld_postings(spark.createDataFrame([(1, html), (2, None)], "k int, h string"), "k", "h").collect()
     assert (row.source_id, row.title) == ("9", "T")
@@ -128,12 +175,15 @@ def test_catalogue(spark):
     rows = spark.createDataFrame([(1, good), (2, good.replace("\n", "\r\n")), (3, "no fence"), (4, good.replace("color: teal\n", ""))], "k int, t string")
     assert sorted((r.k, r.rule) for r in catalogue.lint(rows, "k", "t").collect()) == [(2, "crlf"), (3, "fence"), (4, "missing color")]
     assert [(r.title, r.part) for r in catalogue.sections(rows.where("k = 1"), "k", "t").orderBy("at").collect()] == [("Identity", "soul"), ("Core Mission", "agents"), ("Critical Rules", "soul")]
-    assert values(spark, ["teal", "#abc", "123456", "nope"], catalogue.normal_colour(F.col("a"))) == ["#008080", "#AABBCC", "#123456", None]
+    assert values(spark, ["teal", "#abc", "123456", "nope"], catalogue.normal_colour(F.col("a"))) == ["#008080", "#6B7280", "#123456", "#6B7280"]
 
 
 def test_sinks(spark):
     board = spark.createDataFrame([("1", "A<b", "u", "greenhouse:x", None, None, 1.0, datetime(2024, 1, 1), "d", "e")], "id string, title string, url string, source string, state string, validity string, score double, listed_at timestamp, description string, employer string")
     assert sinks.confidence(board).first().confidence == "listed"
+    said = [("live", None, "x", "1"), (None, "High Confidence", "workday:x", None), (None, "odd", "workday:x", None), (None, "verified", "workday:x", "1"), ("dead", None, "WorkdayX", "1"), (None, None, None, None)]
+    marked = sinks.confidence(spark.createDataFrame([(k, *r) for k, r in enumerate(said)], "k int, state string, validity string, source string, id string"))
+    assert [r.confidence for r in marked.orderBy("k").collect()] == ["verified", "listed", "aggregator", "listed", "listed", "aggregator"]
     assert "<title>A&lt;b</title>" in sinks.rss(board).first().item
     assert sinks.review_queue(board).first().line == "- [ ] **A<b** (e) 1.0 u"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,14 +90,34 @@ def fold_typography(c: Column | str) -> Column:
     return F.translate(_col(c), FOLD_FROM, FOLD_TO)
 
 
+def unescape(c: Column) -> Column:
+    """Character references decoded: numeric ones, also those of Windows' own range, and the named ones of HTML 4; unknown ones stay."""
+    reference = "&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,8});?"
+    names = F.create_map(*(F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))), F.lit("apos"), F.lit("'"))
+    windows = {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+    remapped = F.create_map(*(F.lit(x) for n, char in windows.items() if char != "\ufffd" for x in (n, char)))
+
+    def decoded(word: Column) -> Column:
+        name = F.regexp_replace(word, "^&|;$", "")
+        digits = F.regexp_extract(name, "^#[xX]?([0-9a-fA-F]+)$", 1)
+        point = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).when(name.rlike("^#"), digits).try_cast("int")
+        good = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+        char = F.when(good, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+        named = F.when(F.endswith(word, F.lit(";")), F.element_at(names, name))
+        return F.coalesce(F.element_at(remapped, point), char, named, word)
+
+    gaps, words = F.split(c, reference, -1), F.regexp_extract_all(c, F.lit(reference), F.lit(0))
+    pieces = F.zip_with(gaps, words, lambda gap, word: F.concat(gap, F.coalesce(decoded(word), F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
+
+
 def html_to_text(c: Column | str) -> Column:
-    """Text of markup: scripts, styles and comments out, block tags as line ends, common entities decoded."""
-    text = F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav)\b[^>]*>", "\n")
+    """Text of markup: character references decoded, scripts, styles and comments out, block tags as line ends; null is empty."""
+    text = unescape(F.coalesce(_col(c), F.lit("")))
+    text = F.regexp_replace(text, r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", " ")
+    text = F.regexp_replace(text, r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|blockquote|pre)\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"[ \t\r\f\x0B ]+", " ")
+    text = F.regexp_replace(text, r"[ \t\r\f\x0B\u00a0]+", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
@@ -105,4 +127,4 @@ def deslugify(url: Column | str) -> Column:
     parts = F.filter(F.split(path, "/"), lambda s: s.rlike("[a-zA-Z]{3}"))
     last = F.regexp_replace(F.element_at(F.when(F.size(parts) > 0, parts), -1), r"\.[a-z]{2,5}$", "")
     words = F.filter(F.split(last, "[-_+]+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))), " ")

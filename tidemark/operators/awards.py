@@ -13,11 +13,34 @@ def distinct_awards(df: DataFrame, seq: str = "seq") -> DataFrame:
     return df.groupBy(key.alias("_k")).agg(F.min_by(F.struct(*df.columns), seq).alias("_r")).select("_r.*")
 
 
-def rank_recipients(df: DataFrame, recipient: str, amount: str, agency: str, award_id: str, when: str) -> DataFrame:
-    """recipient, awards, total, missing, agencies, latest: by recipient whatever the case; most money, then most awards, then name."""
-    grouped = df.where(F.trim(recipient) != "").groupBy(F.lower(F.trim(recipient)).alias("_k")).agg(
-        F.min(recipient).alias("recipient"), F.count("*").alias("awards"), F.round(F.coalesce(F.sum(amount), F.lit(0.0)), 2).alias("total"),
-        F.count_if(F.col(amount).isNull()).alias("missing"), F.array_join(F.sort_array(F.collect_set(agency)), ",").alias("agencies"),
-        F.count_distinct(award_id).alias("award_ids"), F.max(when).alias("latest"),
+def rank_recipients(
+    df: DataFrame, recipient: str = "recipient", amount: str = "amount", agency: str = "agency", award_id: str = "award_id", when: str = "start_date", seq: str = "seq",
+    state: str | None = None, description: str | None = None, relevance: str | None = None, top: int = 0,
+) -> DataFrame:
+    """One row for each recipient, whatever the case of its name: recipient (as first spelt by seq), awards, total, missing (amounts), agencies, states and
+    award_ids (distinct; the first two sorted, ids as first seen), latest, top_description.
+
+    latest is the last ISO date (strings starting yyyy-mm-dd sort as dates), or else the first text of a recipient that has no such date.  top_description
+    belongs to the most relevant award, of equals the first with one.  Order: most money, most awards, name; top of 0 means all.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c else F.lit("")
+    date = text(when)
+    iso = date.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    named = lambda c: F.array_sort(F.collect_set(F.when(text(c) != "", text(c))))
+    ids = F.array_sort(F.collect_list(F.when(text(award_id) != "", F.struct(F.col(seq).alias("s"), text(award_id).alias("v")))))
+    worth = F.greatest(F.coalesce(F.col(relevance).cast("double"), F.lit(0.0)), F.lit(0.0)) if relevance else F.lit(0.0)
+    grouped = df.where(text(recipient) != "").groupBy(F.lower(text(recipient)).alias("_k")).agg(
+        F.min_by(text(recipient), seq).alias("recipient"), F.count("*").alias("awards"), F.round(F.coalesce(F.sum(amount), F.lit(0.0)), 2).alias("total"),
+        F.count_if(F.col(amount).isNull()).alias("missing"), named(agency).alias("agencies"), named(state).alias("states"),
+        F.array_distinct(F.transform(ids, lambda x: x["v"])).alias("award_ids"),
+        F.coalesce(F.max(F.when(iso, date)), F.min_by(F.when(date != "", date), F.when(date != "", F.col(seq)))).alias("latest"),
+        F.min_by(text(description), F.when(text(description) != "", F.struct((-worth).alias("w"), F.col(seq).alias("s")))).alias("top_description"),
     )
-    return grouped.select("recipient", "awards", "total", "missing", "agencies", "award_ids", "latest").orderBy(F.desc("total"), F.desc("awards"), F.lower("recipient"))
+    ranked = grouped.drop("_k").orderBy(F.desc("total"), F.desc("awards"), F.lower("recipient"))
+    return ranked.limit(top) if top > 0 else ranked
+
+
+def leads(df: DataFrame, ranked: DataFrame, recipient: str = "recipient") -> DataFrame:
+    """The awards whose recipients, whatever the case, are among the ranked ones that are shown."""
+    shown = ranked.select(F.lower(F.trim("recipient")).alias("_k")).distinct()
+    return df.join(shown, F.lower(F.trim(F.col(recipient))) == F.col("_k"), "left_semi")

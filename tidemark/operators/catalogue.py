@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 REQUIRED, RECOMMENDED, LEAST_WORDS = ["name", "description", "color"], ["Identity", "Core Mission", "Critical Rules"], 50
 #: Section titles of the first part.
 SOUL = r"identity|learning.*memory|communication|style|critical.rule|rules.you.must.follow"
-#: Named colours.
-COLOURS = {"blue": "#3498DB", "red": "#E74C3C", "green": "#2ECC71", "purple": "#9B59B6", "orange": "#F39C12", "teal": "#008080", "cyan": "#00FFFF", "pink": "#E84393", "yellow": "#F1C40F", "gray": "#6B7280"}
+#: Named colours, and that of anything else.
+COLOURS = {
+    "cyan": "#00FFFF", "blue": "#3498DB", "green": "#2ECC71", "red": "#E74C3C", "purple": "#9B59B6", "orange": "#F39C12", "teal": "#008080", "indigo": "#6366F1",
+    "pink": "#E84393", "gold": "#EAB308", "amber": "#F59E0B", "neon-green": "#10B981", "neon-cyan": "#06B6D4", "metallic-blue": "#3B82F6", "yellow": "#EAB308",
+    "violet": "#8B5CF6", "rose": "#F43F5E", "lime": "#84CC16", "gray": "#6B7280", "fuchsia": "#D946EF",
+}
+GREY = "#6B7280"
 
 
 def header(text: Column) -> Column:
@@ -57,12 +62,11 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def normal_colour(c: Column) -> Column:
-    """#RRGGBB from a name, three or six hex digits; null for others."""
-    low = F.lower(F.trim(c))
-    bare = F.regexp_replace(low, "^#", "")
+    """#RRGGBB from a name or six hex digits; grey for anything else."""
+    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
     named = F.element_at(F.create_map(*(F.lit(x) for pair in COLOURS.items() for x in pair)), low)
-    six = F.when(bare.rlike("^[0-9a-f]{6}$"), bare).when(bare.rlike("^[0-9a-f]{3}$"), F.regexp_replace(bare, "(.)", "$1$1"))
-    return F.coalesce(named, F.concat(F.lit("#"), F.upper(six)))
+    digits = F.regexp_extract(low, "^#?([0-9a-f]{6})$", 1)
+    return F.coalesce(named, F.when(digits != "", F.concat(F.lit("#"), F.upper(digits))), F.lit(GREY))
 
 
 def render(df: DataFrame, template: str, *columns: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,27 +33,42 @@ def append_revisions(new: DataFrame, archive: DataFrame, key: str, seq: str, con
     return revisions(new, key, seq, content).join(same, [key, seq], "left_anti")
 
 
-def filter_new(new: DataFrame, seen: DataFrame, identity: str = "identity", fingerprint: str = "fingerprint", seq: str = "seq", rounds: int = 200) -> DataFrame:
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (s, i, f) in the order of s: the s of each whose two keys no row taken before has."""
+    used_i, used_f = set(), set()
+    for batch in batches:
+        taken = []
+        for s, i, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if i not in used_i and f not in used_f:
+                used_i.add(i)
+                used_f.add(f)
+                taken.append(s)
+        yield pa.RecordBatch.from_arrays([pa.array(taken, batch.schema.field(0).type)], names=["s"])
+
+
+def filter_new(new: DataFrame, seen: DataFrame, identity: str = "identity", fingerprint: str = "fingerprint", seq: str = "seq", last_rows: int = 100_000) -> DataFrame:
     """Rows of `new` that are in neither key known, taken greedily by seq: a row goes only if a row taken before shares a key.
 
-    Two anti-joins against the seen state, then rounds: an open row that is first in both of its
+    Two anti-joins against the seen state.  Then rounds over all rows at once: an open row that is first in both of its
     groups is taken, open rows that share a key with one taken are dropped.  Most rows settle in the first
-    round.  seq must be unique.  A null key matches nothing.
+    rounds; what is left are chains in which each row waits for the one before.  As soon as no more than
+    `last_rows` rows are open they are walked in order by one task, so a chain of any length ends; until then rounds go on, without a limit.
+    seq must be unique.  A null key matches nothing.
     """
-    names = new.columns
+    names, kind = new.columns, new.schema[seq].dataType.simpleString()
     fresh = new.join(seen.select(identity).distinct(), identity, "left_anti").join(seen.select(fingerprint).distinct(), fingerprint, "left_anti").select(*names)
-    keys = stored(fresh.select(F.col(seq).alias("s"), F.coalesce(F.col(identity), F.concat(F.lit("\0"), F.col(seq))).alias("i"), F.coalesce(F.col(fingerprint), F.concat(F.lit("\0"), F.col(seq))).alias("f")))
-    left, taken = keys, None
-    for _ in range(rounds):
+    own = lambda c: F.coalesce(F.col(c).cast("string"), F.concat(F.lit("\0"), F.col(seq)))
+    left, taken = stored(fresh.select(F.col(seq).alias("s"), own(identity).alias("i"), own(fingerprint).alias("f")), "open"), None
+    while left.count() > last_rows:
         by_i, by_f = left.groupBy("i").agg(F.min("s").alias("mi")), left.groupBy("f").agg(F.min("s").alias("mf"))
-        ranked = stored(left.join(by_i, "i").join(by_f, "f"))
+        ranked = stored(left.join(by_i, "i").join(by_f, "f"), "ranked")
         now = ranked.where("s = mi and s = mf").select("s", "i", "f")
-        taken = now if taken is None else taken.unionByName(now)
+        taken = now.select("s") if taken is None else taken.unionByName(now.select("s"))
         rest = ranked.where("not (s = mi and s = mf)").select("s", "i", "f")
-        left = stored(rest.join(now.select("i"), "i", "left_anti").join(now.select("f"), "f", "left_anti"))
-        if left.isEmpty():
-            return new.join(taken.select(F.col("s").alias(seq)), seq, "left_semi").select(*names)
-    raise RuntimeError("rows did not settle")
+        left = stored(rest.join(now.select("i"), "i", "left_anti").join(now.select("f"), "f", "left_anti"), "open")
+    end = left.repartition(1).sortWithinPartitions("s").mapInArrow(_greedy, f"s {kind}")
+    taken = end if taken is None else taken.unionByName(end)
+    return new.join(taken.select(F.col("s").alias(seq)), seq, "left_semi").select(*names)
 
 
 def mark(state: DataFrame, batch: DataFrame, key: str = "identity") -> DataFrame:

@@ -21,10 +21,23 @@ def _entries(terms: dict[str, float]) -> Column:
     return F.array(*(F.struct(F.lit(t).alias("term"), F.lit(needle(t)).alias("needle"), F.lit(float(w)).alias("weight")) for t, w in terms.items()))
 
 
+#: Up to so many terms are written out one by one, so that they are compiled; a longer lexicon is walked as an array.
+WRITTEN_OUT = 120
+
+
 def axis(terms: dict[str, float], title: Column, body: Column) -> tuple[Column, Column]:
     """Score and terms hit: 2.5 times the weight for the title, once for each of up to three places in the body."""
     if not terms:
         return F.lit(0.0), F.array().cast("array<string>")
+    if len(terms) <= WRITTEN_OUT:
+        score, hits = F.lit(0.0), []
+        for t, w in terms.items():
+            own = F.lit(needle(t))
+            in_title, in_body = F.contains(title, own), F.contains(body, own)
+            count = F.when(in_body, F.least(term_count(body, own), F.lit(BODY_CAP))).otherwise(0)
+            score = score + F.when(in_title, w * TITLE_TIMES).otherwise(0.0) + F.lit(float(w)) * count
+            hits.append(F.when(in_title | in_body, F.lit(t)))
+        return score, F.array_compact(F.array(*hits))
 
     def worth(e: Column) -> Column:
         return F.when(F.contains(title, e["needle"]), e["weight"] * TITLE_TIMES).otherwise(F.lit(0.0)) + e["weight"] * F.least(term_count(body, e["needle"]), F.lit(BODY_CAP))
@@ -41,8 +54,7 @@ def classify(df: DataFrame, title: str, body: str, employer: str, domain: dict[s
     the sum decides: publish, review or reject.
     """
     out = df.withColumn("_t", haystack(title)).withColumn("_b", haystack(body, employer))
-    out = out.withColumn("excluded_by", F.filter(F.array(*map(F.lit, exclusions)).cast("array<string>"), lambda x: F.lit(False)) if not exclusions else F.transform(
-        F.filter(_entries(dict.fromkeys(exclusions, 0.0)), lambda e: F.contains(F.col("_t"), e["needle"]) | F.contains(F.col("_b"), e["needle"])), lambda e: e["term"]))
+    out = out.withColumn("excluded_by", axis(dict.fromkeys(exclusions, 0.0), F.col("_t"), F.col("_b"))[1])
     clear = F.size("excluded_by") == 0
     none = F.array().cast("array<string>")
     for name, terms in (("domain", domain), ("discipline", discipline)):

@@ -2,46 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.storage import stored
+from tidemark.functions import wordhash
+from tidemark.operators.storage import small_or_not, stored
 
 #: Shares at which a best match fails or warns.
 FAIL, WARN = 0.40, 0.20
 
 
-def shingle_words(text: Column, entities: list[str] | None = None) -> Column:
-    """Lower-case words of a-z and 0-9, header and named entities out."""
+def shingle_text(text: Column, entities: list[str] | None = None) -> Column:
+    """Lower case, header and named entities out, all but a-z and 0-9 as single spaces."""
     body = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)\A---.*?---", ""))
     if entities:
         body = F.regexp_replace(body, r"\b(" + "|".join(entities) + r")\b", " ")
-    return F.filter(F.split(F.regexp_replace(body, "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    return F.regexp_replace(body, "[^a-z0-9]+", " ")
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, k: int = 8, entities: list[str] | None = None) -> DataFrame:
+    """id and the hashes of its distinct k-word shingles, one row a text: stored, so texts are cut and hashed once, by whole batches."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, past, data, offsets in wordhash.blocks(batch.column(1)):
+                w = wordhash.split_words(data, offsets)
+                rolled = wordhash.rolling_hashes(wordhash.word_hashes(w), k)
+                sets = [np.unique(rolled[a : max(a, b - k + 1)]) for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, past - first), wordhash.list_array(values.view(np.int64), ends)], names=["id", "hs"])
+
+    rows = df.select(F.col(id_col).alias("id"), shingle_text(F.col(text_col), entities).alias("t"))
+    return stored(rows.mapInArrow(hashed, f"id {rows.schema['id'].dataType.simpleString()}, hs array<long>"), "shingles")
 
 
-def shingle_hashes(df: DataFrame, id_col: str, text_col: str, k: int = 8, entities: list[str] | None = None) -> DataFrame:
-    """id and its distinct k-word shingles' hashes, one row each.  Words are stored first, so they are cut once, not once a shingle."""
-    words = stored(df.select(F.col(id_col).alias("id"), shingle_words(F.col(text_col), entities).alias("w")))
-    starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, k)))
-    return words.select("id", F.explode(F.array_distinct(hashes)).alias("h"))
+def _exploded(sets: DataFrame) -> DataFrame:
+    return sets.select("id", F.explode("hs").alias("h"))
 
 
 def best_match(candidates: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, entities: list[str] | None = None) -> DataFrame:
     """id, best_id, similarity, verdict: each candidate's highest Jaccard similarity to any other row of the corpus, the least id of equals.
 
-    Only shingles that a candidate holds are kept of the corpus, so the join is of the size of their
-    overlaps; sizes come from counts.  No shared shingle gives 0 and no best_id.
+    Of the corpus only shingles that a candidate holds are exploded further, so the join is of the size of the overlaps;
+    sizes are those of the stored sets.  No shared shingle gives 0 and no best_id.  An id is one row of the corpus.
     """
-    base = stored(shingle_hashes(corpus, id_col, text_col, k, entities))
-    wanted = stored(base.join(candidates.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi"))
-    sizes = base.groupBy("id").agg(F.count("*").alias("n"))
-    held = base.join(wanted.select("h").distinct(), "h", "left_semi").withColumnRenamed("id", "other")
-    common = wanted.join(held, "h").where("id != other").groupBy("id", "other").agg(F.count("*").alias("c"))
+    base = shingle_sets(corpus, id_col, text_col, k, entities)
+    mine = candidates.select(F.col(id_col).alias("id")).distinct()
+    wanted = stored(_exploded(base.join(mine, "id", "left_semi")), "wanted")
+    asked = small_or_not(stored(wanted.select("h").distinct(), "asked"))
+    held = stored(_exploded(base).join(asked, "h", "left_semi").withColumnRenamed("id", "other"), "held")
+    common = wanted.join(small_or_not(held), "h").where("id != other").groupBy("id", "other").agg(F.count("*").alias("c"))
+    sizes = base.select("id", F.size("hs").alias("n"))
     pairs = common.join(sizes, "id").join(sizes.select(F.col("id").alias("other"), F.col("n").alias("m")), "other")
     scored = pairs.withColumn("similarity", F.col("c") / (F.col("n") + F.col("m") - F.col("c")))
     best = scored.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("other")).alias("o"))).alias("b"))
-    out = candidates.select(F.col(id_col).alias("id")).distinct().join(best, "id", "left")
+    out = mine.join(best, "id", "left")
     similarity = F.coalesce("b.similarity", F.lit(0.0))
     verdict = F.when(similarity >= FAIL, "fail").when(similarity >= WARN, "warn").otherwise("ok")
     return out.select(F.col("id").alias(id_col), (-F.col("b.o")).alias("best_id"), F.round(similarity, 6).alias("similarity"), verdict.alias("verdict"))
@@ -49,8 +69,9 @@ def best_match(candidates: DataFrame, corpus: DataFrame, id_col: str = "doc_id",
 
 def contained(items: DataFrame, corpus: DataFrame, item_id: str, id_col: str, text_col: str = "text", k: int = 8) -> DataFrame:
     """item, document and the share of the item's shingles that the document holds, for every pair that shares one."""
-    wanted = stored(shingle_hashes(items, item_id, text_col, k))
-    sizes = wanted.groupBy("id").agg(F.count("*").alias("n"))
-    held = shingle_hashes(corpus, id_col, text_col, k).withColumnRenamed("id", "doc").join(F.broadcast(wanted.select("h").distinct()) if wanted.count() <= 1_000_000 else wanted.select("h").distinct(), "h", "left_semi")
-    common = wanted.join(held, "h").groupBy("id", "doc").agg(F.count("*").alias("c")).join(sizes, "id")
+    sets = shingle_sets(items, item_id, text_col, k)
+    wanted = stored(_exploded(sets), "wanted")
+    asked = small_or_not(stored(wanted.select("h").distinct(), "asked"))
+    held = stored(_exploded(shingle_sets(corpus, id_col, text_col, k)).join(asked, "h", "left_semi").withColumnRenamed("id", "doc"), "held")
+    common = wanted.join(small_or_not(held), "h").groupBy("id", "doc").agg(F.count("*").alias("c")).join(sets.select("id", F.size("hs").alias("n")), "id")
     return common.select(F.col("id").alias(item_id), F.col("doc").alias(id_col), F.round(F.col("c") / F.col("n"), 6).alias("share"))

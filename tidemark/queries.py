@@ -145,8 +145,9 @@ def archive_append(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def filter_new(spark: SparkSession, d: str) -> DataFrame:
+    """Every event is either seen (one in a hundred) or new."""
     e = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat("event_type", F.pmod(F.xxhash64("event_id"), F.lit(2000))).alias("identity"), F.concat(F.lit("u"), "user_id").alias("fingerprint"))
-    return history.filter_new(e.where("seq % 10 > 0"), e.where("seq % 1000 = 0"))
+    return history.filter_new(e.where("seq % 100 > 0"), e.where("seq % 100 = 0"))
 
 
 @query("""WITH s AS (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, (ts, event_type)) AS status FROM events GROUP BY 1) SELECT user_id, first_seen, last_seen FROM s""")
@@ -274,13 +275,15 @@ def parse_amount(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", money.parse_amount(said).alias("amount"))
 
 
-@query("""SELECT c_name AS recipient, count(*) AS awards, round(sum(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END), 2) AS total, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS missing,
-    array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS agencies, max(o_orderdate) AS latest FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+@query("""SELECT CASE WHEN any_value(c_custkey) % 2 = 0 THEN upper(c_name) ELSE c_name END AS recipient, count(*) AS awards, round(sum(CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END), 2) AS total, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS missing,
+    array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS agencies, any_value(c_mktsegment) AS states, count(*) AS ids,
+    strftime(max(o_orderdate), '%Y-%m-%d') AS latest, arg_max(o_orderpriority, (o_orderkey % 5, -o_orderkey)) AS top_description FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name""")
 def rank_recipients(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey", "c_name")
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("amount"))
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("c_name"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority", (F.col("o_orderkey") % 5).alias("o_shippriority"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("amount"))
     joined = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return awards.rank_recipients(joined, "c_name", "amount", "o_orderstatus", "o_orderkey", "o_orderdate").select("recipient", "awards", "total", "missing", "agencies", "latest")
+    ranked = awards.rank_recipients(joined, "c_name", "amount", "o_orderstatus", "o_orderkey", "o_orderdate", seq="o_orderkey", state="c_mktsegment", description="o_orderpriority", relevance="o_shippriority")
+    return ranked.select("recipient", "awards", "total", "missing", F.array_join("agencies", ",").alias("agencies"), F.array_join("states", ",").alias("states"), F.size("award_ids").cast("long").alias("ids"), F.substring("latest", 1, 10).alias("latest"), "top_description")
 
 
 @query("""SELECT s_suppkey, s_name AS registered FROM supplier""")
@@ -306,14 +309,12 @@ def anti_join_refs(spark: SparkSession, d: str) -> DataFrame:
     return e.join(c, e.user_id == c.c_custkey, "left_anti").groupBy(F.col("user_id").alias("ref")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT k AS key, CASE WHEN k IN (SELECT c_nationkey FROM customer) THEN 'left' ELSE 'right' END AS side FROM (
-    (SELECT c_nationkey AS k FROM customer WHERE c_nationkey < 15 EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey > 5) UNION ALL
-    (SELECT s_nationkey FROM supplier WHERE s_nationkey > 5 EXCEPT SELECT c_nationkey FROM customer WHERE c_nationkey < 15)) WHERE k <= 5
-    UNION ALL SELECT k, 'right' FROM (SELECT s_nationkey AS k FROM supplier WHERE s_nationkey > 5 EXCEPT SELECT c_nationkey FROM customer WHERE c_nationkey < 15)""")
+@query("""WITH b AS (SELECT o_custkey AS k FROM orders UNION ALL SELECT -s_suppkey FROM supplier)
+    SELECT DISTINCT c_custkey AS key, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT k FROM b) UNION ALL SELECT DISTINCT k, 'right' FROM b WHERE k NOT IN (SELECT c_custkey FROM customer)""")
 def key_mismatches(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").where("c_nationkey < 15").select(F.col("c_nationkey").alias("key"))
-    b = table(spark, d, "supplier").where("s_nationkey > 5").select(F.col("s_nationkey").alias("key"))
-    return catalogue.mismatches(a, b, "key").where("side = 'right' or key <= 5")
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    b = table(spark, d, "orders").select(F.col("o_custkey").alias("key")).unionByName(table(spark, d, "supplier").select((-F.col("s_suppkey")).alias("key")))
+    return catalogue.mismatches(a, b, "key")
 
 
 def _headed(spark: SparkSession, d: str) -> DataFrame:

@@ -24,6 +24,10 @@ HOST_HINT, SLUG = r"(?i)(?:job|career|hiring|recruit|talent|employ|vacanc)", r"/
 AGE_DAYS = {"hour": 1 / 24, "day": 1.0, "week": 7.0, "month": 30.0, "year": 365.0}
 EMPLOYMENT = ["Full-Time", "Part-Time", "Full Time", "Part Time", "Contract", "Internship", "Temporary", "Seasonal", "Freelance"]
 DEPTH = 6
+#: A listing's line is free text, then maybe a price or span of prices, then maybe an age.
+PRICE = r"\$[\d,]+(?:\.\d+)?(?:\s*[-–]\s*\$?[\d,]+(?:\.\d+)?)?(?:\s*/\s*\w+)?"
+LISTING = rf"^(.+?)(?:\s*({PRICE}))?(?:\s*●\s*Posted\s+([^●\n]+?))?\s*$"
+AGE = r"(?i)^(\d{1,6})\s+(hour|day|week|month|year)s?\s+ago$"
 
 
 def rejection(url: Column, title: Column) -> Column:
@@ -50,7 +54,8 @@ def search_results(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, at, title, url, published, author, highlights, reason of each record of saved result sets.
 
     A record begins at a Title line; the lines after a Highlights line belong to it up to the next
-    labelled line.  Of one URL (fragment off) in a text the first stays.
+    labelled line.  A record is judged first; of those that are postings the first of each URL (fragment off) stays, over all
+    texts in the order of their keys.
     """
     label = r"^(Title|URL|Published|Author|Highlights):\s*(.*)$"
     own = Window.partitionBy("_key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -64,16 +69,19 @@ def search_results(df: DataFrame, key: str, text: str) -> DataFrame:
         F.min("at").alias("at"), last("Title").alias("title"), last("URL").alias("url"), last("Published").alias("published"), last("Author").alias("author"),
         F.array_join(F.transform(told, lambda x: x["t"]), "\n").alias("highlights"),
     ).where("url != ''")
-    first = F.row_number().over(Window.partitionBy("_key", F.regexp_replace("url", "#.*$", "")).orderBy("at"))
-    out = out.withColumn("_n", first).where("_n = 1").withColumn("reason", rejection(F.col("url"), F.col("title")))
+    out = out.withColumn("reason", rejection(F.col("url"), F.col("title")))
+    # Of one URL the first posting stays, in whatever text it stands; refused rows stay all, with their reasons.
+    first = F.row_number().over(Window.partitionBy(F.regexp_replace("url", "#.*$", ""), F.col("reason").isNull()).orderBy("_key", "at"))
+    out = out.withColumn("_n", first).where("_n = 1 or reason is not null")
     return out.select(F.col("_key").alias(key), "at", "title", "url", "published", "author", "highlights", "reason")
 
 
 def captured_listings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, at, source_url, retrieved, title, meta, state, employment_type, posted_at of each `## ` line of a capture.
+    """key, at, source_url, retrieved, title, meta, state, employment_type, pay, posted_at of each `## ` line of a capture.
 
-    The meta line is the next one with text, unless that is a title too.  An age (`Posted 3 days ago`)
-    gives an approximate time before the retrieval; employer and city are not guessed.
+    The meta line is the next one with text, unless that is a title too: what stands before a price or a `●` tells place and
+    schedule, the price is the pay, and an age behind `Posted` gives an approximate time before the retrieval.  An age anywhere
+    else is none.  Employer and city are not guessed.
     """
     w = Window.partitionBy("_key").orderBy("at")
     t = F.col(text)
@@ -84,12 +92,14 @@ def captured_listings(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.withColumn("title", F.trim(F.regexp_extract("line", r"^##\s+(.*)$", 1))).where("title != ''")
     meta = F.when(~F.startswith(F.col("next"), F.lit("##")), F.col("next"))
     rows = rows.withColumn("meta", meta).join(heads, "_key").where("source_url != ''")
-    n, unit = F.regexp_extract("meta", r"(?i)(\d{1,6})\s+(hour|day|week|month|year)s?\s+ago", 1).try_cast("int"), F.lower(F.regexp_extract("meta", r"(?i)(\d{1,6})\s+(hour|day|week|month|year)s?\s+ago", 2))
+    n, unit = F.regexp_extract("age", AGE, 1).try_cast("int"), F.lower(F.regexp_extract("age", AGE, 2))
+    rows = rows.withColumns({name: F.regexp_extract("meta", LISTING, k) for k, name in ((1, "head"), (2, "pay"), (3, "age"))})
+    pay = F.col("pay")
     days = n * F.element_at(F.create_map(*(F.lit(x) for pair in AGE_DAYS.items() for x in pair)), unit)
-    kinds = F.coalesce(*(F.when(F.contains("meta", F.lit(k)), F.lit(k)) for k in EMPLOYMENT), F.lit(None))
-    state = F.regexp_extract("meta", r",\s*([A-Z]{2})\b", 1)
+    kinds = F.coalesce(*(F.when(F.contains("head", F.lit(k)), F.lit(k)) for k in EMPLOYMENT), F.lit(None))
+    state = F.regexp_extract("head", r",\s*([A-Z]{2})\b", 1)
     return rows.select(
-        F.col("_key").alias(key), "at", "source_url", "retrieved", "title", "meta", F.when(state != "", state).alias("state"), kinds.alias("employment_type"),
+        F.col("_key").alias(key), "at", "source_url", "retrieved", "title", "meta", F.when(state != "", state).alias("state"), kinds.alias("employment_type"), F.when(pay != "", pay).alias("pay"),
         F.timestamp_seconds(F.unix_timestamp("retrieved") - F.round(days * 86400)).alias("posted_at"),
     )
 

@@ -13,6 +13,8 @@ FIRST_PARTY = [
     "jsonld", "governmentjobs", "usajobs",
 ]
 RSS_ROWS, EXCERPT = 50, 400
+#: Marks of the old feed and what they are called now.
+OLD_MARKS = {"verified": "verified", "high": "listed", "high confidence": "listed", "aggregator": "aggregator"}
 
 
 def public(df: DataFrame) -> DataFrame:
@@ -20,10 +22,12 @@ def public(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 2)).withColumn("tags", F.array_sort(F.array_distinct("tags"))).withColumn("description", excerpt("description", EXCERPT))
 
 
-def confidence(df: DataFrame, state: str = "state", legacy: str = "validity", source: str = "source") -> DataFrame:
-    """df with confidence: live beats an old validity mark, that a first-party source, all others are aggregators."""
-    kind = F.regexp_extract(F.coalesce(F.col(source), F.lit("")), "^([a-z]+)", 1)
-    return df.withColumn("confidence", F.when(F.col(state) == "live", "live").when(F.col(legacy).isNotNull(), F.lower(legacy)).when(kind.isin(FIRST_PARTY), "listed").otherwise("aggregator"))
+def confidence(df: DataFrame, state: str = "state", legacy: str = "validity", source: str = "source", ident: str = "id") -> DataFrame:
+    """df with confidence: a live page is verified; a row of the old feed (a validity mark and no id) goes by its mark; a first-party source is listed; all else is from an aggregator."""
+    mark = F.element_at(F.create_map(*(F.lit(x) for pair in OLD_MARKS.items() for x in pair)), F.lower(legacy))
+    first_party = F.lower(F.coalesce(F.col(source), F.lit(""))).rlike("^(?:" + "|".join(FIRST_PARTY) + ")")
+    old = F.when(F.col(legacy).isNotNull() & F.col(ident).isNull(), F.coalesce(mark, F.lit("aggregator")))
+    return df.withColumn("confidence", F.when(F.col(state) == "live", "verified").otherwise(F.coalesce(old, F.when(first_party, "listed"), F.lit("aggregator"))))
 
 
 def legacy_rows(df: DataFrame) -> DataFrame:
