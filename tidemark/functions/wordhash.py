@@ -21,8 +21,8 @@ BLOCK_BYTES = 1 << 18
 
 _U = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD6E8FEB86659FD93
-_WORD_BASE_2 = 0xA0761D6478BD642F
+WORD_BASE = 0xD6E8FEB86659FD93
+WORD_BASE_2 = 0xA0761D6478BD642F
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -118,7 +118,7 @@ def word_hashes(w: Words) -> np.ndarray:
     return mix(span_hashes(_BYTE_VALUE[w.data], w.starts, w.ends, _BYTE_BASE) + (w.ends - w.starts).astype(_U))
 
 
-def rolling_hashes(h: np.ndarray, n: int, base: int = _WORD_BASE) -> np.ndarray:
+def rolling_hashes(h: np.ndarray, n: int, base: int = WORD_BASE) -> np.ndarray:
     """Rabin-Karp hashes of all runs of n values; len(h) - n + 1 of them."""
     count = len(h) - n + 1
     if count <= 0:
@@ -130,8 +130,8 @@ def rolling_hashes(h: np.ndarray, n: int, base: int = _WORD_BASE) -> np.ndarray:
 def sequence_hashes(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each text's whole sequence of words."""
     n = np.diff(bounds).astype(_U)
-    one = mix(span_hashes(h, bounds[:-1], bounds[1:], _WORD_BASE) + n)
-    two = mix(span_hashes(mix(h), bounds[:-1], bounds[1:], _WORD_BASE_2) + n)
+    one = mix(span_hashes(h, bounds[:-1], bounds[1:], WORD_BASE) + n)
+    two = mix(span_hashes(mix(h), bounds[:-1], bounds[1:], WORD_BASE_2) + n)
     return one, two
 
 
