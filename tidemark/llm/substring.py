@@ -68,8 +68,8 @@ def _candidates(n: int, size: int, repeated):
                 at = hashes[places] >> np.uint64(64 - size)
                 starts = starts[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
                 of = np.searchsorted(w.bounds, starts, side="right") - 1
-                rolled = tx.rolling_hashes(h, n, tx._WORD_BASE_2)[starts]
-                again = tx.rolling_hashes(tx.mix(h ^ np.uint64(tx._WORD_BASE)), n)[starts]
+                rolled = tx.rolling_hashes(h, n, tx.WORD_BASE_2)[starts]
+                again = tx.rolling_hashes(tx.mix(h ^ np.uint64(tx.WORD_BASE)), n)[starts]
                 rows = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
                     [
