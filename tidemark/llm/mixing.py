@@ -88,10 +88,9 @@ def mix(
         return F.md5(F.concat_ws(":", F.lit(seed), fulls + 1, F.coalesce(ident.cast("string"), F.lit(""))))
 
     hashed = written(narrow.join(leaves, keys).where("left > 0").select(*keys, "left", "_n", seeded(F.col("fulls"), F.col("_id")).alias("h")), "mix-hashes")
-    cuts = hashed.select(*keys, F.lit("").alias("cut"), F.lit(0).cast("long").alias("gone")).distinct()
-    digits = 0
+    cuts, digits = None, 0
     while True:
-        inside = hashed.join(cuts, keys).where(F.substring("h", 1, digits) == F.col("cut"))
+        inside = hashed.withColumn("gone", F.lit(0).cast("long")) if cuts is None else hashed.join(cuts, keys).where(F.substring("h", 1, digits) == F.col("cut"))
         digits += DIGITS
         sums = inside.groupBy(*keys, "left", "gone", F.substring("h", 1, digits).alias("bucket")).agg(F.sum("_n").alias("t"), F.count("*").alias("c"))
         sums = written(sums, "mix-sums")  # added up by bucket before a leaf's few hundred sums meet in one task
