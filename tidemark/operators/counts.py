@@ -69,3 +69,42 @@ def month_movement(months: DataFrame) -> DataFrame:
 def pay_bands(stats: DataFrame) -> DataFrame:
     """Bands in order of their middle, those out of order within left out."""
     return stats.where("p25 <= median and median <= p75").orderBy(F.desc("median"))
+
+
+def share_of_any(df: DataFrame, values: str, seq: str, top: int = 0) -> DataFrame:
+    """name, count, share of the values of an array column, one a row whatever the spelling; the share is of the rows that have any value."""
+    rows = df.where(F.size(values) > 0)
+    each = rows.select(F.col(seq).alias("_seq"), F.explode(distinct_spellings(F.col(values))).alias("_v"))
+    any_row = rows.agg(F.count("*").alias("_any"))
+    out = tally(each, "_v", "_seq", top).crossJoin(F.broadcast(any_row))  # a single row
+    return out.select(F.col("value").alias("name"), F.col("n").alias("count"), F.round(F.col("n") / F.col("_any"), 4).alias("share"))
+
+
+def distinct_spellings(values: Column) -> Column:
+    """An array without repeats whatever the case: of each the first spelling, in the order of first places; blanks go."""
+    solid = F.filter(F.transform(values, F.trim), lambda x: F.coalesce(x, F.lit("")) != "")
+    low = F.transform(solid, F.lower)
+    return F.filter(solid, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
+def by_employer(df: DataFrame, employer: str, disciplines: str, pay: str, seq: str, top: int = 0) -> DataFrame:
+    """name (first spelling), count, disciplines (most frequent first) and median_salary of each employer whatever the case."""
+    rows = df.where(F.trim(F.coalesce(F.col(employer), F.lit(""))) != "").withColumn("_k", F.lower(F.trim(employer)))
+    main = rows.groupBy("_k").agg(F.min_by(F.trim(employer), seq).alias("name"), F.count("*").alias("count"), F.round(F.median(pay), 2).alias("median_salary"))
+    each = rows.select("_k", F.explode(disciplines).alias("d")).groupBy("_k", "d").agg(F.count("*").alias("n"))
+    ranked = each.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "d"))), lambda x: x["d"]).alias("disciplines"))
+    out = main.join(ranked, "_k", "left").select("name", "count", F.coalesce("disciplines", F.array().cast("array<string>")).alias("disciplines"), "median_salary")
+    out = out.orderBy(F.desc("count"), "name")
+    return out.limit(top) if top > 0 else out
+
+
+def flagged_share(df: DataFrame, flag: str) -> DataFrame:
+    """One row: count of rows with the flag and their share; no rows give a share of 0."""
+    return df.agg(F.count_if(F.col(flag)).alias("count"), F.coalesce(F.round(F.try_divide(F.count_if(F.col(flag)), F.count("*")), 4), F.lit(0.0)).alias("share"))
+
+
+def days_ago(then: Column, now: Column) -> Column:
+    """today, yesterday, so many days or months ago; empty for no time."""
+    days = F.floor((F.unix_millis(now) - F.unix_millis(then)) / 86_400_000)
+    told = F.when(days <= 0, "today").when(days == 1, "yesterday").when(days < 30, F.concat(days.cast("string"), F.lit(" days ago")))
+    return F.when(then.isNull(), "").otherwise(F.coalesce(told, F.concat(F.floor(days / 30).cast("string"), F.lit(" mo ago"))))

@@ -5,8 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What marks a senior title.
-LEAD = r"(?i)\b(?:lead|senior|sr\.?|principal|head|chief|director|manager|supervisor|coordinator|program\s+manager|installation\s+lead)\b"
+from tidemark.functions.places import home_pattern, overseas_pattern
+
+#: Words that mark a senior title.
+LEAD_WORDS = ["lead", "senior", "sr", "principal", "head", "chief", "director", "manager", "supervisor", "coordinator"]
+LEAD = r"(?i)\b(?:" + "|".join(LEAD_WORDS) + r")\b"
+#: Disciplines in the order in which they win, by label and what names them.  Capitals between angle brackets stand apart from other letters.
+DISCIPLINES = [
+    ("cognitive-performance", "Cognitive Performance", [r"\bcognitive performance\b", r"\bmental performance\b", r"\bperformance psycholog", r"\bsport psycholog", r"\bCPS\b", r"\bR2PC\b", r"\bmaster resilience trainer\b"]),
+    ("behavioral-health", "Behavioral Health", [r"\blicensed clinical social worker\b", "<LCSW>", r"\bbehavioral health\b", r"\bclinical psycholog", r"\bmental health (?:counselor|clinician|provider)\b", r"\bsubstance abuse counselor\b"]),
+    ("nutrition", "Performance Nutrition", [r"\bdietit", r"\bdietic", r"\bnutrition", "<RDN?>"]),
+    ("physical-therapy", "Physical Therapy", [r"\bphysical therap", r"\bphysiotherap", "<DPT>", r"\bPT\s*/\s*", r"\brehabilitation specialist\b"]),
+    ("occupational-therapy", "Occupational Therapy", [r"\boccupational therap", "<OTR?/?L?>"]),
+    ("athletic-training", "Athletic Training", [r"\bathletic train", "<ATC>"]),
+    ("strength-conditioning", "Strength & Conditioning", [r"\bstrength\s*(?:and|&)\s*conditioning\b", r"\bstrength coach\b", r"\bconditioning coach\b", "<CSCS>", "<TSAC(?:-F)?>", r"\bS\s*&\s*C\b"]),
+    ("sport-science", "Sport Science", [r"\bsports? scien", r"\bbiomechan", r"\bexercise physiolog", r"\bphysiologist\b", r"\bperformance analyst\b", r"\bkinesiolog", r"\bdata scientist\b"]),
+    ("human-performance", "Human Performance (generalist)", [r"\bhuman performance\b", r"\bperformance specialist\b", r"\bperformance coach\b", r"\bHPO\b", r"\bH2F\b", r"\bperformance expert\b", r"\bperformance advisor\b"]),
+]
+#: Words of postings that wait for a contract, of awards, of checks at hiring, of posts that are paid for.
+PIPELINE = (
+    r"\b(?:talent (?:pool|pipeline|community)|resume (?:pool|bank)|pipeline requisition|future (?:opening|opportunit|consideration)|anticipated (?:opening|award|need|requirement)|"
+    r"pending (?:contract )?award|proposal (?:effort|pending)|not yet awarded|should we be awarded|if awarded|upon award|pre-?award|expression of interest)\b"
+    r"|\bcontingen(?:t|cy) (?:posting|position|role|opening|requisition|opportunit|vacanc|job|listing|hire|hiring|billet|seat|award)"
+)
+CONTINGENT = r"\bcontingen(?:t|cy)\b"
+AWARD = (
+    r"\b(?:award|contract|task order|re-?compete|recompete|proposal|bid|funding|funded|solicitation|RFP|capture|win|program start|vacancy|headcount|position availability|billet)\b"
+)
+ONBOARDING = (
+    r"\b(?:background|drug|screen|physical exam|reference|E-?Verify|I-?9|credential|licensure|fingerprint|medical exam|security clearance adjudicat|successful completion)\b"
+)
+FUNDED = (
+    r"\b(?:currently funded|fully funded|funded (?:position|requisition|seat|billet)|immediate (?:fill|hire|opening|need)|position is (?:open|active)|active contract|awarded contract|"
+    r"contract has been awarded)\b"
+)
 #: Remote work, and what denies it.
 REMOTE = r"(?i)\b(?:remote|work\s+from\s+home|telework|telecommut|virtual|anywhere)\b"
 NOT_REMOTE = r"(?i)\b(?:not\s+remote|no\s+remote|remote\s+work\s+is\s+not|non-remote|cannot\s+be\s+performed\s+remotely)\b"
@@ -15,6 +47,11 @@ LEGAL_SUFFIXES = ["inc", "incorporated", "llc", "ltd", "limited", "corp", "corpo
 HEAD_CHARS = 400
 
 
+def _spaced(pattern: str) -> str:
+    """A pattern whose spaces stand for any white space, and <X> for X apart from other letters."""
+    return pattern.replace("<", "(?<![A-Za-z])(?:").replace(">", ")(?![A-Za-z])").replace(" ", r"\s+")
+
+
 def first_class(title: Column, body: Column, classes: list[tuple[str, list[str]]]) -> Column:
     """The first class with a pattern in the title, else in the body's first 400 characters; null if none.  classes: (name, patterns) in order."""
     out = F.lit(None).cast("string")
@@ -24,6 +61,39 @@ def first_class(title: Column, body: Column, classes: list[tuple[str, list[str]]
     return out
 
 
+def discipline(title: Column, description: Column) -> Column:
+    """The slug of the first discipline named in the title, else in the description's first 400 characters, else `other`."""
+    return F.coalesce(first_class(F.coalesce(title, F.lit("")), description, [(slug, [_spaced(p) for p in patterns]) for slug, _, patterns in DISCIPLINES]), F.lit("other"))
+
+
+def discipline_label(slug: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for slug_, label, _ in DISCIPLINES for x in (slug_, label))), slug), F.lit("Other"))
+
+
+def contingency_of(*texts: Column) -> Column:
+    """contingent, funded or unknown, by the words of fixed values over all texts."""
+    joined = F.concat_ws("\n", *(F.nullif(t, F.lit("")) for t in texts))
+    return contingency(joined, *(_spaced(p) for p in (PIPELINE, CONTINGENT, AWARD, ONBOARDING, FUNDED)))
+
+
+def salary_floor(low: Column, high: Column, period: Column) -> Column:
+    """The lower bound, else the upper, a year; hourly pay at 2080 hours; null for other periods."""
+    worth = F.coalesce(low, high).cast("double")
+    return F.when(F.lower(period).startswith("hour"), worth * 2080).when(F.lower(period).startswith("year") | F.lower(period).startswith("annual"), worth)
+
+
+def facets(df: DataFrame) -> DataFrame:
+    """Postings (title, description, location, remote, compensation, enrichment) with a struct column `facets`: discipline, discipline_label, lead, location_classes, contingency, salary_floor_annual."""
+    found = discipline(F.col("title"), F.col("description"))
+    pay = F.col("enrichment")
+    values = {
+        "discipline": found, "discipline_label": discipline_label(found), "lead": is_lead(F.col("title")),
+        "location_classes": location_classes(F.col("location"), F.col("remote"), overseas_pattern(), home_pattern()),
+        "contingency": contingency_of(F.col("title"), F.col("description"), F.col("compensation")), "salary_floor_annual": salary_floor(pay["salary_min"], pay["salary_max"], pay["salary_period"]),
+    }
+    return df.withColumn("facets", F.struct(*(v.alias(k) for k, v in values.items())))
+
+
 def is_lead(title: Column) -> Column:
     return F.coalesce(title.rlike(LEAD), F.lit(False))
 

@@ -18,6 +18,11 @@ def latest(df: DataFrame, key: str, when: str, seq: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*names), F.struct(F.col(when), F.col(seq))).alias("_r")).select("_r.*")
 
 
+def first_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of each key (null keys are one) that comes first in order."""
+    return df.groupBy(*(F.col(k).alias(f"_first_{i}") for i, k in enumerate(keys))).agg(F.min_by(F.struct(*df.columns), order).alias("_r")).select("_r.*")
+
+
 def revisions(df: DataFrame, key: str, seq: str, content: str) -> DataFrame:
     """Rows whose content differs from the row before of the same key: A, A, B, A gives three."""
     before = F.lag(content).over(Window.partitionBy(key).orderBy(seq))

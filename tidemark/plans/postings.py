@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import annual_pay
+from tidemark.functions.places import state_code
 from tidemark.functions.text import fingerprint, identity
 from tidemark.operators import counts, history
 from tidemark.operators.lexicon import classify
+from tidemark.operators.storage import stored
 
 
 @dataclass(frozen=True)
@@ -40,14 +42,31 @@ def run(postings: DataFrame, seen: DataFrame, rules: Rules, now, auto_publish: b
     return {"scored": scored, "approved": approved, "review": review, "state": history.mark(seen, batch)}
 
 
-def insights(archive: DataFrame, top: int = 10) -> dict[str, DataFrame]:
-    """Corpus reports over the newest record of each job (by fingerprint, else id, else url)."""
-    keyed = archive.withColumn("_job", F.coalesce("fingerprint", "id", "url"))
-    jobs = history.latest(keyed, "_job", "archived_at", "seq")
-    jobs = jobs.withColumn("salary", annual_pay(F.col("salary_min"), F.col("salary_max"), F.col("salary_period")))
+def insights(archive: DataFrame, top: int = 10, disciplines: list[str] | None = None, domains: list[str] | None = None) -> dict[str, DataFrame]:
+    """Corpus reports over the newest record of each job (by fingerprint, else id, else url).
+
+    The archive's records have seq, archived_at, posted_at, employer, title, location, remote, tags, and an enrichment struct; disciplines and
+    domains are the tags that count as such (all of them if not given).
+    """
+    keyed = archive.withColumn("_job", F.coalesce("fingerprint", "id", "url", F.concat(F.lit("#"), F.col("seq"))))
+    e = F.col("enrichment")
+    jobs = history.latest(keyed, "_job", "archived_at", "seq").withColumn("salary", annual_pay(e["salary_min"], e["salary_max"], e["salary_period"]))
+    tags = F.array_distinct(F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower))
+    among = lambda known: tags if known is None else F.array_intersect(F.array(*map(F.lit, known)).cast("array<string>"), tags)
+    jobs = jobs.withColumns({
+        "disciplines": among(disciplines), "domains": among(domains), "state": state_code(F.col("location")), "certifications": counts.distinct_spellings(e["certifications"]),
+        "clearance": e["clearance"], "installation": e["installation"], "branch": e["service_branch"], "remote": F.coalesce("remote", F.lit(False)),
+    })
+    jobs = stored(jobs, "jobs")
     months = counts.timeline(jobs, "posted_at")
+    each = jobs.select("salary", F.explode("disciplines").alias("discipline"))
     return {
-        "totals": jobs.agg(F.count("*").alias("jobs"), F.count_distinct(F.lower("employer")).alias("employers"), F.count("salary").alias("with_salary"), F.min("posted_at").alias("first"), F.max("posted_at").alias("last")),
-        "employers": counts.tally(jobs, "employer", "seq", top), "tags": counts.facet_share(jobs, "tags", "salary"), "salary": counts.amount_stats(jobs, F.col("salary")),
+        "totals": archive.agg(F.count("*").alias("postings")).crossJoin(jobs.agg(  # single rows
+            F.count("*").alias("jobs"), F.count_distinct(F.lower("employer")).alias("employers"), F.count("salary").alias("with_salary"), F.min("posted_at").alias("first"), F.max("posted_at").alias("last"))),
+        "employers": counts.by_employer(jobs, "employer", "disciplines", "salary", "seq", top),
+        "disciplines": counts.facet_share(jobs, "disciplines", "salary"), "domains": counts.facet_share(jobs, "domains", "salary").drop("median_amount"),
+        **{f"{name}s": counts.tally(jobs, name, "seq", top) for name in ("branch", "installation", "state", "clearance", "title")},
+        "certifications": counts.share_of_any(jobs, "certifications", "seq", top), "remote": counts.flagged_share(jobs, "remote"),
+        "salary": counts.amount_stats(jobs, F.col("salary")), "salary_by_discipline": counts.amount_stats(each.where("salary is not null"), F.col("salary"), "discipline"),
         "timeline": months, "movement": counts.month_movement(months), "growth": counts.growth(jobs, "employer", "posted_at"),
     }

@@ -2,98 +2,259 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.money import tolerant_bool, tolerant_time
+from tidemark.functions.money import tolerant_time
 from tidemark.functions.text import html_to_text, looks_remote
+from tidemark.operators.history import first_of_each
 
 
 @dataclass(frozen=True)
 class FieldMap:
-    """Where a kind keeps its fields.  Paths are JSON paths from a row; the first that holds something wins."""
+    """Where a kind keeps its fields.  Paths are JSON paths from a row; the first that holds something wins.
+
+    url_form makes a URL of {base} and {id} where no path gives one.  facts are labelled and put behind the description; statuses,
+    if given, are those that may be published (a row without a status is kept).  pay is (low, high, interval) paths.
+    """
 
     rows: tuple[str, ...]
     source_id: tuple[str, ...]
-    url: tuple[str, ...]
-    title: tuple[str, ...]
+    url: tuple[str, ...] = ()
+    title: tuple[str, ...] = ("$.title",)
     location: tuple[str, ...] = ()
     location_parts: tuple[str, ...] = ()
     department: tuple[str, ...] = ()
     compensation: tuple[str, ...] = ()
+    pay: tuple[str, str, str] | None = None
     posted_at: tuple[str, ...] = ()
     remote: tuple[str, ...] = ()
     description: tuple[str, ...] = ()
-    description_parts: tuple[str, ...] = field(default=())
+    description_parts: tuple[str, ...] = ()
+    facts: tuple[tuple[str, str], ...] = ()
+    url_form: str = ""
+    https_only: bool = False
+    status: tuple[str, ...] = ()
+    statuses: tuple[str, ...] = ()
+    employer: tuple[str, ...] = ()
 
 
+_PAY_PARTS = ("$.detail.payRange.minimum", "$.detail.payRange.maximum", "$.detail.payRange.frequency")
+
 KINDS: dict[str, FieldMap] = {
     "greenhouse": FieldMap(
-        ("$.jobs",), ("$.id",), ("$.absolute_url",), ("$.title",), ("$.location.name",), department=("$.departments[0].name",), posted_at=("$.updated_at", "$.created_at"), description=("$.content",)
+        ("$.jobs",), ("$.id",), ("$.absolute_url",), location=("$.location.name",), department=("$.departments[0].name",), posted_at=("$.updated_at", "$.created_at"), description=("$.content",),
     ),
     "lever": FieldMap(
         ("$",), ("$.id",), ("$.hostedUrl", "$.applyUrl"), ("$.text",), ("$.categories.location",), department=("$.categories.team",), posted_at=("$.createdAt",),
         description=("$.descriptionPlain", "$.description"), description_parts=("$.lists[*].content",), remote=("$.categories.commitment",),
     ),
     "ashby": FieldMap(
-        ("$.jobs",), ("$.id",), ("$.jobUrl",), ("$.title",), ("$.location",), department=("$.department", "$.team"), compensation=("$.compensationTierSummary",), posted_at=("$.publishedAt",),
+        ("$.jobs",), ("$.id",), ("$.jobUrl",), location=("$.location",), department=("$.department", "$.team"), compensation=("$.compensationTierSummary",), posted_at=("$.publishedAt",),
         remote=("$.isRemote",), description=("$.descriptionPlain", "$.descriptionHtml"),
     ),
     "workable": FieldMap(
-        ("$.jobs",), ("$.shortcode", "$.id"), ("$.url", "$.application_url"), ("$.title",), location_parts=("$.city", "$.state", "$.country"), department=("$.department",),
+        ("$.jobs",), ("$.shortcode", "$.id"), ("$.url", "$.application_url"), location_parts=("$.city", "$.state", "$.country"), department=("$.department",),
         posted_at=("$.published_on", "$.created_at"), remote=("$.telecommuting",), description=("$.description",), description_parts=("$.requirements",),
     ),
+    # Rows of the next three are {listing, detail}, see with_detail.
     "smartrecruiters": FieldMap(
-        ("$.content",), ("$.id",), ("$.ref",), ("$.name",), location_parts=("$.location.city", "$.location.region", "$.location.country"), department=("$.department.label",),
-        posted_at=("$.releasedDate",), remote=("$.location.remote",), description=("$.name",),
+        ("$",), ("$.listing.id",), ("$.detail.postingUrl", "$.detail.applyUrl", "$.listing.ref"), ("$.listing.name",),
+        location_parts=("$.listing.location.city", "$.listing.location.region", "$.listing.location.country"), department=("$.listing.department.label",), posted_at=("$.listing.releasedDate",),
+        remote=("$.listing.location.remote",), description=("$.detail.jobAd.sections.jobDescription.text", "$.listing.name"),
+        description_parts=("$.detail.jobAd.sections.qualifications.text", "$.detail.jobAd.sections.additionalInformation.text"),
+    ),
+    "bamboohr": FieldMap(
+        ("$",), ("$.listing.id",), url_form="{base}/careers/{id}", title=("$.listing.jobOpeningName", "$.listing.title", "$.listing.name"),
+        location_parts=("$.listing.location.city", "$.listing.location.state", "$.listing.location.country"), department=("$.listing.departmentLabel", "$.listing.department"),
+        compensation=("$.detail.compensation", "$.detail.compensationRange", "$.detail.payRange"), posted_at=("$.listing.datePosted", "$.detail.datePosted"), remote=("$.listing.isRemote",),
+        description=("$.detail.description", "$.detail.jobSummary", "$.detail.jobDescription", "$.listing.jobOpeningName"),
+        facts=(("Department", "$.listing.departmentLabel"), ("Employment type", "$.listing.employmentStatusLabel")),
+    ),
+    "workday": FieldMap(
+        ("$",), ("$.detail.jobReqId", "$.listing.externalPath"), ("$.detail.externalUrl",), ("$.listing.title", "$.detail.title"), url_form="{base}{path}", location=("$.detail.location", "$.listing.locationsText"),
+        department=("$.detail.jobFamilyGroup", "$.detail.jobFamily", "$.detail.jobCategory", "$.detail.supervisoryOrganization", "$.detail.department"),
+        compensation=("$.detail.payRangeText", "$.detail.compensation", "$.detail.salaryRange"), pay=_PAY_PARTS,
+        posted_at=("$.detail.startDate", "$.detail.postedOnDate", "$.detail.postedOn", "$.listing.postedOn"), remote=("$.detail.remoteType",),
+        description=("$.detail.jobDescription", "$.listing.title"), facts=(("Job requisition id", "$.detail.jobReqId"), ("Time type", "$.detail.timeType"), ("Remote type", "$.detail.remoteType")),
     ),
     "recruitee": FieldMap(
-        ("$.offers",), ("$.id",), ("$.careers_url", "$.careers_apply_url"), ("$.title",), location_parts=("$.city", "$.state_name", "$.country"), department=("$.department",),
+        ("$.offers",), ("$.id",), ("$.careers_url", "$.careers_apply_url"), location_parts=("$.city", "$.state_name", "$.country"), department=("$.department",),
         posted_at=("$.published_at", "$.created_at"), remote=("$.remote",), description=("$.description",), description_parts=("$.requirements",),
     ),
+    "breezy": FieldMap(
+        ("$.positions", "$.jobs", "$"), ("$.id", "$._id", "$.friendly_id"), ("$.url",), ("$.name", "$.title"), ("$.location.name",), ("$.location.city", "$.location.state.name", "$.location.country.name"),
+        department=("$.department", "$.team"), posted_at=("$.published_date", "$.creation_date", "$.updated_date"), remote=("$.location.is_remote",), description=("$.description", "$.content"),
+        facts=(("Department", "$.department"), ("Employment type", "$.type.name"), ("Employment type", "$.type")), url_form="{base}/p/{id}",
+    ),
+    "jazzhr": FieldMap(
+        ("$.jobs", "$"), ("$.id", "$.board_code"), title=("$.title", "$.job_title"), location_parts=("$.city", "$.state", "$.country"), department=("$.department",),
+        posted_at=("$.original_open_date", "$.open_date", "$.created_date"), description=("$.description", "$.job_description"), facts=(("Department", "$.department"), ("Employment type", "$.type")),
+        url_form="{base}/apply/{id}", status=("$.status", "$.job_status"), statuses=("open", "opened", "active"),
+    ),
+    "rippling": FieldMap(
+        ("$.jobs", "$.results", "$.data", "$"), ("$.uuid", "$.id"), ("$.url",), ("$.name", "$.title"), ("$.workLocation.label", "$.workLocation.name", "$.workLocation"), department=("$.department.label", "$.department.name", "$.department"),
+        compensation=("$.compensationDescription", "$.salaryDescription", "$.compensation"), posted_at=("$.publishedAt", "$.postedAt", "$.createdAt", "$.updatedAt"), remote=("$.workLocationType",),
+        description=("$.descriptionHtml", "$.description"), facts=(("Department", "$.department.label"), ("Employment type", "$.employmentType"), ("Work location type", "$.workLocationType")), url_form="{base}/jobs/{id}",
+    ),
+    "usajobs": FieldMap(
+        ("$.SearchResult.SearchResultItems",), ("$.MatchedObjectId", "$.MatchedObjectDescriptor.PositionID"), ("$.MatchedObjectDescriptor.PositionURI",), ("$.MatchedObjectDescriptor.PositionTitle",),
+        ("$.MatchedObjectDescriptor.PositionLocationDisplay",), department=("$.MatchedObjectDescriptor.DepartmentName",), posted_at=("$.MatchedObjectDescriptor.PublicationStartDate",),
+        employer=("$.MatchedObjectDescriptor.OrganizationName", "$.MatchedObjectDescriptor.DepartmentName"), description=("$.MatchedObjectDescriptor.QualificationSummary",),
+        pay=tuple(f"$.MatchedObjectDescriptor.PositionRemuneration[0].{x}" for x in ("MinimumRange", "MaximumRange", "RateIntervalCode")),
+        description_parts=tuple(
+            f"$.MatchedObjectDescriptor.UserArea.Details.{x}"
+            for x in ("JobSummary", "MajorDuties", "Education", "Requirements", "Evaluations", "Benefits", "OtherInformation", "AgencyMarketingStatement")
+        ),
+        facts=tuple(
+            (label, f"$.MatchedObjectDescriptor.UserArea.Details.{x}")
+            for label, x in (
+                ("Security clearance", "SecurityClearanceRequired"), ("Telework eligible", "TeleworkEligible"), ("Travel", "TravelCode"), ("Promotion potential", "PromotionPotential"),
+                ("Who may apply", "WhoMayApply"), ("Drug test required", "DrugTestRequired"),
+            )
+        ) + tuple((label, f"$.MatchedObjectDescriptor.{x}[*].Name") for label, x in (("Job category", "JobCategory"), ("Position schedule", "PositionSchedule"), ("Offering type", "PositionOfferingType"))),
+    ),
+    "phenom": FieldMap(
+        ("$.refineSearch.data.jobs", "$.data.jobs", "$.jobs"), ("$.jobId",), ("$.applyUrl",), location=("$.cityStateCountry", "$.location"), location_parts=("$.city", "$.state", "$.country"), department=("$.category",),
+        posted_at=("$.postedDate", "$.dateCreated"), description=("$.descriptionTeaser", "$.description"), url_form="{base}/job/{id}",
+    ),
+    "oraclecloud": FieldMap(
+        ("$.items[0].requisitionList",), ("$.Id", "$.RequisitionNumber"), ("$.ExternalURL",), ("$.Title",), ("$.PrimaryLocation",), ("$.workLocation[0].TownOrCity", "$.workLocation[0].Region", "$.workLocation[0].Country"),
+        posted_at=("$.PostedDate",), remote=("$.WorkplaceTypeCode",), description=("$.ShortDescriptionStr",), url_form="{base}/job/{id}",
+    ),
+    "jobvite": FieldMap(("$.jobs",), ("$.id", "$.applyURL"), ("$.applyURL",), location=("$.location", "$.country"), department=("$.category",), posted_at=("$.date",), https_only=True),
+    "governmentjobs": FieldMap(
+        ("$.jobs", "$.results", "$.items", "$.data", "$"), ("$.id", "$.jobId", "$.jobNumber"), ("$.url", "$.link", "$.jobUrl"), ("$.title", "$.jobTitle", "$.positionTitle"), ("$.location", "$.jobLocation"),
+        department=("$.department", "$.departmentName"), compensation=("$.salary", "$.salaryDisplay", "$.salary.display"), pay=("$.salaryMin", "$.salaryMax", "$.salaryType"),
+        posted_at=("$.postedDate", "$.openingDate", "$.datePosted"), employer=("$.agency", "$.agencyName"), description=("$.description", "$.jobDescription"), description_parts=("$.minimumQualifications", "$.supplementalInformation"), url_form="{base}/{id}",
+    ),
 }
 
 
 def path(row: Column, p: str) -> Column:
     """Text at a JSON path; null for nothing or an empty text."""
     found = F.get_json_object(row, p)
-    return F.when((F.trim(found) != "") & (found != "null"), found)
+    return F.when((F.trim(found) != "") & (found != "null") & ~found.isin("[]", "{}"), found)
 
 
 def first_of(row: Column, paths: tuple[str, ...]) -> Column:
     return F.coalesce(*(path(row, p) for p in paths), F.lit(None).cast("string"))
 
 
+def joined(row: Column, p: str) -> Column:
+    """The text at a path; of a list all its texts."""
+    found = path(row, p)
+    return F.coalesce(F.array_join(F.from_json(found, "array<string>"), " "), found)
+
+
 def rows_of(payload: Column, paths: tuple[str, ...]) -> Column:
-    """The first list found at the paths, as JSON texts; broken payloads give an empty one."""
+    """The first list found at the paths, one with rows before an empty one, as JSON texts; broken payloads give an empty one."""
     lists = [F.from_json(payload if p == "$" else F.get_json_object(payload, p), "array<string>") for p in paths]
-    return F.coalesce(*lists, F.array().cast("array<string>"))
+    return F.coalesce(*(F.when(F.size(x) > 0, x) for x in lists), F.array().cast("array<string>"))
+
+
+def _listed(x: Column) -> Column:
+    return F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>"))
 
 
-def parse(payloads: DataFrame, kind: FieldMap | str, payload: str = "payload", source: str = "source", employer: str = "employer") -> DataFrame:
+def _walked(step: str):
+    """What a key, or a number in a list, leads to."""
+
+    def walk(x: Column) -> Column:
+        keyed = F.when(F.ltrim(x).startswith("{"), F.get_json_object(x, f"$['{step}']"))
+        if not re.fullmatch(r"-?\d+", step):
+            return keyed
+        at = int(step)
+        return F.coalesce(F.when(F.ltrim(x).startswith("["), F.try_element_at(F.from_json(x, "array<string>"), F.lit(at + 1 if at >= 0 else at))), keyed)
+
+    return walk
+
+
+def resolve(payload: Column, dotted: str) -> Column:
+    """The texts at a dot path such as `data.jobs.0.title`, `rows.-1.id` or `sections[].body`, as an array; none for what isn't there.
+
+    A number counts in a list, a negative one from its end; `[]` goes on with every element and flattens what it finds by one
+    level; an empty path is the payload itself.  JSON that doesn't parse gives nothing.
+    """
+    steps = [s.strip() for s in re.sub(r"\[\s*\]", ".[].", dotted or "").split(".") if s.strip()]
+    held = F.array_compact(F.array(payload))
+    for step in steps:
+        held = F.flatten(F.transform(held, _listed)) if step == "[]" else F.transform(held, _walked(step))
+        held = F.filter(held, lambda x: x.isNotNull() & ~x.isin("", "null", "[]", "{}"))
+    # A list at the end of a mapped path is flattened too.
+    if "[]" in steps:
+        held = F.flatten(F.transform(held, lambda x: F.coalesce(F.when(x.startswith("["), F.from_json(x, "array<string>")), F.array(x))))
+    return held
+
+
+def with_detail(listed: DataFrame, details: DataFrame, rows: tuple[str, ...], key: tuple[str, ...], inside: tuple[str, ...] = ("$",), payload: str = "payload", budget: int | None = None) -> DataFrame:
+    """One payload a row, a list of one {listing, detail}, of list payloads and detail payloads (key, payload).
+
+    Of listings with one key the first stays, by the order of `seq` (page, term) and place where listed has it.  The detail record lies at the first of
+    `inside` that is there; a listing without one has no detail.  With a budget only the first so many listings take theirs.
+    """
+    order = ["seq"] if "seq" in listed.columns else []
+    names = [c for c in listed.columns if c not in (payload, "seq")]
+    one = listed.select(*names, *order, F.posexplode(rows_of(F.col(payload), rows)).alias("_at", "_listing")).withColumn("_key", first_of(F.col("_listing"), key))
+    one = one.where("_key is not null").withColumn("_order", F.struct(*order, "_at"))
+    one = first_of_each(one, [*names, "_key"], "_order")
+    found = details.select(F.col("key").alias("_key"), F.coalesce(*(F.when(F.get_json_object(payload, p).startswith("{"), F.get_json_object(payload, p)) for p in inside)).alias("_detail"))
+    out = one.join(found.groupBy("_key").agg(F.first("_detail", ignorenulls=True).alias("_detail")), "_key", "left")
+    if budget is not None:
+        served = one.orderBy("_order").limit(budget).select("_key").distinct()
+        out = out.join(served.withColumn("_served", F.lit(True)), "_key", "left").withColumn("_detail", F.when(F.col("_served"), F.col("_detail")))
+    text = F.concat(F.lit('[{"listing":'), F.col("_listing"), F.lit(',"detail":'), F.coalesce(F.col("_detail"), F.lit("null")), F.lit("}]"))
+    return out.select(*names, text.alias(payload))
+
+
+def parse(payloads: DataFrame, kind: FieldMap | str, payload: str = "payload", source: str = "source", employer: str = "employer", base: str | None = None) -> DataFrame:
     """One posting a row of each payload: source, source_id, url, title, employer, location, department, compensation, posted_at, remote, description.
 
-    Rows without url or title are left out, as the board would drop them.  Nothing in a payload can make it fail.
+    Rows without url or title are left out, as the board would drop them.  Nothing in a payload can make it fail.  base is a column with the
+    beginning of the URLs that a kind makes up itself.
     """
     spec = KINDS[kind] if isinstance(kind, str) else kind
-    rows = payloads.select(source, employer, F.explode(rows_of(F.col(payload), spec.rows)).alias("_row"))
+    start = F.lit("") if base is None else F.regexp_replace(F.coalesce(F.col(base), F.lit("")), "/+$", "")
+    rows = payloads.select(source, employer, start.alias("_base"), F.explode(rows_of(F.col(payload), spec.rows)).alias("_row"))
     r = F.col("_row")
-    place = first_of(r, spec.location) if spec.location else F.concat_ws(", ", *(path(r, p) for p in spec.location_parts))
+    if spec.statuses:
+        status = first_of(r, spec.status)
+        rows = rows.where(status.isNull() | F.lower(F.trim(status)).isin(*spec.statuses))
+    ident = first_of(r, spec.source_id)
+    url = first_of(r, spec.url)
+    if spec.https_only:
+        url = F.when(url.rlike("^https://[^/]"), url)
+    if spec.url_form and base is not None:
+        made = F.replace(F.replace(F.lit(spec.url_form), F.lit("{id}"), F.url_encode(ident)), F.lit("{path}"), F.coalesce(path(r, "$.listing.externalPath"), F.lit("")))
+        url = F.coalesce(url, F.when(ident.isNotNull(), F.replace(made, F.lit("{base}"), F.col("_base"))))
+    parts = F.nullif(F.concat_ws(", ", *(path(r, p) for p in spec.location_parts)), F.lit(""))
+    place = F.coalesce(first_of(r, spec.location), parts)
     # A wildcard path gives a JSON list of texts, others one text.
-    more = [F.coalesce(F.array_join(F.from_json(path(r, p), "array<string>"), " "), path(r, p)) for p in spec.description_parts]
-    text = F.concat_ws(" ", first_of(r, spec.description), *more)
+    text = html_to_text(F.concat_ws(" ", first_of(r, spec.description), *(joined(r, p) for p in spec.description_parts)))
+    facts = F.concat_ws(" ", *(F.concat(F.lit(f"{label}: "), humane(joined(r, p)), F.lit(".")) for label, p in spec.facts))
     stated = first_of(r, spec.remote)
+    pay = first_of(r, spec.compensation)
+    if spec.pay:
+        low, high, interval = (path(r, p) for p in spec.pay)
+        pay = F.coalesce(pay, F.trim(F.concat_ws(" ", F.when(low.isNotNull() & high.isNotNull(), F.concat(low, F.lit(" - "), high)).otherwise(F.coalesce(low, high)), interval)))
+    times = [tolerant_time(path(r, p)) for p in spec.posted_at]
     out = rows.select(
-        source, first_of(r, spec.source_id).alias("source_id"), first_of(r, spec.url).alias("url"), first_of(r, spec.title).alias("title"), employer,
-        F.coalesce(place, F.lit("")).alias("location"), first_of(r, spec.department).alias("department"), first_of(r, spec.compensation).alias("compensation"),
-        tolerant_time(first_of(r, spec.posted_at)).alias("posted_at"), stated.alias("_stated"), html_to_text(text).alias("description"),
+        source, ident.alias("source_id"), url.alias("url"), first_of(r, spec.title).alias("title"), F.coalesce(first_of(r, spec.employer), F.col(employer)).alias(employer),
+        F.coalesce(place, F.lit("")).alias("location"), first_of(r, spec.department).alias("department"), F.nullif(pay, F.lit("")).alias("compensation"),
+        F.coalesce(*times, F.lit(None).cast("timestamp")).alias("posted_at"), stated.alias("_stated"), F.concat_ws("\n\n", F.nullif(text, F.lit("")), F.nullif(facts, F.lit(""))).alias("description"),
     )
-    is_remote = (F.lower("_stated") == "true") | looks_remote("location", "_stated")
+    is_remote = (F.lower("_stated") == "true") | looks_remote("location", "title", "_stated")
     return out.withColumn("remote", F.coalesce(is_remote, F.lit(False))).drop("_stated").where("url is not null and title is not null")
 
 
+def humane(c: Column) -> Column:
+    """FULL_TIME as Full Time; other texts stay."""
+    return F.when(c.rlike("^[^a-z]*[A-Z][^a-z]*$") | F.contains(c, F.lit("_")), F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))).otherwise(c)
+
+
 def with_details(listed: DataFrame, details: DataFrame, paths: tuple[str, ...], key: str = "source_id", payload: str = "payload") -> DataFrame:
     """Listed postings with the description of their detail payload where there is one (key, payload); else their own."""
     text = F.concat_ws(" ", *(path(F.col(payload), p) for p in paths))
@@ -108,5 +269,21 @@ def side_loaded(rows: DataFrame, included: DataFrame, type_col: str, id_col: str
     return rows.join(index.withColumnsRenamed({"type": type_col, "id": id_col}), [type_col, id_col], "left")
 
 
-def flag(c: Column) -> Column:
-    return tolerant_bool(c)
+def personio(payloads: DataFrame, payload: str = "payload", source: str = "source", employer: str = "employer", base: str = "base") -> DataFrame:
+    """Postings of Personio's XML: every position, its description the headed sections in their order, with facts behind them."""
+    schema = (
+        "id string, name string, office string, department string, employmentType string, schedule string, seniority string, createdAt string, "
+        "jobDescriptions struct<jobDescription:array<struct<name:string,value:string>>>"
+    )
+    positions = F.regexp_extract_all(F.coalesce(F.col(payload), F.lit("")), F.lit(r"(?s)<position\b[^>]*>.*?</position\s*>"), F.lit(0))
+    rows = payloads.select(source, employer, F.regexp_replace(base, "/+$", "").alias("_base"), F.explode(positions).alias("_xml")).withColumn("p", F.from_xml("_xml", schema))
+    p = lambda name: F.trim(F.coalesce(F.col(f"p.{name}"), F.lit("")))
+    said = F.filter(F.col("p.jobDescriptions.jobDescription"), lambda s: F.trim(F.coalesce(s["value"], F.lit(""))) != "")
+    text = F.array_join(F.transform(said, lambda s: F.concat_ws("\n", F.nullif(F.trim(s["name"]), F.lit("")), s["value"])), "\n\n")
+    labels = (("Department", p("department")), ("Employment type", humane(p("employmentType"))), ("Schedule", humane(p("schedule"))), ("Seniority", humane(p("seniority"))))
+    facts = F.concat_ws(" ", *(F.when(v != "", F.concat(F.lit(f"{label}: "), v, F.lit("."))) for label, v in labels))
+    return rows.where((p("id") != "") & (p("name") != "")).select(
+        source, p("id").alias("source_id"), F.concat(F.col("_base"), F.lit("/job/"), F.url_encode(p("id"))).alias("url"), p("name").alias("title"), employer, p("office").alias("location"),
+        F.nullif(p("department"), F.lit("")).alias("department"), F.lit(None).cast("string").alias("compensation"), tolerant_time(p("createdAt")).alias("posted_at"),
+        F.concat_ws("\n\n", F.nullif(html_to_text(text), F.lit("")), F.nullif(facts, F.lit(""))).alias("description"), looks_remote(p("office"), p("name"), p("schedule")).alias("remote"),
+    )

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.enrichment import enrich
 from tidemark.functions.text import excerpt, feed_id
+from tidemark.operators.facets import facets
 
 #: Kinds of sources that are a publisher's own, rows of an RSS feed, characters of an excerpt.
 FIRST_PARTY = [
@@ -30,9 +32,33 @@ def confidence(df: DataFrame, state: str = "state", legacy: str = "validity", so
     return df.withColumn("confidence", F.when(F.col(state) == "live", "verified").otherwise(F.coalesce(old, F.when(first_party, "listed"), F.lit("aggregator"))))
 
 
-def legacy_rows(df: DataFrame) -> DataFrame:
-    """Old feed rows (no id) in the board's shape: id from url and title."""
-    return df.withColumn("id", feed_id("url", "title"))
+#: Columns that a feed row may have; those that it lacks are null.
+FEED_COLUMNS = {
+    "id": "string", "url": "string", "title": "string", "employer": "string", "location": "string", "description": "string", "remote": "boolean", "compensation": "string", "source": "string",
+    "validity": "string", "notes": "string", "salary": "string", "program": "string", "state": "string", "rank": "double", "listed_at": "string",
+}
+
+
+def feed_rows(df: DataFrame) -> DataFrame:
+    """Feed rows of the old shape (a validity mark, no id) and of the new in one shape, with enrichment, facets and confidence derived anew.
+
+    An old row's description is its notes, salary and programme, its id comes from url and title, its source is `legacy`.  What is
+    published as compensation is the salary, else the compensation; as program the row's own, else the one that its text names.
+    """
+    rows = df.select(*(F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in FEED_COLUMNS.items()))
+    old = F.col("validity").isNotNull() & F.col("id").isNull()
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    said = F.concat_ws("\n", *(F.nullif(empty(c), F.lit("")) for c in ("notes", "salary", "program")))
+    rows = confidence(rows).withColumn("_old", old)
+    rows = rows.withColumns({
+        "description": F.when(old, said).otherwise(empty("description")), "_pay": F.when(old, F.nullif("salary", F.lit(""))).otherwise(F.col("compensation")),
+        "source": F.when(old, F.lit("legacy")).otherwise(empty("source")), "id": F.when(old, feed_id("url", "title")).otherwise(F.col("id")),
+        "remote": F.when(old, F.lit(False)).otherwise(F.coalesce("remote", F.lit(False))), "_shown": F.coalesce(F.nullif("salary", F.lit("")), "compensation"),
+        **{c: empty(c) for c in ("url", "title", "employer", "location", "notes")},
+    })
+    rows = facets(enrich(rows.withColumn("compensation", F.col("_pay"))))
+    rows = rows.withColumn("program", F.coalesce(F.nullif("program", F.lit("")), "enrichment.program")).withColumn("compensation", F.col("_shown"))
+    return rows.drop("_old", "_pay", "_shown", "validity", "salary")
 
 
 def rss(board: DataFrame, rows: int = RSS_ROWS) -> DataFrame:
