@@ -237,7 +237,8 @@ def _verified(base: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
         .join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("t")), "v")
         .withColumn("common", F.size(F.array_intersect("s", "t")).cast("long"))
     )
-    enough = both.where(f"100 * common >= {percent} * (size(s) + size(t) - common)").select("u", "v").distinct()
+    # No distinct here: it would be dealt by v alone and keep the adaptive join from splitting a v with very many pairs.
+    enough = both.where(f"100 * common >= {percent} * (size(s) + size(t) - common)").select("u", "v")
     return written(enough, "links")
 
 
