@@ -74,7 +74,7 @@ def _candidates(n: int, size: int, repeated):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rolled.view(np.int64)),
-                        pa.array(again.view(np.int64)),
+                        pa.array((again >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         batch.column(0).slice(first, past - first).take(rows),
                         batch.column(1).slice(first, past - first).take(rows),
                         pa.array((starts - w.bounds[of]).astype(np.int32)),
@@ -158,7 +158,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a tenth as many) are counted first, and a bitmap tells which anchors repeat; what
     passes it by chance is settled by the exact count, so the filter decides nothing.  It has 16 bits a repeated anchor
     up to 16 MB; from some ten million repeated anchors on it fills, and more windows are sent that turn out single.  A window is
-    told by two hashes of 64 bits made with different bases over different word hashes.  Of texts equal byte for byte one sends its windows, the copies are known to
+    told by two hashes, 96 bits in all, made with different bases over different word hashes.  Of texts equal byte for byte one sends its windows, the copies are known to
     repeat as a whole.  Counts combine map-side and are written, so that the join of windows with the repeated ones reads two tables and
     the adaptive skew join can split a hot window; only a text's own positions are gathered together.
 
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     silent = copies.where("not sends").select("k", "t")
     speaking = keyed.join(small_or_not(silent), ["k", "t"], "left_anti")
     size, bits = _repeated_filter(speaking.select("text").mapInArrow(_anchors(window), "g long"))
-    schema = "h long, g long, k long, t int, pos int"
+    schema = "h long, g int, k long, t int, pos int"
     repeated = spark.sparkContext.broadcast(bits)
     sent = written(speaking.select("k", "t", "text").mapInArrow(_candidates(window, size, repeated), schema), "windows")
     repeated.destroy()
