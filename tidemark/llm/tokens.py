@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as tx
+from tidemark.llm.work import unused
 
 #: The automaton is broadcast; a larger vocabulary is refused.
 MAX_PIECES = 2_000_000
@@ -163,10 +164,11 @@ def with_token_counts(docs: DataFrame, pieces: list[bytes], text_col: str = "tex
     word of a block once and adds up precomputed counts, the pieces themselves are never made.  A word
     that can't be cut is one token.
 
-    Defined cases: a null or wordless text has zero words and tokens; a word may be of any length;
-    an empty vocabulary gives one token a word.  All other columns are returned as they are.
+    Defined cases: a null or wordless text has zero words and tokens; a word may be of any length, and a text
+    without white space is one; an empty vocabulary gives one token a word, one of more than MAX_PIECES pieces is refused with a ValueError.  Rows that repeat
+    an id are counted each by its own text.  All other columns, whatever their names, are returned as they are.  Empty in, empty out.
     """
     counts: Column = token_counter(docs, pieces)(F.col(text_col).cast("string"))
-    names = [c for c in docs.columns if c not in ("n_words", "n_tokens")]
-    hidden = "_tidemark_counts"
+    names = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "n_tokens")]
+    (hidden,) = unused(docs.columns, "counts")
     return docs.withColumn(hidden, counts).select(*names, F.col(f"{hidden}.n_words"), F.col(f"{hidden}.n_tokens"))
