@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,11 +104,11 @@ def classify_verdict(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.classify(_titled(spark, d), "title", "text", "source", DOMAIN, DISCIPLINE, EXCLUSIONS).select("doc_id", F.round("score", 4).alias("score"), "verdict")
 
 
-@query(f"""WITH h AS (SELECT doc_id, {_HAY.format(x=_TITLE)} AS t FROM documents)
+@query(f"""WITH h AS (SELECT doc_id, {_HAY.format(x="text || ' ' || source")} AS t FROM documents)
     SELECT doc_id, list_sort(list_filter([CASE WHEN contains(t, ' the ') OR contains(t, ' that ') THEN 'article' END, CASE WHEN contains(t, ' der ') OR contains(t, ' une ') THEN 'foreign' END], lambda x: x IS NOT NULL))::VARCHAR AS tags FROM h""")
 def derive_tags(spark: SparkSession, d: str) -> DataFrame:
-    hay = _titled(spark, d).withColumn("_t", text.haystack("title"))
-    hits = lexicon.axis(DOMAIN, F.col("_t"), F.lit(" "))[1]
+    hay = _titled(spark, d).withColumn("_t", text.haystack("title")).withColumn("_b", text.haystack("text", "source"))
+    hits = lexicon.axis(DOMAIN, F.col("_t"), F.col("_b"))[1]
     tags = lexicon.derive_tags(hits, {"article": ["the", "that"], "foreign": ["der", "une"]})
     return hay.select("doc_id", F.concat(F.lit("["), F.array_join(tags, ", "), F.lit("]")).alias("tags"))
 
@@ -150,11 +151,11 @@ def filter_new(spark: SparkSession, d: str) -> DataFrame:
     return history.filter_new(e.where("seq % 100 > 0"), e.where("seq % 100 = 0"))
 
 
-@query("""WITH s AS (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, (ts, event_type)) AS status FROM events GROUP BY 1) SELECT user_id, first_seen, last_seen FROM s""")
+@query("""WITH s AS (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1) SELECT user_id, first_seen, last_seen, status FROM s""")
 def store_mark(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumnsRenamed({"event_type": "status"})
-    old = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("status", "ts").alias("status"))
-    return history.mark(old, e.where("event_id % 2 = 1").withColumnRenamed("ts", "seen_at"), "user_id").select("user_id", "first_seen", "last_seen")
+    old = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    return history.mark(old, e.where("event_id % 2 = 1").withColumnRenamed("ts", "seen_at"), "user_id").select("user_id", "first_seen", "last_seen", "status")
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS status, o_orderdate AS listed_at FROM orders
@@ -286,10 +287,11 @@ def rank_recipients(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("recipient", "awards", "total", "missing", F.array_join("agencies", ",").alias("agencies"), F.array_join("states", ",").alias("states"), F.size("award_ids").cast("long").alias("ids"), F.substring("latest", 1, 10).alias("latest"), "top_description")
 
 
-@query("""SELECT s_suppkey, s_name AS registered FROM supplier""")
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 4 THEN s_name END AS registered FROM supplier""")
 def employer_match(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_suppkey", "s_name")
     said = s.withColumn("said", F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("The "), F.upper("s_name"), F.lit(", Inc."))).otherwise(F.regexp_replace("s_name", "#", " - ")))
+    said = said.withColumn("said", F.when(F.col("s_suppkey") % 5 == 4, F.concat("said", F.lit(" of Reno"))).otherwise(F.col("said")))
     return facets.match_employers(said, "said", s, "s_name", "s_suppkey").select("s_suppkey", "registered")
 
 
@@ -298,15 +300,15 @@ def discover_domains(spark: SparkSession, d: str) -> DataFrame:
     return discover.domains(table(spark, d, "pages"), "html")
 
 
-@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:[A-Z]{2,6}[0-9]?)', 0)) AS value FROM documents) SELECT value, count(*) AS mentions FROM m GROUP BY 1 HAVING count(*) >= 2""")
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}\p{M}_]+')) AS value FROM documents) SELECT value, count(*) AS mentions FROM m WHERE regexp_full_match(value, '[A-Z]{2,6}[0-9]?') GROUP BY 1 HAVING count(*) >= 2""")
 def vocab_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return discover.mined(table(spark, d, "documents"), "text", r"(?:[A-Z]{2,6}[0-9]?)").select("value", "mentions")
+    return discover.acronyms(table(spark, d, "documents"), "text").select("value", "mentions")
 
 
-@query("""SELECT e.user_id AS ref, count(*) AS n FROM events e ANTI JOIN customer ON c_custkey = user_id GROUP BY 1""")
+@query("""SELECT o_custkey AS ref, count(*) AS n FROM orders ANTI JOIN supplier ON s_suppkey = o_custkey GROUP BY 1""")
 def anti_join_refs(spark: SparkSession, d: str) -> DataFrame:
-    e, c = table(spark, d, "events"), table(spark, d, "customer")
-    return e.join(c, e.user_id == c.c_custkey, "left_anti").groupBy(F.col("user_id").alias("ref")).agg(F.count("*").alias("n"))
+    o, s = table(spark, d, "orders"), table(spark, d, "supplier")
+    return o.join(s, o.o_custkey == s.s_suppkey, "left_anti").groupBy(F.col("o_custkey").alias("ref")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH b AS (SELECT o_custkey AS k FROM orders UNION ALL SELECT -s_suppkey FROM supplier)
@@ -397,7 +399,7 @@ def range_join(spark: SparkSession, d: str) -> DataFrame:
 
 def _event_stream(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
     source = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = f"{shared_folder(spark)}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source.select("event_id", "ts", "user_id", "event_type", "value").orderBy("ts").write.parquet(f"{folder}/in")
     return spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in"), folder
 
@@ -413,7 +415,23 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE r = 1 OR b IS DISTINCT FROM event_type""")
 def stream_revisions(spark: SparkSession, d: str) -> DataFrame:
     stream, folder = _event_stream(spark, d)
-    return streams.drained(streams.revision_stream(stream, "user_id", "event_id", "event_type"), "revisions", f"{folder}/state", f"{folder}/out")
+    return streams.revision_log(stream, "user_id", "event_id", "event_type", f"{folder}/out", f"{folder}/state")
+
+
+@query()
+def stream_filter_new(spark: SparkSession, d: str) -> DataFrame:
+    stream, folder = _event_stream(spark, d)
+    keyed = stream.select(F.col("event_id").alias("seq"), F.concat("event_type", F.pmod(F.xxhash64("event_id"), F.lit(2000))).alias("identity"), F.concat(F.lit("u"), "user_id").alias("fingerprint"))
+    return streams.new_log(keyed, "identity", "fingerprint", "seq", f"{folder}/out", f"{folder}/state").select("seq")
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s), r AS (SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM g GROUP BY user_id, k)
+    SELECT user_id, start, n FROM r WHERE last + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    stream, folder = _event_stream(spark, d)
+    out = streams.drained(streams.sessions(stream, "ts", "user_id", "12 hours"), "sessions", f"{folder}/state", f"{folder}/out")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("""WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2)
