@@ -88,3 +88,17 @@ def mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def repeated(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def selected(df: DataFrame, divisions: list[str], slugs: list[str], names: list[str], division: str = "division", slug: str = "slug") -> DataFrame:
+    """Rows of the divisions, and rows with the slugs or with names of a list that slugify to theirs; all rows if nothing is asked for.  Of names a # and what follows is dropped."""
+    if not (divisions or slugs or names):
+        return df
+    wanted = {"".join(c if c.isascii() and c.isalnum() else "-" for c in x.split("#")[0].strip().lower()).strip("-") for x in [*slugs, *names]} - {""}
+    wanted = {"-".join(p for p in x.split("-") if p) for x in wanted}
+    return df.where(F.col(division).isin(*divisions) | F.col(slug).isin(*wanted))
+
+
+def translated(df: DataFrame, translations: DataFrame, name: str = "name") -> DataFrame:
+    """Rows with a translation (name, translated) of their name, with it; of several the first in order of itself."""
+    return df.join(translations.groupBy(name).agg(F.min("translated").alias("translated")), name)

@@ -82,8 +82,8 @@ def share_of_any(df: DataFrame, values: str, seq: str, top: int = 0) -> DataFram
 
 def distinct_spellings(values: Column) -> Column:
     """An array without repeats whatever the case: of each the first spelling, in the order of first places; blanks go."""
-    solid = F.filter(F.transform(values, F.trim), lambda x: F.coalesce(x, F.lit("")) != "")
-    low = F.transform(solid, F.lower)
+    solid = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
+    low = F.transform(solid, lambda x: F.lower(x))
     return F.filter(solid, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 
 

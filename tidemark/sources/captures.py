@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.text import html_to_text
+
 #: What a result is refused for, in this order.
 SOCIAL = r"(?i)^https?://(?:[a-z0-9-]+\.)?(?:linkedin|facebook|x|twitter|instagram|youtube|reddit|glassdoor|indeed|ziprecruiter)\.com/"
 EDITORIAL = (
@@ -146,15 +148,42 @@ def json_ld(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(walk, f"key {kind}, at int, posting string").withColumnRenamed("key", key)
 
 
-def json_ld_postings(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, source_id, title, employer, location, posted_at, salary_min, salary_max, salary_period of linked data postings."""
+#: The free texts of a posting in linked data, in order, and the facts that follow them under a label.
+NARRATIVE = ["description", "responsibilities", "qualifications", "skills", "experienceRequirements", "educationRequirements", "jobBenefits", "incentiveCompensation", "workHours", "specialCommitments"]
+LABELLED = [("Employment type", "employmentType"), ("Security clearance", "securityClearanceRequirement"), ("Job category", "occupationalCategory"), ("Industry", "industry")]
+
+
+def json_ld_postings(pages: DataFrame, key: str, html: str, url: str | None = None) -> DataFrame:
+    """key, source_id, url, title, employer, location, remote, description, employment_type, posted_at, salary_min, salary_max, salary_period of linked data postings.
+
+    url is the page's own, which a posting without one takes.  A posting's id is its identifier, else its URL if that isn't the page's, else the
+    page's with its title and place, else a hash.  The description holds every free text of the posting and labelled facts behind them.
+    """
     p = F.col("posting")
     get = lambda x: F.get_json_object(p, x)
-    place = lambda x: F.coalesce(get(f"$.jobLocation.address.{x}"), get(f"$.jobLocation[0].address.{x}"))
+    solid = lambda c: F.nullif(F.trim(c), F.lit(""))
+    place = lambda x: F.coalesce(get(f"$.jobLocation.address.{x}.name"), get(f"$.jobLocation.address.{x}"), get(f"$.jobLocation[0].address.{x}.name"), get(f"$.jobLocation[0].address.{x}"))
     low, high = F.coalesce(get("$.baseSalary.value.minValue"), get("$.baseSalary.value.value")), F.coalesce(get("$.baseSalary.value.maxValue"), get("$.baseSalary.value.value"))
-    return json_ld(pages, key, html).select(
-        key, F.coalesce(get("$.identifier.value"), get("$.identifier"), get("$.url"), F.sha2(p, 256)).alias("source_id"), get("$.title").alias("title"),
-        get("$.hiringOrganization.name").alias("employer"), F.concat_ws(", ", place("addressLocality"), place("addressRegion")).alias("location"),
+    found = json_ld(pages, key, html)
+    page = F.lit(None).cast("string")
+    if url is not None:
+        found, page = found.join(pages.select(key, F.col(url).alias("_page")), key), F.col("_page")
+    said = F.coalesce(solid(get("$.url")), solid(get("$['@id']")))
+    link = F.when(said.rlike("^https?://"), said).when(said.startswith("//"), F.concat(F.lit("https:"), said)).when(
+        said.startswith("/") & page.isNotNull(), F.concat(F.regexp_extract(page, "^(https?://[^/]+)", 1), said)).otherwise(page)
+    where = F.concat_ws(", ", place("addressLocality"), place("addressRegion"), place("addressCountry"))
+    title = html_to_text(get("$.title"))
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.concat_ws(" ", title, where)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    ident = F.coalesce(
+        solid(get("$.identifier.value")), solid(get("$.identifier.name")), F.when(~get("$.identifier").startswith("{"), solid(get("$.identifier"))), F.when(~link.eqNullSafe(page), link),
+        F.when(slug != "", F.concat(page, F.lit("#"), F.substring(slug, 1, 80))), F.sha2(p, 256),
+    )
+    kind = F.coalesce(F.array_join(F.from_json(get("$.employmentType"), "array<string>"), ", "), get("$.employmentType"))
+    facts = [F.concat(F.lit(f"{label}: "), kind if x == "employmentType" else get(f"$.{x}"), F.lit(".")) for label, x in LABELLED]
+    text = html_to_text(F.concat_ws("\n\n", *(solid(get(f"$.{x}")) for x in NARRATIVE), *facts))
+    return found.select(
+        key, ident.alias("source_id"), link.alias("url"), title.alias("title"), F.coalesce(get("$.hiringOrganization.name"), F.when(~get("$.hiringOrganization").startswith("{"), get("$.hiringOrganization"))).alias("employer"),
+        where.alias("location"), F.coalesce(F.upper(get("$.jobLocationType")) == "TELECOMMUTE", F.lit(False)).alias("remote"), text.alias("description"), kind.alias("employment_type"),
         get("$.datePosted").alias("posted_at"), low.try_cast("double").alias("salary_min"), high.try_cast("double").alias("salary_max"), F.lower(get("$.baseSalary.value.unitText")).alias("salary_period"),
     )
 
