@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import haystack, term_count
+from tidemark.operators.storage import spread
 
 #: What a term in the title counts, how often one in the body counts at most, and the verdict's thresholds.
 TITLE_TIMES, BODY_CAP = 2.5, 3
@@ -53,7 +54,7 @@ def classify(df: DataFrame, title: str, body: str, employer: str, domain: dict[s
     An exclusion in title or body rejects with score 0.  Else both axes must reach their floors and
     the sum decides: publish, review or reject.
     """
-    out = df.withColumn("_t", haystack(title)).withColumn("_b", haystack(body, employer))
+    out = spread(df).withColumn("_t", haystack(title)).withColumn("_b", haystack(body, employer))
     out = out.withColumn("excluded_by", axis(dict.fromkeys(exclusions, 0.0), F.col("_t"), F.col("_b"))[1])
     clear = F.size("excluded_by") == 0
     none = F.array().cast("array<string>")

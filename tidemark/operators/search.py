@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.storage import spread
+
 #: Characters of a body that are searched; worth of a whole-query hit, of a token in the name and in the description; limits.
 BODY_CHARS, PHRASE, IN_NAME, IN_DESCRIPTION = 8000, 5.0, 3.0, 1.5
 DEFAULT_LIMIT, MOST_LIMIT = 8, 25
@@ -20,7 +22,7 @@ def rank(df: DataFrame, query: str, name: str, description: str, body: str, extr
     """df's best rows for a query, with score: tokens shared, plus 5 for the whole query, 3 for each token in the name,
     1.5 in the description, and 1 over the root of the distinct tokens of a row that scores.  Limited to 1 to 25."""
     tokens = query_tokens(query)
-    rows = df if where is None else df.where(where)
+    rows = spread(df if where is None else df.where(where))
     text = F.lower(F.concat_ws("\n", *(F.coalesce(F.col(c), F.lit("")) for c in (name, description, *extra)), F.substring(F.coalesce(F.col(body), F.lit("")), 1, BODY_CHARS)))
     rows = rows.withColumn("_text", text)
     held = F.array_distinct(F.filter(F.split(F.regexp_replace("_text", "[^a-z0-9]+", " "), " "), lambda w: w != ""))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import wordhash
-from tidemark.operators.storage import small_or_not, stored
+from tidemark.operators.storage import small_or_not, spread, stored
 
 #: Shares at which a best match fails or warns.
 FAIL, WARN = 0.40, 0.20
@@ -37,7 +37,7 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, k: int = 8, entities
                 values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, past - first), wordhash.list_array(values.view(np.int64), ends)], names=["id", "hs"])
 
-    rows = df.select(F.col(id_col).alias("id"), shingle_text(F.col(text_col), entities).alias("t"))
+    rows = spread(df.select(id_col, text_col)).select(F.col(id_col).alias("id"), shingle_text(F.col(text_col), entities).alias("t"))
     return stored(rows.mapInArrow(hashed, f"id {rows.schema['id'].dataType.simpleString()}, hs array<long>"), "shingles")
 
 
