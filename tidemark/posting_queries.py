@@ -30,7 +30,7 @@ EDUCATION = ["Bachelor", None, "Master", "Doctorate", None, "Doctorate", None, "
 YEARS = [5, None, 3, None, None, None, None, None]
 SCHEDULE = ["Full-time", "Part-time", None, None, None, None, None, "Per-diem"]
 PLACES = ["Fort Bragg", "Camp Lejeune", None, None, None, None, "Coronado", None]
-SERVICES = ["Army", "Marine Corps", None, None, None, None, "Navy", "Joint"]
+SERVICES = ["Army", "Marine Corps", None, None, None, None, "Navy", "Army"]
 PROGRAMS = ["H2F", None, None, None, None, None, None, "THOR3"]
 STATES = ["NC", "NC", None, None, "DC", "AK", "CA", None]
 DISCIPLINES = ["strength-conditioning", "athletic-training", "nutrition", "physical-therapy", "other", "sport-science", "human-performance", "other"]
