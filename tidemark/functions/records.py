@@ -86,24 +86,51 @@ def listing_title(text: Column) -> Column:
     Each step is optional, a plain title stays.  A colon splits only where a role is behind it and none before it.
     """
     raw = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    inside = F.regexp_extract(raw, r"\(([^()]+)\)\s*$", 1)
-    in_brackets = (inside != "") & looks_like_place(inside)
-    rest = F.when(in_brackets, F.trim(F.regexp_replace(raw, r"\([^()]+\)\s*$", ""))).otherwise(raw)
-    parts = F.filter(F.transform(F.split(rest, r"\s+[-–—|]\s+"), lambda p: F.trim(p)), lambda p: p != "")
-    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
-    behind_dash = ~in_brackets & (F.size(parts) >= 2) & looks_like_place(last)
-    kept = F.when(behind_dash, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    title = F.coalesce(F.try_element_at(kept, F.lit(1)), rest)
-    employer = F.when(F.size(kept) > 1, F.array_join(F.slice(kept, F.lit(2), F.size(kept) - 1), " - ")).otherwise("")
-    head, tail = F.trim(F.regexp_extract(title, r"^([^:]*):", 1)), F.trim(F.regexp_extract(title, r"^[^:]*:(.*)$", 1))
-    colon = (employer == "") & (head != "") & (tail != "") & _has_role(tail) & ~_has_role(head)
-    role, where = F.trim(F.regexp_extract(title, r"(?i)^(.+?)\s+(?:at|@)\s+(.+)$", 1)), F.trim(F.regexp_extract(title, r"(?i)^(.+?)\s+(?:at|@)\s+(.+)$", 2))
-    at = (employer == "") & ~colon & (where != "") & (F.size(F.split(where, " ")) <= 10)
-    return F.struct(
-        F.when(colon, tail).when(at, role).otherwise(title).alias("title"), F.when(colon, head).when(at, where).otherwise(employer).alias("employer"),
-        F.when(in_brackets, F.trim(inside)).when(behind_dash, last).otherwise("").alias("location"),
+    return _let(_let(_let(raw, _placed), _parted), _titled)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _placed(raw: Column) -> Column:
+    """rest and place: a title without the place in brackets at its end."""
+    inside = F.trim(F.regexp_extract(raw, r"\(([^()]+)\)\s*$", 1))
+    found = (inside != "") & looks_like_place(inside)
+    return F.struct(F.when(found, F.trim(F.regexp_replace(raw, r"\([^()]+\)\s*$", ""))).otherwise(raw).alias("rest"), F.when(found, inside).otherwise("").alias("place"))
+
+
+def _parted(x: Column) -> Column:
+    """kept and place: the parts between dashes, without a place at their end."""
+    parts = F.filter(F.transform(F.split(x["rest"], r"\s+[-–—|]\s+"), lambda p: F.trim(p)), lambda p: p != "")
+
+    def cut(parts: Column) -> Column:
+        last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+        behind = (x["place"] == "") & (F.size(parts) >= 2) & looks_like_place(last)
+        return F.struct(F.when(behind, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts).alias("kept"), F.when(behind, last).otherwise(x["place"]).alias("place"), x["rest"].alias("rest"))
+
+    return _let(parts, cut)
+
+
+def _titled(x: Column) -> Column:
+    first = F.struct(
+        F.coalesce(F.try_element_at(x["kept"], F.lit(1)), x["rest"]).alias("title"),
+        F.when(F.size(x["kept"]) > 1, F.array_join(F.slice(x["kept"], F.lit(2), F.size(x["kept"]) - 1), " - ")).otherwise("").alias("employer"),
     )
 
+    def split(y: Column) -> Column:
+        title, employer = y["title"], y["employer"]
+        head, tail = F.trim(F.regexp_extract(title, r"^([^:]*):", 1)), F.trim(F.regexp_extract(title, r"^[^:]*:(.*)$", 1))
+        colon = (employer == "") & (head != "") & (tail != "") & _has_role(tail) & ~_has_role(head)
+        role, where = (F.trim(F.regexp_extract(title, r"(?i)^(.+?)\s+(?:at|@)\s+(.+)$", k)) for k in (1, 2))
+        at = (employer == "") & ~colon & (where != "") & (F.size(F.split(where, " ")) <= 10)
+        return F.struct(
+            F.when(colon, tail).when(at, role).otherwise(title).alias("title"), F.when(colon, head).when(at, where).otherwise(employer).alias("employer"), x["place"].alias("location"),
+        )
+
+    return _let(first, split)
+
 
 def board_slugs(name: Column) -> Column:
     """Names under which a company's board may lie: hyphenated, joined, joined with its capitals (if any is within), its first word; no repeats."""
