@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.codes import compressed
+from tidemark.llm.exact import exact_duplicates
 from tidemark.llm.lines import remove_boilerplate
+from tidemark.llm.merkle import folded, hexed, leaf_of, merkle_manifest, siblings
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import best_fit
@@ -88,6 +91,25 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_documents(spark, folder))
 
 
+def op11_code_compression(spark: SparkSession, folder: str) -> DataFrame:
+    return compressed(spark.read.parquet(f"{folder}/embeddings.parquet"), parts=16, entries=64, rounds=2)
+
+
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_duplicates(_documents(spark, folder))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = leaf_of(*(F.try_add(F.col(c), F.lit(1)) if c == "n_chars" else F.col(c) for c in names))
+    out = merkle_manifest(_documents(spark, folder), names, also={"tampered": F.when(_fold(7) == 0, tampered)})
+    back, root = folded(F.coalesce("tampered", "leaf"), F.col("proof")), hexed("root")
+    return out.select(
+        "doc_id", hexed("leaf").alias("leaf"), hexed("subroot").alias("subroot"), root.alias("root"),
+        F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"), back.alias("folded_root"), (back == root).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -99,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_code_compression": op11_code_compression,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
@@ -134,7 +159,79 @@ MIX_SQL = rf"""
         UNION ALL
         SELECT doc_id, domain, lang, source, n_tokens, (fulls + 1)::INT, least(n_tokens, rest - used)::BIGINT FROM p WHERE used < rest"""
 
+
+
+def _round_sql(k: int) -> str:
+    """Assignment of all parts to the codebooks of round k, and the codebooks after it."""
+    return f"""
+        d{k} AS (SELECT vec_id, label, t.p, t.v, e, list_sum(list_transform(list_zip(t.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+                 FROM t JOIN c{k} c USING (p)),
+        a{k} AS MATERIALIZED (SELECT vec_id, label, p, any_value(v) AS v, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM d{k} GROUP BY vec_id, label, p),
+        s{k} AS (SELECT p, e, i, floor(sum(v[i]) / count(*))::BIGINT AS x FROM a{k}, unnest(range(1, len(v) + 1)) u(i) GROUP BY p, e, i),
+        m{k} AS (SELECT p, e, list(x ORDER BY i) AS v FROM s{k} GROUP BY p, e),
+        c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m USING (p, e))"""
+
+
+CODES_SQL = f"""
+        WITH kept AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+                      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        t AS MATERIALIZED (SELECT vec_id, label, r, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS v FROM kept, range(16) x(p)),
+        c0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM t WHERE r <= 64), {_round_sql(0)}, {_round_sql(1)}, {_round_sql(2)},
+        o AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id, label),
+        h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS digest FROM c2)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM o, h"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", f"({n_chars})::VARCHAR", "text"]
+    return "sha256(concat(" + ", ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE concat(strlen({v}), ':', {v}) END" for v in values) + "))"
+
+
+def _tree_sql(name: str, nodes: str) -> str:
+    """All levels k of the trees over nodes (tree, pos, n, h)."""
+    return f"""
+        {name} AS (
+          SELECT 0 AS k, tree, pos, n, h FROM {nodes}
+          UNION ALL
+          SELECT any_value(k) + 1, tree, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, pos // 2, (n + 1) // 2)"""
+
+
+#: crc32 by eight shifts a byte over the number's digits.
+MERKLE_SQL = f"""
+        WITH RECURSIVE b AS (SELECT doc_id, unnest([ascii(c) for c in string_split(doc_id::VARCHAR, '')]) AS byte, generate_subscripts(string_split(doc_id::VARCHAR, ''), 1) AS i FROM documents),
+        w AS (SELECT doc_id, list(byte::BIGINT ORDER BY i) AS bytes FROM b GROUP BY doc_id),
+        crc AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, byte:
+                  list_reduce(list_prepend(xor(a, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS v FROM w),
+        leaves AS (SELECT d.doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos,
+                          count(*) OVER (PARTITION BY lang) AS n, {_leaf_sql("n_chars")} AS h,
+                          CASE WHEN v % 7 = 0 THEN {_leaf_sql("n_chars + 1")} END AS tampered
+                   FROM documents d LEFT JOIN crc USING (doc_id)),
+        {_tree_sql("lower", "leaves")},
+        subs AS (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, h, k AS depth FROM lower WHERE n = 1),
+        {_tree_sql("upper", "subs")},
+        steps AS (
+          SELECT doc_id, lower.k AS k, lower.h AS s, lower.pos < leaves.pos >> lower.k AS before
+          FROM leaves JOIN lower ON lower.tree = leaves.tree AND lower.pos = xor(leaves.pos >> lower.k, 1)
+          UNION ALL
+          SELECT doc_id, depth + upper.k, upper.h, upper.pos < leaves.tree >> upper.k
+          FROM leaves JOIN subs ON subs.pos = leaves.tree JOIN upper ON upper.pos = xor(leaves.tree >> upper.k, 1)),
+        root AS (SELECT h AS root, k AS height FROM upper WHERE n = 1),
+        fold AS (
+          SELECT doc_id, 0 AS k, depth + height AS last, coalesce(tampered, leaves.h) AS h FROM leaves JOIN subs ON subs.pos = leaves.tree, root
+          UNION ALL
+          SELECT f.doc_id, f.k + 1, last, sha256(CASE WHEN s IS NULL THEN h WHEN before THEN concat(s, h) ELSE concat(h, s) END)
+          FROM fold f LEFT JOIN steps ON steps.doc_id = f.doc_id AND steps.k = f.k WHERE f.k < last)
+        SELECT l.doc_id, l.h AS leaf, subs.h AS subroot, root, sha256(coalesce(p.all_s, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+        FROM leaves l JOIN subs ON subs.pos = l.tree JOIN fold f ON f.doc_id = l.doc_id AND f.k = f.last
+        LEFT JOIN (SELECT doc_id, string_agg(s, '' ORDER BY k) AS all_s FROM steps GROUP BY doc_id) p ON p.doc_id = l.doc_id, root"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_code_compression": CODES_SQL,
+    "op12_exact_dedup": """
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""",
+    "op13_merkle_manifest": MERKLE_SQL,
     "op4_mixing": MIX_SQL,
     "op8_line_dedup": r"""
         WITH lines AS (
