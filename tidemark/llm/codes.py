@@ -160,7 +160,7 @@ def fit_codebooks(rows: DataFrame, parts: int = 16, entries: int = 64, rounds: i
     start = np.zeros((len(firsts), parts * length), dtype=np.int64)
     for k, row in enumerate(firsts):
         start[k, : len(row.vec)] = row.vec
-    books = start.reshape(-1, parts, length).transpose(1, 0, 2).copy()
+    books = start.reshape(len(firsts), parts, length).transpose(1, 0, 2).copy()
     for _ in range(rounds if len(firsts) and length else 0):
         sums = rows.select("vec").mapInArrow(_sums(books), "slot long, place long, total long, n long").groupBy("slot", "place")
         for r in sums.agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n")).collect():
