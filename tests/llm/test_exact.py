@@ -53,6 +53,13 @@ def test_reduced_takes_the_next_largest_off():
     assert exact.reduced(rows, 4).num_rows == 4
 
 
+def test_summaries_of_many_batches():
+    kinds = pa.schema([pa.field("digest", pa.binary()), pa.field("n", pa.int64(), nullable=False)])
+    batches = [pa.RecordBatch.from_arrays([pa.array([bytes([k]), b"hot"] * 3), pa.array([1] * 6)], schema=kinds) for k in range(50)]
+    (out,) = exact._summaries(4)(iter(batches))
+    assert dict(zip(*out.to_pydict().values(), strict=True))[b"hot"] >= 150 - 300 // 5 and out.num_rows <= 4
+
+
 def H(*parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 

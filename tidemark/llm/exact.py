@@ -37,7 +37,7 @@ def _summaries(counters: int):
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
+            rows = pa.table({"digest": batch.column("digest"), "n": batch.column("n")})
             held = reduced(rows if held is None else pa.concat_tables([held, rows]), counters)
         if held is not None:
             yield from held.combine_chunks().to_batches()
