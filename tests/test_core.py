@@ -85,21 +85,32 @@ def first_come(rows, seen):
     return taken
 
 
-@pytest.mark.parametrize("last_rows", [0, 100_000])
-def test_greedy_matches_brute_force(spark, last_rows):
+@pytest.mark.parametrize("block_rows", [4, 40, 100_000])
+def test_greedy_matches_brute_force(spark, block_rows):
     rng = random.Random(3)
     rows = [(s, rng.choice([None, *(f"i{k}" for k in range(60))]), rng.choice([None, *(f"f{k}" for k in range(60))])) for s in range(200)]
     seen = [("i1", "f1"), ("i2", None), (None, "f9")]
     kinds = "identity string, fingerprint string"
-    out = history.filter_new(spark.createDataFrame(rows, "seq long, " + kinds), spark.createDataFrame(seen, kinds), last_rows=last_rows)
+    out = history.filter_new(spark.createDataFrame(rows, "seq long, " + kinds), spark.createDataFrame(seen, kinds), block_rows=block_rows)
     assert sorted(r.seq for r in out.collect()) == first_come(rows, seen)
 
 
 def test_greedy_settles_long_chains(spark):
     rows = [(k, f"i{k // 2}", f"f{(k + 1) // 2}") for k in range(5000)]
     kinds = "identity string, fingerprint string"
-    out = history.filter_new(spark.createDataFrame(rows, "seq long, " + kinds), spark.createDataFrame([], kinds))
-    assert sorted(r.seq for r in out.collect()) == list(range(0, 5000, 2))
+    for block_rows in (100_000, 900):
+        out = history.filter_new(spark.createDataFrame(rows, "seq long, " + kinds), spark.createDataFrame([], kinds), block_rows=block_rows)
+        assert sorted(r.seq for r in out.collect()) == list(range(0, 5000, 2))
+
+
+@pytest.mark.parametrize("block_rows, length", [(50, 30), (20, 60)])
+def test_greedy_walks_many_chains_by_component(spark, block_rows, length):
+    """Chains of 30 rows fit a block and are walked each; chains of 60 go over blocks of 20."""
+    rows = [(k * 1000 + c, f"i{c}-{k // 2}", f"f{c}-{(k + 1) // 2}") for c in range(20) for k in range(length)]
+    random.Random(1).shuffle(rows)
+    kinds = "identity string, fingerprint string"
+    out = history.filter_new(spark.createDataFrame(rows, "seq long, " + kinds), spark.createDataFrame([], kinds), block_rows=block_rows)
+    assert sorted(r.seq for r in out.collect()) == first_come(rows, [])
 
 
 def test_filter_new_query_matches_brute_force(spark):
