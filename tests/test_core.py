@@ -3,7 +3,6 @@
 import glob
 import os
 import random
-import time
 from datetime import datetime, timedelta
 
 import duckdb
@@ -126,21 +125,6 @@ def test_greedy_takes_rows_that_only_dropped_rows_block(spark):
     assert sorted(r.seq for r in history.filter_new(new, seen).collect()) == [1, 3, 5, 6]
 
 
-def test_streams_match_their_batch_twins(spark, tmp_path):
-    rng = random.Random(5)
-    rows = [(k, rng.choice(["a", "b", None]), f"k{rng.randrange(4)}", f"i{rng.randrange(25)}", f"f{rng.randrange(25)}") for k in range(120)]
-    kinds = "seq long, content string, key string, identity string, fingerprint string"
-    for k in range(0, 120, 30):
-        spark.createDataFrame(rows[k : k + 30], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        time.sleep(0.05)
-    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    log = streams.revision_log(stream, "key", "seq", "content", f"{tmp_path}/log", f"{tmp_path}/c1")
-    batch = spark.createDataFrame(rows, kinds)
-    assert sorted(r.seq for r in log.collect()) == sorted(r.seq for r in history.revisions(batch, "key", "seq", "content").collect())
-    taken = streams.new_log(stream, "identity", "fingerprint", "seq", f"{tmp_path}/new", f"{tmp_path}/c2")
-    assert sorted(r.seq for r in taken.collect()) == first_come([(r[0], r[3], r[4]) for r in rows], [])
-
-
 def test_revisions_and_state(spark):
     log = spark.createDataFrame([(1, "k", "A"), (2, "k", "A"), (3, "k", "B"), (4, "k", "A"), (5, "m", None)], "seq long, id string, c string")
     assert sorted(r.seq for r in history.revisions(log, "id", "seq", "c").collect()) == [1, 3, 4, 5]

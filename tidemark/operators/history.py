@@ -42,6 +42,8 @@ def append_revisions(new: DataFrame, archive: DataFrame, key: str, seq: str, con
 
 #: Rows that one task walks in order, and so many such blocks one after the other before components are looked for.
 BLOCK_ROWS, FEW_BLOCKS = 200_000, 8
+#: So few open rows (a micro-batch, what rounds leave over) aren't worth another round.
+FEW_ROWS = 10_000
 
 
 def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,6 +71,8 @@ def _by_blocks(left: DataFrame, block_rows: int) -> DataFrame:
 
     What a block takes goes on only by the keys that a later block has.
     """
+    if left.count() <= block_rows:
+        return _walked(left.withColumn("c", F.lit(0)).repartition(1)).select("s")
     blocks = numbered(left.withColumn("part", F.lit(0)), "part", ["s"]).withColumn("c", F.floor(F.col("pos") / block_rows)).select("c", "s", "i", "f")
     blocks = stored(blocks, "blocks")
     for key in ("i", "f"):
@@ -113,7 +117,7 @@ def filter_new(
 
     Two anti-joins against the seen state.  Then rounds over all rows at once: an open row that is first in both of its
     groups is taken, open rows that share a key with one taken are dropped.  Rounds go on while each settles a tenth of the open
-    rows.  What is left are chains, in which each row waits for the one before.  Chains fall into components over
+    rows and more than a few are left.  What is left are chains, in which each row waits for the one before.  Chains fall into components over
     shared keys: those of at most block_rows rows are walked in their order inside tasks, many a task.  Larger ones are cut into blocks of
     block_rows rows by their order, which are walked one after the other and hand on only keys that later blocks have; a
     few blocks' rows are walked so at once, without components.  No task walks more rows than that of one component or block.
@@ -125,7 +129,7 @@ def filter_new(
     own = lambda c: F.coalesce(F.col(c).cast("string"), F.concat(F.lit("\0"), F.col(seq)))
     left, taken = stored(fresh.select(F.col(seq).alias("s"), own(identity).alias("i"), own(fingerprint).alias("f")), "open"), []
     count, before = left.count(), None
-    while count and (before is None or 10 * count <= 9 * before):
+    while count > min(FEW_ROWS, block_rows) and (before is None or 10 * count <= 9 * before):
         by_i, by_f = left.groupBy("i").agg(F.min("s").alias("mi")), left.groupBy("f").agg(F.min("s").alias("mf"))
         ranked = stored(left.join(by_i, "i").join(by_f, "f"), "ranked")
         now = ranked.where("s = mi and s = mf").select("s", "i", "f")

@@ -15,6 +15,7 @@ from tidemark.operators.storage import shared_folder
 from tidemark.session import table
 from tidemark.sources import captures
 from tidemark.streaming import events as streams
+from tidemark.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -404,6 +405,16 @@ def _event_stream(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
     return spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in"), folder
 
 
+def _landed_stream(spark: SparkSession, d: str, batches: int = 4) -> tuple[DataFrame, str]:
+    """The events in the order of their ids, landed in so many files one after the other, read one file a micro-batch."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    folder, most = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", events.agg(F.max("event_id")).first()[0] or 0
+    for k in range(batches):
+        part = events.where((F.col("event_id") * batches >= k * (most + 1)) & (F.col("event_id") * batches < (k + 1) * (most + 1)))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+
+
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     stream, folder = _event_stream(spark, d)
@@ -414,15 +425,17 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE r = 1 OR b IS DISTINCT FROM event_type""")
 def stream_revisions(spark: SparkSession, d: str) -> DataFrame:
-    stream, folder = _event_stream(spark, d)
-    return streams.revision_log(stream, "user_id", "event_id", "event_type", f"{folder}/out", f"{folder}/state")
+    """Four micro-batches; each user's last event is the state."""
+    stream, folder = _landed_stream(spark, d)
+    return state.run_to(state.revised(stream, "user_id", "event_id", "event_type"), f"{folder}/out", f"{folder}/state")
 
 
 @query()
 def stream_filter_new(spark: SparkSession, d: str) -> DataFrame:
-    stream, folder = _event_stream(spark, d)
+    """Four micro-batches; the state is the keys of the events taken."""
+    stream, folder = _landed_stream(spark, d)
     keyed = stream.select(F.col("event_id").alias("seq"), F.concat("event_type", F.pmod(F.xxhash64("event_id"), F.lit(2000))).alias("identity"), F.concat(F.lit("u"), "user_id").alias("fingerprint"))
-    return streams.new_log(keyed, "identity", "fingerprint", "seq", f"{folder}/out", f"{folder}/state").select("seq")
+    return state.take_new(keyed, "identity", "fingerprint", "seq", f"{folder}/out", f"{folder}/state").select("seq")
 
 
 @query("""WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events),

@@ -1,13 +1,9 @@
-"""Structured Streaming twins of the batch operators."""
+"""Structured Streaming by event time: first seen, windows, sessions.  Operators with a state of their own are in `state`."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from tidemark.operators.history import filter_new
-from tidemark.operators.storage import stored
 
 
 def first_seen(stream: DataFrame, key: str, when: str, keep: str = "30 days") -> DataFrame:
@@ -27,54 +23,6 @@ def sessions(stream: DataFrame, when: str, by: str, gap: str = "30 minutes", lat
     return grouped.agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n")
 
 
-def _table(spark: SparkSession, folder: str, n: int, like: DataFrame) -> DataFrame:
-    """What the batch before wrote to a folder; nothing before the first."""
-    return spark.read.schema(like.schema).parquet(f"{folder}/{n - 1}") if n else like.limit(0)
-
-
-def _run(stream: DataFrame, step, checkpoint: str) -> None:
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def revision_log(stream: DataFrame, key: str, seq: str, content: str, folder: str, checkpoint: str) -> DataFrame:
-    """Rows whose content differs from the last of their key, over all micro-batches that are there; an older seq than the last of its key never counts.
-
-    Each batch is a table: a window compares its rows, the first of a key with the content that the batches before left.  The
-    last row of each key is the state, written beside the changes under the batch's number, so a batch that is run again gives the same.
-    """
-
-    def step(batch: DataFrame, n: int) -> None:
-        rows = batch.select(key, seq, content)
-        before = _table(batch.sparkSession, f"{folder}/last", n, rows)
-        first = before.select(F.col(key).alias("_k"), F.col(seq).alias("_seq"), F.col(content).alias("_last"))
-        rows = rows.join(first, F.col(key) == F.col("_k"), "left").where(F.col("_seq").isNull() | (F.col(seq) > F.col("_seq")))
-        w = Window.partitionBy(key).orderBy(seq)
-        known = F.when(F.row_number().over(w) > 1, F.lag(content).over(w)).otherwise(F.col("_last"))
-        new_key = (F.row_number().over(w) == 1) & F.col("_seq").isNull()
-        changed = rows.withColumn("_known", known).withColumn("_new", new_key).where(F.col("_new") | ~F.col("_known").eqNullSafe(F.col(content)))
-        changed.select(key, seq, content).write.mode("overwrite").parquet(f"{folder}/changes/{n}")
-        newest = before.unionByName(rows.select(key, seq, content)).groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(key, seq, content), seq).alias("_r")).select("_r.*")
-        newest.write.mode("overwrite").parquet(f"{folder}/last/{n}")
-
-    _run(stream, step, checkpoint)
-    kinds = stream.select(key, seq, content).schema
-    return stream.sparkSession.read.schema(kinds).option("recursiveFileLookup", "true").parquet(f"{folder}/changes")
-
-
-def new_log(stream: DataFrame, identity: str, fingerprint: str, seq: str, folder: str, checkpoint: str) -> DataFrame:
-    """The two-key greedy deduplication (history.filter_new) over micro-batches: each is taken against the keys that those before took."""
-
-    def step(batch: DataFrame, n: int) -> None:
-        keys = batch.select(identity, fingerprint)
-        seen = _table(batch.sparkSession, f"{folder}/seen", n, keys)
-        taken = stored(filter_new(batch, seen, identity, fingerprint, seq), "taken")
-        taken.write.mode("overwrite").parquet(f"{folder}/taken/{n}")
-        seen.unionByName(taken.select(identity, fingerprint)).write.mode("overwrite").parquet(f"{folder}/seen/{n}")
-
-    _run(stream, step, checkpoint)
-    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/taken")
-
-
 def drained(stream: DataFrame, name: str, checkpoint: str, folder: str) -> DataFrame:
     """Everything that is there now, run to the end through the stream and read back from files."""
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{name}").option("path", f"{folder}/{name}").outputMode("append").trigger(availableNow=True).start()
