@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.work import small_or_not, written
+from tidemark.operators.ranks import numbered
 
 #: The first byte of a step of a proof: no sibling, sibling to the left, sibling to the right.
 NONE, LEFT, RIGHT = b"\x00", b"\x01", b"\x02"
@@ -42,28 +43,6 @@ def folded(leaf: Column, proof: Column) -> Column:
     return F.aggregate(proof, hexed(leaf), step)
 
 
-def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with tree (a number for each part, ascending with it), pos (its place in the part) and n (the part's rows).
-
-    Rows are dealt by ranges of part and order, so a part of any size is spread; only the counts of each range are added up.
-    Rows alike in all of these are told apart by a salt, so they can be spread too.
-    """
-    salted = rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
-    keys = ["part", *order, "salt"]
-    dealt = salted.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("salt").withColumn("at", F.monotonically_increasing_id())
-    dealt = written(dealt, "ordered").withColumn("run", F.shiftrightunsigned("at", 33))
-    runs = dealt.groupBy("part", "run").agg(F.min("at").alias("first"), F.count("*").alias("size"))
-    part = Window.partitionBy("part")
-    before = part.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(
-        F.col("part").alias("_part"), F.col("run").alias("_run"), "first", F.min("first").over(part).alias("tree"),
-        F.sum("size").over(part).alias("n"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"),
-    )
-    runs = small_or_not(written(runs, "runs"))
-    placed = dealt.join(runs, F.col("part").eqNullSafe(F.col("_part")) & (F.col("run") == F.col("_run")))
-    return placed.withColumn("pos", F.col("start") + F.col("at") - F.col("first")).drop("_part", "_run", "run", "at", "first", "start")
-
-
 def _levels(nodes: DataFrame) -> list[DataFrame]:
     """nodes (tree, pos, n, h) and all levels above, each written with its children's hashes, up to those where every tree has one node."""
     levels, most = [nodes], nodes.agg(F.max("n")).first()[0] or 1
@@ -123,11 +102,11 @@ def merkle_manifest(
         F.col(f"`{part_col}`").cast("string").alias("part"), F.col(f"`{id_col}`").alias("id"),
         leaf_of(*(F.col(f"`{c}`") for c in leaf_cols)).alias("h"), *(value.alias(name) for name, value in own.items()),
     )
-    levels = _levels(_numbered(written(leaves, "leaves"), ["id", "h"]))
+    levels = _levels(numbered(written(leaves, "leaves"), "part", ["id", "h"]))
     subroots = [level.where("n = 1").select(F.lit(0).alias("part"), F.col("tree").alias("id"), "h") for level in levels]
     for other in subroots[1:]:
         subroots[0] = subroots[0].unionByName(other)
-    tops = _levels(_numbered(written(subroots[0], "subroots"), ["id"]))
+    tops = _levels(numbered(written(subroots[0], "subroots"), "part", ["id"]))
     root = tops[-1].where("n = 1").select("tree", F.array().cast("array<binary>").alias("proof"), F.col("h").alias("root"))
     ends = _pushed(tops, root).select(F.col("id").alias("tree"), "proof", F.col("h").alias("subroot"), "root")
     out = _pushed(levels, written(ends, "tops"))
