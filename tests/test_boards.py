@@ -18,7 +18,8 @@ CASES = [
     ("workable", {"jobs": [{"shortcode": "w", "url": "u", "title": "T", "city": "Reno", "state": "NV", "country": "", "description": "<b>a</b>", "requirements": "r", "telecommuting": False}]}, {"location": "Reno, NV", "description": "a r", "remote": False}),
     ("recruitee", {"offers": [{"id": 5, "careers_url": "u", "title": "T", "city": "Bonn", "country": "Germany", "description": "a", "requirements": "b"}]}, {"source_id": "5", "location": "Bonn, Germany", "description": "a b"}),
     ("breezy", [{"_id": "z", "name": "T", "location": {"name": "Fort X, NC", "is_remote": True}, "published_date": "nonsense", "creation_date": "2024-03-01", "description": "d", "department": "D", "type": {"name": "Full-Time"}}],
-     {"url": "https://b.org/p/z", "location": "Fort X, NC", "remote": True, "posted_at": "2024-03-01 00:00:00", "description": "d\n\nDepartment: D. Employment type: Full-Time. Employment type: {\"name\":\"Full-Time\"}."}),
+     {"url": "https://b.org/p/z", "location": "Fort X, NC", "remote": True, "posted_at": "2024-03-01 00:00:00", "description": "d\n\nDepartment: D. Employment type: Full-Time."}),
+    ("breezy", [{"id": "y", "name": "T", "type": "Part-Time"}, {"id": "z", "name": "T", "type": {"label": "PRN"}}], {"description": "Employment type: Part-Time."}),
     ("rippling", {"results": [{"uuid": "r 1", "name": "T", "workLocation": {"label": "Remote"}, "employmentType": "FULL_TIME", "descriptionHtml": "h", "compensationDescription": "c"}]}, {"url": "https://b.org/jobs/r+1", "remote": True, "description": "h\n\nEmployment type: Full Time.", "compensation": "c"}),
     ("phenom", {"refineSearch": {"data": {"jobs": [{"jobId": "p", "title": "T", "city": "A", "state": "B", "descriptionTeaser": "t"}]}}}, {"url": "https://b.org/job/p", "location": "A, B", "description": "t"}),
     ("oraclecloud", {"items": [{"requisitionList": [{"Id": 9, "Title": "T", "workLocation": [{"TownOrCity": "A", "Country": "US"}], "ShortDescriptionStr": "s", "PostedDate": "2024-01-01"}]}]}, {"source_id": "9", "url": "https://b.org/job/9", "location": "A, US"}),
@@ -27,14 +28,14 @@ CASES = [
     ("usajobs", {"SearchResult": {"SearchResultItems": [{"MatchedObjectId": "u1", "MatchedObjectDescriptor": {
         "PositionTitle": "T", "PositionURI": "https://u", "OrganizationName": "Org", "DepartmentName": "Dep", "PositionLocationDisplay": "Fort X", "QualificationSummary": "q",
         "PositionRemuneration": [{"MinimumRange": "10", "MaximumRange": "20", "RateIntervalCode": "PH"}], "JobCategory": [{"Name": "A"}, {"Name": "B"}],
-        "UserArea": {"Details": {"MajorDuties": ["m", "n"], "TeleworkEligible": "false", "SecurityClearanceRequired": "Secret"}}}}]}},
-     {"employer": "Org", "department": "Dep", "compensation": "10 - 20 PH", "description": "q m n\n\nSecurity clearance: Secret. Telework eligible: false. Job category: A B."}),
+        "UserArea": {"Details": {"MajorDuties": ["m", "n"], "TeleworkEligible": "false", "SecurityClearanceRequired": "TS/SCI", "WhoMayApply": "USA"}}}}]}},
+     {"employer": "Org", "department": "Dep", "compensation": "10 - 20 PH", "description": "q m n Security clearance: TS/SCI. Telework eligible: false. Who may apply: USA. Job category: A B."}),
 ]
 
 
 @pytest.mark.parametrize("kind, payload, want", CASES)
 def test_kinds(spark, kind, payload, want):
-    (row,) = parsed(spark, kind, payload)
+    row, *_ = parsed(spark, kind, payload)
     got = row.asDict() | {"posted_at": row.posted_at and str(row.posted_at)}
     assert {k: got[k] for k in want} == want
 
@@ -65,6 +66,30 @@ def test_lists_with_details(spark):
     assert (row.url, row.location, row.compensation, row.description) == ("https://x.bamboohr.com/careers/7", "A, B", "$5", "full\n\nDepartment: D.")
 
 
+def _two_boards(spark):
+    pages = [("a", "https://a.org", [("/job/1", "A1"), ("/job/2", "A2")]), ("b", "https://b.org", [("/job/1", "B1"), ("/job/3", "B3")])]
+    kinds = "seq int, source string, employer string, base string, payload string"
+    listed = spark.createDataFrame([(k, f"workday:{name}", name, base, json.dumps({"jobPostings": [{"externalPath": p, "title": t} for p, t in jobs]})) for name, base, jobs in pages for k in (0, 1)], kinds)
+    info = lambda ident: json.dumps({"jobPostingInfo": {"jobReqId": ident}})
+    return listed, spark.createDataFrame([(f"workday:{n}", key, info(f"{n}{key}")) for n, key in (("a", "/job/1"), ("b", "/job/1"), ("b", "/job/3"), ("a", "/job/2"))], "source string, key string, payload string")
+
+
+@pytest.mark.parametrize("budget, served", [(None, 4), (1, 2), (0, 0)])
+def test_boards_with_equal_paths_keep_their_own_details(spark, budget, served):
+    listed, details = _two_boards(spark)
+    rows = boards.parse(boards.with_detail(listed, details, ("$.jobPostings",), ("$.externalPath",), ("$.jobPostingInfo",), budget=budget), "workday", base="base").collect()
+    got = {r.title: r.source_id for r in rows}
+    own = {"A1": "a/job/1", "A2": "a/job/2", "B1": "b/job/1", "B3": "b/job/3"}
+    kept = own if budget is None else {k: v for k, v in own.items() if k in ("A1", "B1")} if budget else {}
+    assert got == {t: kept.get(t, v[1:]) for t, v in own.items()} and len(kept) == served
+
+
+def test_side_loaded_records(spark):
+    rows = spark.createDataFrame([(1, "departments", "7"), (2, "departments", "8"), (3, None, None)], "id int, kind string, of string")
+    included = spark.createDataFrame([("departments", "7", "Ops"), ("departments", "7", None), ("locations", "8", "Reno")], "type string, id string, name string")
+    assert [r.department for r in boards.side_loaded(rows, included, "kind", "of", "name", "department").orderBy("id").collect()] == ["Ops", None, None]
+
+
 def test_personio(spark):
     xml = "<workzag-jobs><position><id>1</id><name>Coach</name><office>Remote</office><department>D</department><employmentType>FULL_TIME</employmentType><createdAt>2024-01-02</createdAt><jobDescriptions><jobDescription><name>Tasks</name><value><![CDATA[<p>run</p>]]></value></jobDescription><jobDescription><name>Empty</name><value></value></jobDescription></jobDescriptions></position><position><id>2</id></position></workzag-jobs>"
     (row,) = boards.personio(spark.createDataFrame([(xml, "personio:x", "E", "https://p.de/"), (None, "s", "E", "b")], "payload string, source string, employer string, base string")).collect()

@@ -112,13 +112,18 @@ def unescape(c: Column) -> Column:
 
 
 def html_to_text(c: Column | str) -> Column:
-    """Text of markup: character references decoded, scripts, styles and comments out, block tags as line ends; null is empty."""
+    """Text of markup: character references decoded, scripts, styles and comments out, block tags as line ends; null is empty.
+
+    A text without any tag is no markup: all its white space is single spaces.
+    """
     text = unescape(F.coalesce(_col(c), F.lit("")))
+    plain, raw = ~F.contains(text, F.lit("<")), text
     text = F.regexp_replace(text, r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|blockquote|pre)\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
     text = F.regexp_replace(text, r"[ \t\r\f\x0B\u00a0]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    text = F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    return F.when(plain, F.trim(F.regexp_replace(raw, r"(?U)\s+", " "))).otherwise(text)
 
 
 def deslugify(url: Column | str) -> Column:

@@ -45,14 +45,17 @@ def timeline(df: DataFrame, when: str, last: int = 120) -> DataFrame:
 def growth(df: DataFrame, value: str, when: str, days: int = 90, least: int = 3) -> DataFrame:
     """value, recent, prior, change for values that grew in the `days` before the last time over the `days` before those.
 
-    The windows hang on the latest time in the data, not on now; nothing is told below `least` dated rows.
+    Values are counted whatever their case and shown as spelled first in the recent window, of spellings of one time the least.  The windows hang on the
+    latest time in the data, not on now; nothing is told below `least` dated rows.
     """
     dated = df.where(F.col(when).isNotNull())
     anchor = dated.agg(F.max(when).alias("_last"), F.count("*").alias("_dated")).where(F.col("_dated") >= least)
     span = F.expr(f"interval {days} days")
     rows = dated.join(F.broadcast(anchor))  # a single row
     recent, prior = F.col(when) >= F.col("_last") - span, (F.col(when) < F.col("_last") - span) & (F.col(when) >= F.col("_last") - span - span)
-    counted = rows.where(F.col(value).isNotNull()).groupBy(F.lower(value).alias("value")).agg(F.count_if(recent).alias("recent"), F.count_if(prior).alias("prior"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.lower(value).alias("_k")).agg(
+        F.min_by(F.struct(value), F.struct((~recent).alias("old"), when, value))[value].alias("value"), F.count_if(recent).alias("recent"), F.count_if(prior).alias("prior")
+    ).drop("_k")
     return counted.withColumn("change", F.col("recent") - F.col("prior")).where("change > 0").orderBy(F.desc("change"), F.desc("recent"), "value")
 
 

@@ -206,16 +206,19 @@ def usajobs_payloads(spark: SparkSession, d: str) -> DataFrame:
     return boards.parse(payloads, "usajobs").select("source_id", "title", "employer", F.col("compensation").alias("pay"), "description")
 
 
-@query("""SELECT CASE WHEN c_custkey % 3 = 0 THEN 'R' || c_custkey ELSE '/job/' || c_custkey END AS source_id, 'https://w.org/job/' || c_custkey AS url, CASE WHEN c_custkey % 3 = 0 THEN 'Fort X' ELSE 'listed' END AS location FROM customer""")
+@query("""SELECT b AS source, CASE WHEN c_custkey % 3 = 0 THEN b || c_custkey ELSE '/job/' || c_custkey END AS source_id, 'https://' || b || '.org/job/' || c_custkey AS url, c_name AS title,
+    CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_mktsegment END AS location FROM customer, (VALUES ('x'), ('y')) boards(b)""")
 def workday_details(spark: SparkSession, d: str) -> DataFrame:
-    """Two search terms list every posting, a third of them have a detail page."""
-    c = table(spark, d, "customer").select(F.concat(F.lit("/job/"), "c_custkey").alias("externalPath"), F.col("c_name").alias("title"), F.lit("listed").alias("locationsText"), "c_custkey")
-    pages = c.groupBy((F.col("c_custkey") % 40).alias("page")).agg(F.collect_list(F.struct("externalPath", "title", "locationsText")).alias("jobPostings"))
-    listed = pages.withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1)))).select("seq", F.to_json(F.struct("jobPostings")).alias("payload"), F.lit("workday:x").alias("source"), F.lit("E").alias("employer"), F.lit("https://w.org").alias("base"))
-    info = F.struct(F.concat(F.lit("R"), "c_custkey").alias("jobReqId"), F.lit("Fort X").alias("location"))
-    details = c.where("c_custkey % 3 = 0").select(F.col("externalPath").alias("key"), F.to_json(F.struct(info.alias("jobPostingInfo"))).alias("payload"))
+    """Two boards with the same paths; two search terms list every posting, a third of them have a detail page."""
+    board = F.explode(F.array(F.lit("x"), F.lit("y")))
+    c = table(spark, d, "customer").withColumn("source", board).withColumn("externalPath", F.concat(F.lit("/job/"), "c_custkey"))
+    jobs = F.collect_list(F.struct("externalPath", F.col("c_name").alias("title"), F.col("c_mktsegment").alias("locationsText")))
+    pages = c.groupBy("source", (F.col("c_custkey") % 40).alias("page")).agg(jobs.alias("jobPostings")).withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1))))
+    listed = pages.select("seq", F.to_json(F.struct("jobPostings")).alias("payload"), "source", F.lit("E").alias("employer"), F.concat(F.lit("https://"), "source", F.lit(".org")).alias("base"))
+    info = F.struct(F.concat("source", "c_custkey").alias("jobReqId"), F.col("c_name").alias("location"))
+    details = c.where("c_custkey % 3 = 0").select("source", F.col("externalPath").alias("key"), F.to_json(F.struct(info.alias("jobPostingInfo"))).alias("payload"))
     merged = boards.with_detail(listed, details, ("$.jobPostings",), ("$.externalPath",), ("$.jobPostingInfo",))
-    return boards.parse(merged, "workday", base="base").select("source_id", "url", "location")
+    return boards.parse(merged, "workday", base="base").select("source", "source_id", "url", "title", "location")
 
 
 @query("""SELECT c_custkey AS page_id, 'C' || c_custkey AS source_id, c_name AS title, c_mktsegment AS employer, 'Reno, NV' AS location, round(c_acctbal, 2)::DOUBLE AS salary_min FROM customer WHERE c_custkey % 10 < 7""")

@@ -187,11 +187,11 @@ def month_movement(spark: SparkSession, d: str) -> DataFrame:
     return counts.month_movement(timeline_gapfill(spark, d))
 
 
-@query("""WITH a AS (SELECT max(ts) AS l FROM events), w AS (SELECT lower(props) AS p, user_id, ts, l FROM events, a),
-    c AS (SELECT 'u' || user_id AS value, count(*) FILTER (WHERE ts >= l - INTERVAL 5 DAY) AS recent, count(*) FILTER (WHERE ts < l - INTERVAL 5 DAY AND ts >= l - INTERVAL 10 DAY) AS prior FROM w GROUP BY 1)
+@query("""WITH a AS (SELECT max(ts) AS l FROM events), w AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'U' ELSE 'u' END || user_id AS who, ts, l FROM events, a),
+    c AS (SELECT arg_min(who, (ts < l - INTERVAL 5 DAY, ts, who)) AS value, count(*) FILTER (WHERE ts >= l - INTERVAL 5 DAY) AS recent, count(*) FILTER (WHERE ts < l - INTERVAL 5 DAY AND ts >= l - INTERVAL 10 DAY) AS prior FROM w GROUP BY lower(who))
     SELECT value, recent, prior, recent - prior AS change FROM c WHERE recent > prior""")
 def trend_growth(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("who", F.concat(F.lit("U"), "user_id"))
+    e = table(spark, d, "events").withColumn("who", F.concat(F.when(F.col("event_id") % 2 == 0, "U").otherwise("u"), "user_id"))
     return counts.growth(e, "who", "ts", days=5)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import tolerant_time
@@ -17,8 +17,9 @@ from tidemark.operators.history import first_of_each
 class FieldMap:
     """Where a kind keeps its fields.  Paths are JSON paths from a row; the first that holds something wins.
 
-    url_form makes a URL of {base} and {id} where no path gives one.  facts are labelled and put behind the description; statuses,
-    if given, are those that may be published (a row without a status is kept).  pay is (low, high, interval) paths.
+    url_form makes a URL of {base} and {id} where no path gives one.  facts are a label and paths, of which the first that holds something
+    counts; they are put behind the description, facts_apart as a paragraph of their own.  Codes such as FULL_TIME are made readable in the facts that
+    coded_facts names, all others stay as they are.  statuses, if given, are those that may be published (a row without a status is kept).  pay is (low, high, interval) paths.
     """
 
     rows: tuple[str, ...]
@@ -34,7 +35,9 @@ class FieldMap:
     remote: tuple[str, ...] = ()
     description: tuple[str, ...] = ()
     description_parts: tuple[str, ...] = ()
-    facts: tuple[tuple[str, str], ...] = ()
+    facts: tuple[tuple[str, ...], ...] = ()
+    coded_facts: tuple[str, ...] = ()
+    facts_apart: bool = True
     url_form: str = ""
     https_only: bool = False
     status: tuple[str, ...] = ()
@@ -88,7 +91,7 @@ KINDS: dict[str, FieldMap] = {
     "breezy": FieldMap(
         ("$.positions", "$.jobs", "$"), ("$.id", "$._id", "$.friendly_id"), ("$.url",), ("$.name", "$.title"), ("$.location.name",), ("$.location.city", "$.location.state.name", "$.location.country.name"),
         department=("$.department", "$.team"), posted_at=("$.published_date", "$.creation_date", "$.updated_date"), remote=("$.location.is_remote",), description=("$.description", "$.content"),
-        facts=(("Department", "$.department"), ("Employment type", "$.type.name"), ("Employment type", "$.type")), url_form="{base}/p/{id}",
+        facts=(("Department", "$.department"), ("Employment type", "$.type.name", "$.type.label", "$.type")), url_form="{base}/p/{id}",
     ),
     "jazzhr": FieldMap(
         ("$.jobs", "$"), ("$.id", "$.board_code"), title=("$.title", "$.job_title"), location_parts=("$.city", "$.state", "$.country"), department=("$.department",),
@@ -98,7 +101,7 @@ KINDS: dict[str, FieldMap] = {
     "rippling": FieldMap(
         ("$.jobs", "$.results", "$.data", "$"), ("$.uuid", "$.id"), ("$.url",), ("$.name", "$.title"), ("$.workLocation.label", "$.workLocation.name", "$.workLocation"), department=("$.department.label", "$.department.name", "$.department"),
         compensation=("$.compensationDescription", "$.salaryDescription", "$.compensation"), posted_at=("$.publishedAt", "$.postedAt", "$.createdAt", "$.updatedAt"), remote=("$.workLocationType",),
-        description=("$.descriptionHtml", "$.description"), facts=(("Department", "$.department.label"), ("Employment type", "$.employmentType"), ("Work location type", "$.workLocationType")), url_form="{base}/jobs/{id}",
+        description=("$.descriptionHtml", "$.description"), facts=(("Department", "$.department.label"), ("Employment type", "$.employmentType"), ("Work location type", "$.workLocationType")), coded_facts=("Employment type", "Work location type"), url_form="{base}/jobs/{id}",
     ),
     "usajobs": FieldMap(
         ("$.SearchResult.SearchResultItems",), ("$.MatchedObjectId", "$.MatchedObjectDescriptor.PositionID"), ("$.MatchedObjectDescriptor.PositionURI",), ("$.MatchedObjectDescriptor.PositionTitle",),
@@ -116,6 +119,7 @@ KINDS: dict[str, FieldMap] = {
                 ("Who may apply", "WhoMayApply"), ("Drug test required", "DrugTestRequired"),
             )
         ) + tuple((label, f"$.MatchedObjectDescriptor.{x}[*].Name") for label, x in (("Job category", "JobCategory"), ("Position schedule", "PositionSchedule"), ("Offering type", "PositionOfferingType"))),
+        facts_apart=False,
     ),
     "phenom": FieldMap(
         ("$.refineSearch.data.jobs", "$.data.jobs", "$.jobs"), ("$.jobId",), ("$.applyUrl",), location=("$.cityStateCountry", "$.location"), location_parts=("$.city", "$.state", "$.country"), department=("$.category",),
@@ -193,19 +197,28 @@ def resolve(payload: Column, dotted: str) -> Column:
 def with_detail(listed: DataFrame, details: DataFrame, rows: tuple[str, ...], key: tuple[str, ...], inside: tuple[str, ...] = ("$",), payload: str = "payload", budget: int | None = None) -> DataFrame:
     """One payload a row, a list of one {listing, detail}, of list payloads and detail payloads (key, payload).
 
-    Of listings with one key the first stays, by the order of `seq` (page, term) and place where listed has it.  The detail record lies at the first of
-    `inside` that is there; a listing without one has no detail.  With a budget only the first so many listings take theirs.
+    A board is told by the columns that both tables have besides: source, base or what else.  Keys count within a board, so boards that use one path
+    don't meet; details that hold nothing but key and payload serve every board.  Of a board's listings with one key the first stays, by the order of
+    `seq` (page, term) and place where listed has it.  The detail record lies at the first of `inside` that is there; of details repeated for
+    a listing the least text counts; a listing without one has no detail.  With a budget the first so many listings of each board take theirs.
     """
     order = ["seq"] if "seq" in listed.columns else []
     names = [c for c in listed.columns if c not in (payload, "seq")]
     one = listed.select(*names, *order, F.posexplode(rows_of(F.col(payload), rows)).alias("_at", "_listing")).withColumn("_key", first_of(F.col("_listing"), key))
     one = one.where("_key is not null").withColumn("_order", F.struct(*order, "_at"))
     one = first_of_each(one, [*names, "_key"], "_order")
-    found = details.select(F.col("key").alias("_key"), F.coalesce(*(F.when(F.get_json_object(payload, p).startswith("{"), F.get_json_object(payload, p)) for p in inside)).alias("_detail"))
-    out = one.join(found.groupBy("_key").agg(F.first("_detail", ignorenulls=True).alias("_detail")), "_key", "left")
+    board = [c for c in details.columns if c in names]
+    record = F.coalesce(*(F.when(F.get_json_object(payload, p).startswith("{"), F.get_json_object(payload, p)) for p in inside))
+    found = details.select(*(F.col(c).alias(f"_of_{c}") for c in board), F.col("key").alias("_for"), record.alias("_detail"))
+    found = found.groupBy(*(f"_of_{c}" for c in board), "_for").agg(F.min("_detail").alias("_detail"))
+    same = F.col("_key") == F.col("_for")
+    for c in board:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    out = one.join(found, same, "left")
     if budget is not None:
-        served = one.orderBy("_order").limit(budget).select("_key").distinct()
-        out = out.join(served.withColumn("_served", F.lit(True)), "_key", "left").withColumn("_detail", F.when(F.col("_served"), F.col("_detail")))
+        # Ties of order, listings of one place on several pages without seq, go by key.
+        place = F.row_number().over(Window.partitionBy(*names).orderBy("_order", "_key"))
+        out = out.withColumn("_detail", F.when(place <= budget, F.col("_detail")))
     text = F.concat(F.lit('[{"listing":'), F.col("_listing"), F.lit(',"detail":'), F.coalesce(F.col("_detail"), F.lit("null")), F.lit("}]"))
     return out.select(*names, text.alias(payload))
 
@@ -234,7 +247,7 @@ def parse(payloads: DataFrame, kind: FieldMap | str, payload: str = "payload", s
     place = F.coalesce(first_of(r, spec.location), parts)
     # A wildcard path gives a JSON list of texts, others one text.
     text = html_to_text(F.concat_ws(" ", first_of(r, spec.description), *(joined(r, p) for p in spec.description_parts)))
-    facts = F.concat_ws(" ", *(F.concat(F.lit(f"{label}: "), humane(joined(r, p)), F.lit(".")) for label, p in spec.facts))
+    facts = F.concat_ws(" ", *(_fact(r, label, paths, label in spec.coded_facts) for label, *paths in spec.facts))
     stated = first_of(r, spec.remote)
     pay = first_of(r, spec.compensation)
     if spec.pay:
@@ -244,28 +257,34 @@ def parse(payloads: DataFrame, kind: FieldMap | str, payload: str = "payload", s
     out = rows.select(
         source, ident.alias("source_id"), url.alias("url"), first_of(r, spec.title).alias("title"), F.coalesce(first_of(r, spec.employer), F.col(employer)).alias(employer),
         F.coalesce(place, F.lit("")).alias("location"), first_of(r, spec.department).alias("department"), F.nullif(pay, F.lit("")).alias("compensation"),
-        F.coalesce(*times, F.lit(None).cast("timestamp")).alias("posted_at"), stated.alias("_stated"), F.concat_ws("\n\n", F.nullif(text, F.lit("")), F.nullif(facts, F.lit(""))).alias("description"),
+        F.coalesce(*times, F.lit(None).cast("timestamp")).alias("posted_at"), stated.alias("_stated"), F.concat_ws("\n\n" if spec.facts_apart else " ", F.nullif(text, F.lit("")), F.nullif(facts, F.lit(""))).alias("description"),
     )
     is_remote = (F.lower("_stated") == "true") | looks_remote("location", "title", "_stated")
     return out.withColumn("remote", F.coalesce(is_remote, F.lit(False))).drop("_stated").where("url is not null and title is not null")
 
 
+def _fact(row: Column, label: str, paths: list[str], coded: bool) -> Column:
+    """A labelled sentence of the first path that holds something; null if none does."""
+    value = F.coalesce(*(joined(row, p) for p in paths))
+    return F.concat(F.lit(f"{label}: "), humane(value) if coded else value, F.lit("."))
+
+
 def humane(c: Column) -> Column:
     """FULL_TIME as Full Time; other texts stay."""
     return F.when(c.rlike("^[^a-z]*[A-Z][^a-z]*$") | F.contains(c, F.lit("_")), F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))).otherwise(c)
 
 
 def with_details(listed: DataFrame, details: DataFrame, paths: tuple[str, ...], key: str = "source_id", payload: str = "payload") -> DataFrame:
-    """Listed postings with the description of their detail payload where there is one (key, payload); else their own."""
+    """Listed postings with the description of their detail payload where there is one (key, payload; of several texts the least); else their own."""
     text = F.concat_ws(" ", *(path(F.col(payload), p) for p in paths))
-    texts = details.groupBy(key).agg(F.first(text, ignorenulls=True).alias("_text"))
+    texts = details.groupBy(key).agg(F.min(F.when(F.trim(text) != "", text)).alias("_text"))
     out = listed.join(texts, key, "left")
     return out.withColumn("description", F.when(F.trim("_text") != "", html_to_text("_text")).otherwise(F.col("description"))).select(*listed.columns)
 
 
 def side_loaded(rows: DataFrame, included: DataFrame, type_col: str, id_col: str, value: str, name: str) -> DataFrame:
-    """rows with `name`: the included record's value of the same (type, id)."""
-    index = included.groupBy("type", "id").agg(F.first(value, ignorenulls=True).alias(name))
+    """rows with `name`: the included record's value of the same (type, id), of repeats the least."""
+    index = included.groupBy("type", "id").agg(F.min(value).alias(name))
     return rows.join(index.withColumnsRenamed({"type": type_col, "id": id_col}), [type_col, id_col], "left")
 
 
