@@ -24,13 +24,7 @@ TEXTS = [
     ("Program Manager", "THOR3 under POTFF. PRN. High school diploma or GED.", "remote in us", "401(k)"),
 ]
 CERTIFICATIONS = ["CSCS", "ATC", "RD", "DPT", "", "PhD", "", ""]
-CLEARANCES = [None, "Secret", None, "TS/SCI", None, None, None, None]
 PAY = [(75000, 95000, "year"), (45, 45, "hour"), None, (None, 95000, "year"), None, (88000, 104000, "year"), (75000, 95000, "year"), None]
-EDUCATION = ["Bachelor", None, "Master", "Doctorate", None, "Doctorate", None, "High School"]
-YEARS = [5, None, 3, None, None, None, None, None]
-SCHEDULE = ["Full-time", "Part-time", None, None, None, None, None, "Per-diem"]
-PLACES = ["Fort Bragg", "Camp Lejeune", None, None, None, None, "Coronado", None]
-SERVICES = ["Army", "Marine Corps", None, None, None, None, "Navy", "Army"]
 PROGRAMS = ["H2F", None, None, None, None, None, None, "THOR3"]
 STATES = ["NC", "NC", None, None, "DC", "AK", "CA", None]
 DISCIPLINES = ["strength-conditioning", "athletic-training", "nutrition", "physical-therapy", "other", "sport-science", "human-performance", "other"]
@@ -65,36 +59,6 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-def _facts(spark: SparkSession, d: str, *fields: str) -> DataFrame:
-    return enrichment.enrich(_postings(spark, d)).select("c_custkey", *(F.col(f"enrichment.{f}") for f in fields))
-
-
-def _register(name: str, field: str, values: list, kind: str) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return _facts(spark, d, field)
-
-    run.__name__ = name
-    query(f"SELECT c_custkey, {_case(values, kind)} AS {field} FROM customer")(run)
-
-
-for _name, _field, _values, _kind in (
-    ("text_clearance", "clearance", CLEARANCES, "VARCHAR"), ("text_education", "education", EDUCATION, "VARCHAR"), ("text_years", "years_experience_min", YEARS, "INT"),
-    ("text_employment_type", "employment_type", SCHEDULE, "VARCHAR"), ("text_installation", "installation", PLACES, "VARCHAR"), ("text_service_branch", "service_branch", SERVICES, "VARCHAR"),
-    ("text_program", "program", PROGRAMS, "VARCHAR"),
-):
-    _register(_name, _field, _values, _kind)
-
-
-@query(f"SELECT c_custkey, {_case(CERTIFICATIONS, 'VARCHAR')} AS certifications FROM customer")
-def text_certifications(spark: SparkSession, d: str) -> DataFrame:
-    return _facts(spark, d, "certifications").withColumn("certifications", F.array_join("certifications", ","))
-
-
-@query("SELECT c_custkey, " + ", ".join(f"{_case([p and p[k] for p in PAY], kind)} AS {name}" for k, (name, kind) in enumerate((("salary_min", "DOUBLE"), ("salary_max", "DOUBLE"), ("salary_period", "VARCHAR")))) + " FROM customer")
-def text_salary(spark: SparkSession, d: str) -> DataFrame:
-    return _facts(spark, d, "salary_min", "salary_max", "salary_period")
-
-
 _FLOOR = [p and (p[0] if p[0] is not None else p[1]) * (2080 if p[2] == "hour" else 1) for p in PAY]
 
 
@@ -105,30 +69,46 @@ def posting_facets(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("location_classes", F.array_join("location_classes", ","))
 
 
-@query(f"SELECT c_custkey, {_case(STATES, 'VARCHAR')} AS state FROM customer")
-def state_codes(spark: SparkSession, d: str) -> DataFrame:
-    return _postings(spark, d).select("c_custkey", places.state_code(F.col("location")).alias("state"))
+_CODES = list(places.STATES.values())
 
 
-_STATUS, _FINAL = [200, 404, 410, 500, None, 200, 301, 200], "CASE WHEN c_custkey % 16 = 7 THEN 'https://a.org/jobs/search' ELSE 'https://a.org/jobs/posting-' || c_custkey END"
+@query(f"SELECT c_custkey, ({_CODES})[c_custkey % {len(_CODES)} + 1] AS state FROM customer")
+def state_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Every state behind a customer's name: its code, its name, its code with a ZIP, its name in capitals among words."""
+    c, at = table(spark, d, "customer"), (F.col("c_custkey") % len(_CODES)).cast("int")
+    code, name = F.get(F.array(*map(F.lit, _CODES)), at), F.get(F.array(*map(F.lit, places.STATES)), at)
+    forms = F.array(F.concat("c_name", F.lit(", "), code), F.concat("c_name", F.lit(", "), F.initcap(name)), F.concat_ws(" ", F.lit("Hall,"), code, F.lit("01234")), F.concat(F.lit("near "), F.upper(name), F.lit(", ground floor")))
+    return c.select("c_custkey", places.state_code(F.get(forms, F.expr(f"cast(c_custkey div {len(_CODES)} % 4 as int)"))).alias("state"))
 
 
-def _checked(spark: SparkSession, d: str) -> DataFrame:
-    body = _pick(["<p>open</p>", "", "", "", None, "<script>posting is closed</script>Sorry, this <b>job</b> is not available", "x", "<p>Apply now</p>"])
-    final = F.when(F.col("c_custkey") % 16 == 7, F.lit("https://a.org/jobs/search")).otherwise(F.col("url"))
-    return liveness.verdict(_postings(spark, d).select("url", _pick(_STATUS).alias("status"), body.alias("body"), final.alias("final_url")))
+_STATUS = [200, 404, 410, 500, None, 200, 301, 200]
+_STATUS_SQL = "([200, 404, 410, 500, NULL, 200, 301, 200])[page_id % 8 + 1]"
+_SAYS_SQL = "([" + ", ".join(f"'{m}'" for m in liveness.EXPIRED) + f"])[page_id % {len(liveness.EXPIRED)} + 1]"
+_STATE_SQL = f"CASE WHEN {_STATUS_SQL} IS NULL OR {_STATUS_SQL} = 500 THEN 'unknown' WHEN {_STATUS_SQL} IN (404, 410) OR page_id % 3 = 0 THEN 'gone' ELSE 'live' END"
 
 
-@query(f"""SELECT 'https://a.org/jobs/posting-' || c_custkey AS url, {_case(['live', 'gone', 'gone', 'unknown', 'unknown', 'gone', 'live', 'live'], 'VARCHAR')} AS state,
-    CASE WHEN c_custkey % 16 = 7 THEN 'redirected to https://a.org/jobs/search' ELSE {_case(['reachable', 'HTTP 404', 'HTTP 410', 'HTTP 500 (not a removal signal)', 'unreachable', "page says ''sorry, this job is not available''", 'reachable', 'reachable'], 'VARCHAR')} END AS reason,
-    {_case(_STATUS, 'INT')} AS http_status FROM customer""")
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's whole markup; a third of them end in one of the sentences that tell of an end."""
+    pages, number = table(spark, d, "pages"), F.col("page_id")
+    marker = F.get(F.array(*map(F.lit, liveness.EXPIRED)), (number % len(liveness.EXPIRED)).cast("int"))
+    body = F.concat(F.coalesce("html", F.lit("")), F.when(number % 3 == 0, F.concat(F.lit("<p>So <b>"), F.initcap(marker), F.lit("</b></p>"))).otherwise(F.lit("")))
+    url = F.concat(F.lit("https://a.org/jobs/posting-"), number)
+    final = F.when(number % 16 == 7, F.lit("https://a.org/jobs/search")).otherwise(url)
+    status = F.get(F.array(*map(F.lit, _STATUS)), (number % 8).cast("int"))
+    return liveness.verdict(pages.select(url.alias("url"), status.alias("status"), body.alias("body"), final.alias("final_url")))
+
+
+@query(f"""SELECT 'https://a.org/jobs/posting-' || page_id AS url, {_STATE_SQL} AS state, CASE WHEN {_STATUS_SQL} IS NULL THEN 'unreachable' WHEN {_STATUS_SQL} IN (404, 410) THEN 'HTTP ' || {_STATUS_SQL}
+    WHEN {_STATUS_SQL} = 500 THEN 'HTTP 500 (not a removal signal)' WHEN page_id % 3 = 0 THEN 'page says ''' || {_SAYS_SQL} || '''' WHEN page_id % 16 = 7 THEN 'redirected to https://a.org/jobs/search' ELSE 'reachable' END AS reason,
+    {_STATUS_SQL}::INT AS http_status FROM pages""")
 def liveness_verdict(spark: SparkSession, d: str) -> DataFrame:
     return _checked(spark, d)
 
 
-@query("SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'live' WHEN 6 THEN 'live' WHEN 7 THEN 'live' ELSE 'unknown' END AS state FROM customer WHERE c_custkey % 8 NOT IN (1, 2, 5)")
+@query(f"SELECT page_id, {_STATE_SQL} AS state FROM pages WHERE {_STATE_SQL} <> 'gone'")
 def board_recheck(spark: SparkSession, d: str) -> DataFrame:
-    return liveness.recheck(_postings(spark, d).select("c_custkey", "url"), _checked(spark, d)).select("c_custkey", "state")
+    board = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://a.org/jobs/posting-"), "page_id").alias("url"))
+    return liveness.recheck(board, _checked(spark, d)).select("page_id", "state")
 
 
 @query(f"""SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN 'legacy' ELSE (['workday:a', 'board:b', 'Lever:c'])[c_custkey % 3 + 1] END AS source,
@@ -242,9 +222,15 @@ def dot_paths(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", F.array_join(boards.resolve(F.col("p"), "sections[].body.text"), ",").alias("texts"), F.try_element_at(boards.resolve(F.col("p"), "names.-1"), F.lit(1)).alias("last"))
 
 
-@query("""SELECT c_custkey, (['#EAB308', '#10B981', '#ABCDEF', '#6B7280', '#6B7280', '#D946EF'])[c_custkey % 6 + 1] AS colour FROM customer""")
+_COLOURS = list(catalogue.COLOURS)
+
+
+@query(f"""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN printf('#%06X', c_custkey * 40503 % 16777216) WHEN 1 THEN ({[catalogue.COLOURS[x] for x in _COLOURS]})[c_custkey // 3 % {len(_COLOURS)} + 1]
+    ELSE '{catalogue.GREY}' END AS colour FROM customer""")
 def colours(spark: SparkSession, d: str) -> DataFrame:
-    said = _pick([" Yellow", "neon-green", "#abcdef", "#abc", "no colour", "FUCHSIA"])
+    """Six digits, every name, and names of customers, which are none."""
+    k, name = F.col("c_custkey"), F.get(F.array(*map(F.lit, _COLOURS)), F.expr(f"cast(c_custkey div 3 % {len(_COLOURS)} as int)"))
+    said = F.when(k % 3 == 0, F.format_string("#%06x", k * 40503 % 16777216)).when(k % 3 == 1, F.concat(F.lit(" "), F.initcap(name))).otherwise(F.col("c_name"))
     return table(spark, d, "customer").select("c_custkey", catalogue.normal_colour(said).alias("colour"))
 
 

@@ -461,4 +461,4 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     grouped = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "1 day"))
     return grouped.agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
-from tidemark import posting_queries  # noqa: E402, F401 - registers its queries here
+from tidemark import fact_queries, posting_queries  # noqa: E402, F401 - they register their queries here
