@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ranks import numbered
+from tidemark.operators.storage import stored
+
 
 def tally(df: DataFrame, value: str, order: str, top: int = 0) -> DataFrame:
     """value and n: counts whatever the case, shown in the spelling seen first by `order`; most first, then by name.  top 0 is all."""
@@ -24,13 +27,38 @@ def facet_share(df: DataFrame, tags: str, amount: str | None = None) -> DataFram
     return joined.select("tag", "n", F.round(F.col("n") / F.col("_base"), 4).alias("share"), F.round("_m", 2).alias("median_amount"))
 
 
+def quantiles(df: DataFrame, amount: str, shares: list[float], *by: str) -> DataFrame:
+    """by and `quantiles`, an array: exact quantiles, linear between ranks, of an amount that is not null, in total or by group.
+
+    Values are dealt by ranges of group and value and get their ranks from the ranges' counts (ranks.numbered); the two rows
+    around each share are picked by rank.  So a group of any size is spread, and no state holds more than a few numbers.
+    """
+    part = F.struct(*by) if by else F.lit(0)
+    ranked = numbered(df.where(F.col(amount).isNotNull()).select(part.alias("_group"), F.col(amount).cast("double").alias("_v")), "_group", ["_v"])
+    at = [F.lit(q) * (F.col("n") - 1) for q in shares]
+    ends = [(F.floor(x), F.ceil(x)) for x in at]
+    near = F.lit(False)
+    for low, high in ends:
+        near = near | (F.col("pos") == low) | (F.col("pos") == high)
+    picked = ranked.where(near).groupBy("_group", "n").agg(*(
+        F.max(F.when(F.col("pos") == end, F.col("_v"))).alias(f"_{k}{side}") for k, pair in enumerate(ends) for side, end in zip("lh", pair, strict=True)
+    ))
+    between = [F.col(f"_{k}l") + (F.col(f"_{k}h") - F.col(f"_{k}l")) * (x - F.floor(x)) for k, x in enumerate(at)]
+    return picked.select(*(F.col("_group")[b].alias(b) for b in by), F.array(*between).alias("quantiles"))
+
+
 def amount_stats(df: DataFrame, amount: Column, *by: str) -> DataFrame:
     """count, min, max, median, p25, p75 (linear between ranks) of an amount, in total or by group."""
-    rows = df.withColumn("_a", amount.cast("double")).where("_a is not null").groupBy(*by)
-    stats = rows.agg(F.count("*").alias("n"), F.min("_a").alias("lo"), F.max("_a").alias("hi"), F.percentile("_a", [0.25, 0.5, 0.75]).alias("_p"))
+    rows = stored(df.select(*by, amount.cast("double").alias("_a")).where("_a is not null"), "amounts")
+    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_a").alias("lo"), F.max("_a").alias("hi"))
+    middle = quantiles(rows, "_a", [0.25, 0.5, 0.75], *by).withColumnsRenamed({b: f"_{b}" for b in by})
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    stats = stats.join(middle, same, "left")
     return stats.select(
-        *by, "n", F.round("lo", 2).alias("min"), F.round("hi", 2).alias("max"), F.round(F.col("_p")[1], 2).alias("median"),
-        F.round(F.col("_p")[0], 2).alias("p25"), F.round(F.col("_p")[2], 2).alias("p75"),
+        *by, "n", F.round("lo", 2).alias("min"), F.round("hi", 2).alias("max"), F.round(F.col("quantiles")[1], 2).alias("median"),
+        F.round(F.col("quantiles")[0], 2).alias("p25"), F.round(F.col("quantiles")[2], 2).alias("p75"),
     )
 
 

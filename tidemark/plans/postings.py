@@ -42,11 +42,12 @@ def run(postings: DataFrame, seen: DataFrame, rules: Rules, now, auto_publish: b
     return {"scored": scored, "approved": approved, "review": review, "state": history.mark(seen, batch)}
 
 
-def insights(archive: DataFrame, top: int = 10, disciplines: list[str] | None = None, domains: list[str] | None = None) -> dict[str, DataFrame]:
+def insights(archive: DataFrame, top: int = 10, disciplines: list[str] | None = None, domains: list[str] | None = None, reports: set[str] | None = None) -> dict[str, DataFrame]:
     """Corpus reports over the newest record of each job (by fingerprint, else id, else url).
 
     The archive's records have seq, archived_at, posted_at, employer, title, location, remote, tags, and an enrichment struct; disciplines and
-    domains are the tags that count as such (all of them if not given).
+    domains are the tags that count as such (all of them if not given).  Of reports only those named are made, if any are: the quantiles of
+    pay take jobs of their own.
     """
     keyed = archive.withColumn("_job", F.coalesce("fingerprint", "id", "url", F.concat(F.lit("#"), F.col("seq"))))
     e = F.col("enrichment")
@@ -60,13 +61,14 @@ def insights(archive: DataFrame, top: int = 10, disciplines: list[str] | None =
     jobs = stored(jobs, "jobs")
     months = counts.timeline(jobs, "posted_at")
     each = jobs.select("salary", F.explode("disciplines").alias("discipline"))
-    return {
+    pay = {"salary": lambda: counts.amount_stats(jobs, F.col("salary")), "salary_by_discipline": lambda: counts.amount_stats(each, F.col("salary"), "discipline")}
+    made = {name: make() for name, make in pay.items() if reports is None or name in reports}
+    return made | {
         "totals": archive.agg(F.count("*").alias("postings")).crossJoin(jobs.agg(  # single rows
             F.count("*").alias("jobs"), F.count_distinct(F.lower("employer")).alias("employers"), F.count("salary").alias("with_salary"), F.min("posted_at").alias("first"), F.max("posted_at").alias("last"))),
         "employers": counts.by_employer(jobs, "employer", "disciplines", "salary", "seq", top),
         "disciplines": counts.facet_share(jobs, "disciplines", "salary"), "domains": counts.facet_share(jobs, "domains", "salary").drop("median_amount"),
         **{f"{name}s": counts.tally(jobs, name, "seq", top) for name in ("branch", "installation", "state", "clearance", "title")},
         "certifications": counts.share_of_any(jobs, "certifications", "seq", top), "remote": counts.flagged_share(jobs, "remote"),
-        "salary": counts.amount_stats(jobs, F.col("salary")), "salary_by_discipline": counts.amount_stats(each.where("salary is not null"), F.col("salary"), "discipline"),
         "timeline": months, "movement": counts.month_movement(months), "growth": counts.growth(jobs, "employer", "posted_at"),
     }

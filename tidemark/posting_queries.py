@@ -129,38 +129,38 @@ _JOBS = f"""p AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 3 = 0 THEN uppe
     jobs AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY job ORDER BY seq DESC) = 1)"""
 
 
-def _report(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return plans.insights(enrichment.enrich(_postings(spark, d)), top=0, disciplines=["nutrition", "strength"], domains=["army", "navy"])
+def _report(spark: SparkSession, d: str, *reports: str) -> dict[str, DataFrame]:
+    return plans.insights(enrichment.enrich(_postings(spark, d)), top=0, disciplines=["nutrition", "strength"], domains=["army", "navy"], reports=set(reports) or None)
 
 
 @query(f"WITH {_JOBS} SELECT arg_min(employer, seq) AS name, count(*) AS count, round(median(salary), 2) AS median_salary FROM jobs GROUP BY lower(employer)")
 def report_employers(spark: SparkSession, d: str) -> DataFrame:
-    return _report(spark, d)["employers"].drop("disciplines")
+    return _report(spark, d, "employers")["employers"].drop("disciplines")
 
 
 @query(f"WITH {_JOBS} SELECT certification AS name, count(*) AS count, round(count(*) / (SELECT count(*) FROM jobs WHERE certification <> ''), 4) AS share FROM jobs WHERE certification <> '' GROUP BY 1")
 def report_certifications(spark: SparkSession, d: str) -> DataFrame:
-    return _report(spark, d)["certifications"]
+    return _report(spark, d, "certifications")["certifications"]
 
 
 @query(f"WITH {_JOBS} SELECT state AS value, count(*) AS n FROM jobs WHERE state IS NOT NULL GROUP BY 1")
 def report_states(spark: SparkSession, d: str) -> DataFrame:
-    return _report(spark, d)["states"]
+    return _report(spark, d, "states")["states"]
 
 
 @query(f"WITH {_JOBS} SELECT count(*) FILTER (WHERE remote) AS count, round(count(*) FILTER (WHERE remote) / count(*), 4) AS share FROM jobs")
 def report_remote(spark: SparkSession, d: str) -> DataFrame:
-    return _report(spark, d)["remote"]
+    return _report(spark, d, "remote")["remote"]
 
 
 @query(f"WITH {_JOBS} SELECT discipline, count(*) AS n, min(salary) AS min, max(salary) AS max, median(salary) AS median FROM jobs WHERE salary IS NOT NULL GROUP BY 1")
 def report_salaries(spark: SparkSession, d: str) -> DataFrame:
-    return _report(spark, d)["salary_by_discipline"].select("discipline", "n", "min", "max", "median")
+    return _report(spark, d, "salary_by_discipline")["salary_by_discipline"].select("discipline", "n", "min", "max", "median")
 
 
 @query(f"WITH {_JOBS} SELECT (SELECT count(*) FROM p) AS postings, count(*) AS jobs, count(DISTINCT lower(employer)) AS employers, count(salary) AS with_salary FROM jobs")
 def report_totals(spark: SparkSession, d: str) -> DataFrame:
-    return _report(spark, d)["totals"].select("postings", "jobs", "employers", "with_salary")
+    return _report(spark, d, "totals")["totals"].select("postings", "jobs", "employers", "with_salary")
 
 
 @query("""WITH r AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1 ORDER BY t DESC LIMIT 25) SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM r)""")

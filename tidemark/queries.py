@@ -13,7 +13,7 @@ from tidemark.functions import money, text
 from tidemark.operators import awards, catalogue, counts, discover, facets, history, lexicon, search, similarity
 from tidemark.operators.storage import shared_folder
 from tidemark.session import table
-from tidemark.sources import captures
+from tidemark.sources import archive, captures
 from tidemark.streaming import events as streams
 from tidemark.streaming import state
 
@@ -405,6 +405,17 @@ def _event_stream(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
     return spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in"), folder
 
 
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE r = 1 OR b IS DISTINCT FROM event_type""")
+def archive_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """The events as an archive of JSON lines in several files, every hundredth line followed by a broken one; revisions by the order of writing."""
+    e, path = table(spark, d, "events").select("user_id", "event_id", "event_type"), f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    text = F.to_json(F.struct("user_id", "event_id", "event_type"))
+    broken = F.when(F.col("event_id") % 100 == 0, F.concat(text, F.lit("\n"), F.left(text, F.lit(20)))).otherwise(text)
+    e.repartitionByRange(5, "event_id").sortWithinPartitions("event_id").select(broken.alias("value")).write.text(path)
+    rows = archive.read(spark, path, "user_id long, event_id long, event_type string")
+    return history.revisions(rows, "user_id", "seq", "event_type").select("user_id", "event_id", "event_type")
+
+
 def _landed_stream(spark: SparkSession, d: str, batches: int = 4) -> tuple[DataFrame, str]:
     """The events in the order of their ids, landed in so many files one after the other, read one file a micro-batch."""
     events = table(spark, d, "events").select("event_id", "user_id", "event_type")
