@@ -52,9 +52,10 @@ def nearest(rows: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """The index of the nearest entry of the book (lower ones first) for each row of whole numbers, and the squared distance.
 
     A distance is never less than the distance of the segments' means and of the norms of what the means leave: the bound.
-    The coarsest one is taken for all entries; an entry whose bound exceeds the exact distance of the most promising
-    one is out, the others meet finer bounds, and what survives them all gets its exact distance.  Bounds are lowered by more
-    than rounding can add, so no nearest entry is lost.  Where sums of squares would leave 63 bits, all entries survive.
+    At each width, from coarse to fine, rows with several entries left get their bounds, as one product of matrices; the entry of the
+    least bound gets its exact distance, and entries whose bound exceeds the least exact distance so far are out.  What survives all
+    widths gets its exact distance.  Bounds are lowered by far more than rounding can add, so no nearest entry is lost.  Where
+    sums of squares would leave 63 bits, all entries survive.
     """
     n, length = rows.shape
     if not n or not length or len(book) == 1:
@@ -62,24 +63,20 @@ def nearest(rows: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(n, dtype=np.int64), np.einsum("ij,ij->i", d, d)
     most = int(max(np.abs(rows).max(), np.abs(book).max(), 1))
     bounded = length * length * most * most < 1 << 62
-    at, entry = np.divmod(np.arange(n * len(book)), len(book)) if not bounded else (None, None)
-    best = None
+    alive, least, open_ = np.ones((n, len(book)), dtype=bool), np.full(n, np.iinfo(np.int64).max), np.arange(n)
     for width in _widths(length) if bounded else []:
-        (mx, rx), (mc, rc) = _segments(rows, width), _segments(book, width)
-        if at is None:
-            bound = np.zeros((n, len(book)))
-            for s in range(mx.shape[1]):
-                bound += (mx[:, s, None] - mc[:, s]) ** 2 + (rx[:, s, None] - rc[:, s]) ** 2
-            d = rows - book[bound.argmin(axis=1)]
-            best = np.einsum("ij,ij->i", d, d)
-            at, entry = np.nonzero(bound * (1 - 1e-12) - 0.01 * mx.shape[1] <= best[:, None])
-        else:
-            a, b = mx[at] - mc[entry], rx[at] - rc[entry]
-            bound = np.einsum("ij,ij->i", a, a) + np.einsum("ij,ij->i", b, b)
-            ok = bound * (1 - 1e-12) - 0.01 * mx.shape[1] <= best[at]
-            at, entry = at[ok], entry[ok]
-    if at is None:  # one component: the coarsest bound is the distance
-        at, entry = np.divmod(np.arange(n * len(book)), len(book))
+        x, c = (np.hstack(_segments(v, width)) for v in (rows[open_], book))
+        x2, c2 = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", c, c)
+        bound = x @ (-2 * c.T) + c2  # less x2, the same for all entries of a row
+        bound[~alive[open_]] = np.inf
+        d = rows[open_] - book[bound.argmin(axis=1)]
+        least[open_] = np.minimum(least[open_], np.einsum("ij,ij->i", d, d))
+        slack = 1e-11 * (x2 + c2.max()) + 1
+        alive[open_] = kept = bound <= (least[open_] - x2 + slack)[:, None]
+        open_ = open_[np.count_nonzero(kept, axis=1) > 1]
+        if not len(open_):
+            break
+    at, entry = np.nonzero(alive)
     d = rows[at] - book[entry]
     exact = np.einsum("ij,ij->i", d, d)
     starts = np.searchsorted(at, np.arange(n))
