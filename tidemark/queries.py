@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import money, text
 from tidemark.operators import awards, catalogue, counts, discover, facets, history, lexicon, search, similarity
-from tidemark.operators.storage import shared_folder
+from tidemark.operators.storage import shared_folder, spread
 from tidemark.session import table
-from tidemark.sources import archive, captures
+from tidemark.sources import archive, captures, markup
 from tidemark.streaming import events as streams
 from tidemark.streaming import state
 
@@ -416,6 +416,20 @@ def archive_revisions(spark: SparkSession, d: str) -> DataFrame:
     return history.revisions(rows, "user_id", "seq", "event_type").select("user_id", "event_id", "event_type")
 
 
+def page_region(key: int) -> str:
+    """Markup that a third of the pages end in for page_details: a description, its last paragraph left open."""
+    return f'<div id="job-Body"><h2>Part {key}</h2><form>no</form><p>{f"word{key} " * 30}</div>' if key % 3 == 0 else ""
+
+
+@query()
+def page_details(spark: SparkSession, d: str) -> DataFrame:
+    """The description of every page, whole: of its region where it has one, else of the page without its chrome."""
+    key = F.col("page_id").cast("string")
+    region = F.concat(F.lit('<div id="job-Body"><h2>Part '), key, F.lit("</h2><form>no</form><p>"), F.repeat(F.concat(F.lit("word"), key, F.lit(" ")), 30), F.lit("</div>"))
+    pages = spread(table(spark, d, "pages")).withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.when(F.col("page_id") % 3 == 0, region).otherwise(F.lit(""))))
+    return markup.with_detail_text(pages).select("page_id", "detail")
+
+
 def _landed_stream(spark: SparkSession, d: str, batches: int = 4) -> tuple[DataFrame, str]:
     """The events in the order of their ids, landed in so many files one after the other, read one file a micro-batch."""
     events = table(spark, d, "events").select("event_id", "user_id", "event_type")
