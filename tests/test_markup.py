@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import queries
+from tidemark.functions.text import html_to_text
 from tidemark.sources import markup
 
 DATA = "/root/testdata/sf0.001"
@@ -14,8 +15,9 @@ DATA = "/root/testdata/sf0.001"
 class Words(HTMLParser):
     """Words of a page outside of chrome, and of each element named like a description."""
 
-    def __init__(self, page):
+    def __init__(self, page, chrome=tuple(markup.CHROME)):
         super().__init__(convert_charrefs=True)
+        self.chrome = chrome
         self.path, self.page, self.regions = [], [], []
         self.feed(page)
         self.close()
@@ -24,7 +26,7 @@ class Words(HTMLParser):
         if tag in markup.VOID:
             return
         named = "".join(c for k, v in attrs if k in ("class", "id", "itemprop") for c in (v or "").lower() if c.isalnum() and c.isascii())
-        hidden = any(t in markup.CHROME for t, _ in (*self.path, (tag, None)))
+        hidden = any(t in self.chrome for t, _ in (*self.path, (tag, None)))
         region = [] if not hidden and any(h in named for h in markup.HINTS) else None
         if region is not None:
             self.regions.append(region)
@@ -36,7 +38,7 @@ class Words(HTMLParser):
             del self.path[at[-1] :]
 
     def handle_data(self, data):
-        if not any(t in markup.CHROME for t, _ in self.path):
+        if not any(t in self.chrome for t, _ in self.path):
             for words in (self.page, *(r for _, r in self.path if r is not None)):
                 words += data.split()
 
@@ -52,6 +54,13 @@ def test_details_of_all_pages(spark):
         assert "".join(got[key].split()) == "".join(want), key
 
 
+def test_texts_of_all_pages(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    for r in pages.select("page_id", "html", html_to_text("html").alias("text")).collect():
+        read = Words(r.html or "", ("script", "style", "noscript", "template"))
+        assert "".join(r.text.split()) == "".join(read.page), r.page_id
+
+
 CASES = [
     ("<div class='job-description'><p>one<li>two</div>three", ["p/2", "li/3"], "one\ntwo"),
     ("a<nav>b<div id=jobDetail>c</div></nav>d", [], "a d"),

@@ -245,7 +245,9 @@ def slugify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.slugify("p_name").alias("slug"))
 
 
-@query()
+@query(r"""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', '') AS path FROM pages),
+    s AS (SELECT page_id, regexp_replace(list_filter(string_split(path, '/'), lambda x: regexp_matches(x, '[a-zA-Z]{3}'))[-1], '\.[a-z]{2,5}$', '') AS slug FROM u)
+    SELECT page_id, array_to_string(list_transform(list_filter(string_split_regex(slug, '[-_+]+'), lambda w: w <> '' AND NOT regexp_matches(w, '^[0-9]+$')), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM s""")
 def deslugify_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.deslugify("url").alias("title"))
 
