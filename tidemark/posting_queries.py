@@ -171,7 +171,7 @@ def award_leads(spark: SparkSession, d: str) -> DataFrame:
     return awards.leads(o, shown).select("o_orderkey")
 
 
-@query("""SELECT c_custkey::VARCHAR AS source_id, c_name AS title, 'Org ' || c_mktsegment AS employer, round(c_acctbal, 2)::VARCHAR || ' PA' AS pay, 'q ' || c_mktsegment || ' n' || chr(10) || chr(10) || 'Travel: yes.' AS description FROM customer""")
+@query("""SELECT c_custkey::VARCHAR AS source_id, c_name AS title, 'Org ' || c_mktsegment AS employer, round(c_acctbal, 2)::VARCHAR || ' PA' AS pay, 'q ' || c_mktsegment || ' n Travel: yes.' AS description FROM customer""")
 def usajobs_payloads(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     details = F.struct(F.struct(F.array("c_mktsegment", F.lit("n")).alias("MajorDuties"), F.lit("yes").alias("TravelCode")).alias("Details"))
