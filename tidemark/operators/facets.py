@@ -10,17 +10,17 @@ from tidemark.functions.places import home_pattern, overseas_pattern
 #: Words that mark a senior title.
 LEAD_WORDS = ["lead", "senior", "sr", "principal", "head", "chief", "director", "manager", "supervisor", "coordinator"]
 LEAD = r"(?i)\b(?:" + "|".join(LEAD_WORDS) + r")\b"
-#: Disciplines in the order in which they win, by label and what names them.  Capitals between angle brackets stand apart from other letters.
+#: Disciplines in the order in which they win, by label, what names them, and capitals that name them where no letter stands beside.
 DISCIPLINES = [
-    ("cognitive-performance", "Cognitive Performance", [r"\bcognitive performance\b", r"\bmental performance\b", r"\bperformance psycholog", r"\bsport psycholog", r"\bCPS\b", r"\bR2PC\b", r"\bmaster resilience trainer\b"]),
-    ("behavioral-health", "Behavioral Health", [r"\blicensed clinical social worker\b", "<LCSW>", r"\bbehavioral health\b", r"\bclinical psycholog", r"\bmental health (?:counselor|clinician|provider)\b", r"\bsubstance abuse counselor\b"]),
-    ("nutrition", "Performance Nutrition", [r"\bdietit", r"\bdietic", r"\bnutrition", "<RDN?>"]),
-    ("physical-therapy", "Physical Therapy", [r"\bphysical therap", r"\bphysiotherap", "<DPT>", r"\bPT\s*/\s*", r"\brehabilitation specialist\b"]),
-    ("occupational-therapy", "Occupational Therapy", [r"\boccupational therap", "<OTR?/?L?>"]),
-    ("athletic-training", "Athletic Training", [r"\bathletic train", "<ATC>"]),
-    ("strength-conditioning", "Strength & Conditioning", [r"\bstrength\s*(?:and|&)\s*conditioning\b", r"\bstrength coach\b", r"\bconditioning coach\b", "<CSCS>", "<TSAC(?:-F)?>", r"\bS\s*&\s*C\b"]),
-    ("sport-science", "Sport Science", [r"\bsports? scien", r"\bbiomechan", r"\bexercise physiolog", r"\bphysiologist\b", r"\bperformance analyst\b", r"\bkinesiolog", r"\bdata scientist\b"]),
-    ("human-performance", "Human Performance (generalist)", [r"\bhuman performance\b", r"\bperformance specialist\b", r"\bperformance coach\b", r"\bHPO\b", r"\bH2F\b", r"\bperformance expert\b", r"\bperformance advisor\b"]),
+    ("cognitive-performance", "Cognitive Performance", [r"\bcognitive performance\b", r"\bmental performance\b", r"\bperformance psycholog", r"\bsport psycholog", r"\bCPS\b", r"\bR2PC\b", r"\bmaster resilience trainer\b"], []),
+    ("behavioral-health", "Behavioral Health", [r"\blicensed clinical social worker\b", r"\bbehavioral health\b", r"\bclinical psycholog", r"\bmental health (?:counselor|clinician|provider)\b", r"\bsubstance abuse counselor\b"], ["LCSW"]),
+    ("nutrition", "Performance Nutrition", [r"\bdietit", r"\bdietic", r"\bnutrition"], ["RDN?"]),
+    ("physical-therapy", "Physical Therapy", [r"\bphysical therap", r"\bphysiotherap", r"\bPT\s*/\s*", r"\brehabilitation specialist\b"], ["DPT"]),
+    ("occupational-therapy", "Occupational Therapy", [r"\boccupational therap"], ["OTR?/?L?"]),
+    ("athletic-training", "Athletic Training", [r"\bathletic train"], ["ATC"]),
+    ("strength-conditioning", "Strength & Conditioning", [r"\bstrength\s*(?:and|&)\s*conditioning\b", r"\bstrength coach\b", r"\bconditioning coach\b", r"\bS\s*&\s*C\b"], ["CSCS", "TSAC(?:-F)?"]),
+    ("sport-science", "Sport Science", [r"\bsports? scien", r"\bbiomechan", r"\bexercise physiolog", r"\bphysiologist\b", r"\bperformance analyst\b", r"\bkinesiolog", r"\bdata scientist\b"], []),
+    ("human-performance", "Human Performance (generalist)", [r"\bhuman performance\b", r"\bperformance specialist\b", r"\bperformance coach\b", r"\bHPO\b", r"\bH2F\b", r"\bperformance expert\b", r"\bperformance advisor\b"], []),
 ]
 #: Words of postings that wait for a contract, of awards, of checks at hiring, of posts that are paid for.
 PIPELINE = (
@@ -48,8 +48,12 @@ HEAD_CHARS = 400
 
 
 def _spaced(pattern: str) -> str:
-    """A pattern whose spaces stand for any white space, and <X> for X apart from other letters."""
-    return pattern.replace("<", "(?<![A-Za-z])(?:").replace(">", ")(?![A-Za-z])").replace(" ", r"\s+")
+    """A pattern whose spaces stand for any white space."""
+    return pattern.replace(" ", r"\s+")
+
+
+def _apart(pattern: str) -> str:
+    return f"(?<![A-Za-z])(?:{pattern})(?![A-Za-z])"
 
 
 def first_class(title: Column, body: Column, classes: list[tuple[str, list[str]]]) -> Column:
@@ -63,11 +67,12 @@ def first_class(title: Column, body: Column, classes: list[tuple[str, list[str]]
 
 def discipline(title: Column, description: Column) -> Column:
     """The slug of the first discipline named in the title, else in the description's first 400 characters, else `other`."""
-    return F.coalesce(first_class(F.coalesce(title, F.lit("")), description, [(slug, [_spaced(p) for p in patterns]) for slug, _, patterns in DISCIPLINES]), F.lit("other"))
+    classes = [(slug, [*map(_spaced, patterns), *map(_apart, capitals)]) for slug, _, patterns, capitals in DISCIPLINES]
+    return F.coalesce(first_class(F.coalesce(title, F.lit("")), description, classes), F.lit("other"))
 
 
 def discipline_label(slug: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for slug_, label, _ in DISCIPLINES for x in (slug_, label))), slug), F.lit("Other"))
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for slug_, label, _, _ in DISCIPLINES for x in (slug_, label))), slug), F.lit("Other"))
 
 
 def contingency_of(*texts: Column) -> Column:
