@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import duckdb
