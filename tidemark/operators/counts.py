@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.money import rounded
 from tidemark.operators.ranks import numbered
 from tidemark.operators.storage import stored
 
@@ -24,7 +25,7 @@ def facet_share(df: DataFrame, tags: str, amount: str | None = None) -> DataFram
     base = keep.agg(F.count("*").alias("_base"))
     counted = keep.select(F.explode("_tags").alias("tag"), "_a").groupBy("tag").agg(F.count("*").alias("n"), F.median("_a").alias("_m"))
     joined = counted.join(F.broadcast(base))  # a single row
-    return joined.select("tag", "n", F.round(F.col("n") / F.col("_base"), 4).alias("share"), F.round("_m", 2).alias("median_amount"))
+    return joined.select("tag", "n", rounded(F.col("n") / F.col("_base"), 4).alias("share"), rounded(F.col("_m"), 2).alias("median_amount"))
 
 
 def quantiles(df: DataFrame, amount: str, shares: list[float], *by: str) -> DataFrame:
@@ -57,8 +58,8 @@ def amount_stats(df: DataFrame, amount: Column, *by: str) -> DataFrame:
         same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
     stats = stats.join(middle, same, "left")
     return stats.select(
-        *by, "n", F.round("lo", 2).alias("min"), F.round("hi", 2).alias("max"), F.round(F.col("quantiles")[1], 2).alias("median"),
-        F.round(F.col("quantiles")[0], 2).alias("p25"), F.round(F.col("quantiles")[2], 2).alias("p75"),
+        *by, "n", rounded(F.col("lo"), 2).alias("min"), rounded(F.col("hi"), 2).alias("max"), rounded(F.col("quantiles")[1], 2).alias("median"),
+        rounded(F.col("quantiles")[0], 2).alias("p25"), rounded(F.col("quantiles")[2], 2).alias("p75"),
     )
 
 
@@ -92,7 +93,7 @@ def month_movement(months: DataFrame) -> DataFrame:
     before = F.lag("n").over(Window.orderBy("month"))  # at most the 120 rows of a time line
     out = months.withColumn("_b", before).withColumn("change", F.col("n") - F.col("_b"))
     return out.select(
-        "month", "n", "change", F.when(F.col("_b") != 0, F.round(F.col("change") / F.col("_b"), 4)).alias("ratio"),
+        "month", "n", "change", F.when(F.col("_b") != 0, rounded(F.col("change") / F.col("_b"), 4)).alias("ratio"),
         F.when(F.col("change") > 0, "up").when(F.col("change") < 0, "down").when(F.col("change") == 0, "flat").alias("direction"),
     )
 
@@ -108,7 +109,7 @@ def share_of_any(df: DataFrame, values: str, seq: str, top: int = 0) -> DataFram
     each = rows.select(F.col(seq).alias("_seq"), F.explode(distinct_spellings(F.col(values))).alias("_v"))
     any_row = rows.agg(F.count("*").alias("_any"))
     out = tally(each, "_v", "_seq", top).crossJoin(F.broadcast(any_row))  # a single row
-    return out.select(F.col("value").alias("name"), F.col("n").alias("count"), F.round(F.col("n") / F.col("_any"), 4).alias("share"))
+    return out.select(F.col("value").alias("name"), F.col("n").alias("count"), rounded(F.col("n") / F.col("_any"), 4).alias("share"))
 
 
 def distinct_spellings(values: Column) -> Column:
@@ -121,7 +122,7 @@ def distinct_spellings(values: Column) -> Column:
 def by_employer(df: DataFrame, employer: str, disciplines: str, pay: str, seq: str, top: int = 0) -> DataFrame:
     """name (first spelling), count, disciplines (most frequent first) and median_salary of each employer whatever the case."""
     rows = df.where(F.trim(F.coalesce(F.col(employer), F.lit(""))) != "").withColumn("_k", F.lower(F.trim(employer)))
-    main = rows.groupBy("_k").agg(F.min_by(F.trim(employer), seq).alias("name"), F.count("*").alias("count"), F.round(F.median(pay), 2).alias("median_salary"))
+    main = rows.groupBy("_k").agg(F.min_by(F.trim(employer), seq).alias("name"), F.count("*").alias("count"), rounded(F.median(pay), 2).alias("median_salary"))
     each = rows.select("_k", F.explode(disciplines).alias("d")).groupBy("_k", "d").agg(F.count("*").alias("n"))
     ranked = each.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "d"))), lambda x: x["d"]).alias("disciplines"))
     out = main.join(ranked, "_k", "left").select("name", "count", F.coalesce("disciplines", F.array().cast("array<string>")).alias("disciplines"), "median_salary")
@@ -131,7 +132,7 @@ def by_employer(df: DataFrame, employer: str, disciplines: str, pay: str, seq: s
 
 def flagged_share(df: DataFrame, flag: str) -> DataFrame:
     """One row: count of rows with the flag and their share; no rows give a share of 0."""
-    return df.agg(F.count_if(F.col(flag)).alias("count"), F.coalesce(F.round(F.try_divide(F.count_if(F.col(flag)), F.count("*")), 4), F.lit(0.0)).alias("share"))
+    return df.agg(F.count_if(F.col(flag)).alias("count"), F.coalesce(rounded(F.try_divide(F.count_if(F.col(flag)), F.count("*")), 4), F.lit(0.0)).alias("share"))
 
 
 def days_ago(then: Column, now: Column) -> Column:

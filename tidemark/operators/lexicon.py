@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.matching import Trie, in_blocks, names_by_text, sums_by_text
+from tidemark.functions.money import rounded
 from tidemark.functions.text import haystack
 from tidemark.operators.storage import spread
 
@@ -114,4 +115,4 @@ def score_awards(df: DataFrame, text: str, program: dict[str, float], discipline
         df = df.withColumn(name, hits)
     (p, p_hits), (d, d_hits), (c, _) = (once_axis(terms, families, F.col(name)) for terms, name in zip(axes, names, strict=True))
     named = (F.size(p_hits) > 0) | (F.size(d_hits) > 0)
-    return df.withColumn("award_score", F.when(named, F.round(p + d + F.least(c, F.lit(cap)), 2)).otherwise(F.lit(0.0))).drop("_hay", *names)
+    return df.withColumn("award_score", F.when(named, rounded(p + d + F.least(c, F.lit(cap)), 2)).otherwise(F.lit(0.0))).drop("_hay", *names)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.money import rounded
 from tidemark.operators.storage import spread
 
 #: Characters of a body that are searched; worth of a whole-query hit, of a token in the name and in the description; limits.
@@ -34,7 +35,7 @@ def rank(df: DataFrame, query: str, name: str, description: str, body: str, extr
         low = F.lower(F.coalesce(F.col(column), F.lit("")))
         score = reduce(lambda s, t: s + F.when(F.contains(low, F.lit(t)), worth).otherwise(zero), tokens, score)
     rows = rows.withColumn("_raw", score).where("_raw > 0")
-    rows = rows.withColumn("score", F.round(F.col("_raw") + 1 / F.sqrt(F.greatest(F.size("_held"), F.lit(1)).cast("double")), 6)).drop("_text", "_held", "_raw")
+    rows = rows.withColumn("score", rounded(F.col("_raw") + 1 / F.sqrt(F.greatest(F.size("_held"), F.lit(1)).cast("double")), 6)).drop("_text", "_held", "_raw")
     return rows.orderBy(F.desc("score"), *order).limit(min(max(limit, 1), MOST_LIMIT))
 
 
