@@ -34,3 +34,8 @@ def test_recipients_without_any_amount_have_no_total(agree):
         customer="SELECT k::BIGINT AS c_custkey, 'C' || k AS c_name, 'm' AS c_mktsegment FROM range(3) r(k)",
         orders="SELECT k::BIGINT AS o_orderkey, k % 3 AS o_custkey, 'O' AS o_orderstatus, TIMESTAMP '2024-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority, 2.5::DOUBLE AS o_totalprice FROM (VALUES (7), (14), (3), (5)) r(k)")
     assert sum("None" in row for row in made) == 1
+
+
+def test_balances_just_below_zero_keep_their_sign(agree):
+    made = agree("usajobs_payloads", customer="SELECT k::BIGINT AS c_custkey, 'C' || k AS c_name, 'm' AS c_mktsegment, (['-0.0', '-0.004', '0.0', '1.005', '-81.865'])[k]::DOUBLE AS c_acctbal FROM range(1, 6) r(k)")
+    assert sum("'-0.0 PA'" in row for row in made) == 2

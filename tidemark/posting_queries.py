@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import enrichment, places
+from tidemark.functions.money import rounded
 from tidemark.operators import awards, catalogue, facets, liveness
 from tidemark.plans import postings as plans
 from tidemark.queries import query
@@ -175,7 +176,7 @@ def award_leads(spark: SparkSession, d: str) -> DataFrame:
 def usajobs_payloads(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     details = F.struct(F.struct(F.array("c_mktsegment", F.lit("n")).alias("MajorDuties"), F.lit("yes").alias("TravelCode")).alias("Details"))
-    pay = F.array(F.struct(F.round("c_acctbal", 2).cast("string").alias("MinimumRange"), F.lit("PA").alias("RateIntervalCode")))
+    pay = F.array(F.struct(rounded(F.col("c_acctbal"), 2).cast("string").alias("MinimumRange"), F.lit("PA").alias("RateIntervalCode")))
     inner = F.struct(
         F.col("c_name").alias("PositionTitle"), F.concat(F.lit("https://u/"), "c_custkey").alias("PositionURI"), F.concat(F.lit("Org "), "c_mktsegment").alias("OrganizationName"),
         F.lit("q").alias("QualificationSummary"), pay.alias("PositionRemuneration"), details.alias("UserArea"),
@@ -207,7 +208,7 @@ def json_ld_pages(spark: SparkSession, d: str) -> DataFrame:
     node = F.struct(
         F.lit("JobPosting").alias("@type"), F.struct(F.concat(F.lit("C"), "c_custkey").alias("value")).alias("identifier"), F.col("c_name").alias("title"), F.struct(F.col("c_mktsegment").alias("name")).alias("hiringOrganization"),
         F.struct(F.struct(F.lit("Reno").alias("addressLocality"), F.lit("NV").alias("addressRegion")).alias("address")).alias("jobLocation"),
-        F.struct(F.struct(F.round("c_acctbal", 2).alias("minValue"), F.lit("YEAR").alias("unitText")).alias("value")).alias("baseSalary"),
+        F.struct(F.struct(rounded(F.col("c_acctbal"), 2).alias("minValue"), F.lit("YEAR").alias("unitText")).alias("value")).alias("baseSalary"),
     )
     held = F.when(F.col("c_custkey") % 10 < 7, F.to_json(F.struct(F.array(node).alias("@graph")))).when(F.col("c_custkey") % 10 == 7, F.lit("{broken")).otherwise(F.lit('{"@type": "Person"}'))
     pages = table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit('<p>x</p><script type="application/ld+json">'), held, F.lit("</script>")).alias("html"))
