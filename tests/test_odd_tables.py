@@ -39,3 +39,10 @@ def test_recipients_without_any_amount_have_no_total(agree):
 def test_balances_just_below_zero_keep_their_sign(agree):
     made = agree("usajobs_payloads", customer="SELECT k::BIGINT AS c_custkey, 'C' || k AS c_name, 'm' AS c_mktsegment, (['-0.0', '-0.004', '0.0', '1.005', '-81.865'])[k]::DOUBLE AS c_acctbal FROM range(1, 6) r(k)")
     assert sum("'-0.0 PA'" in row for row in made) == 2
+
+
+def test_figures_in_addresses_are_no_pay(agree):
+    # Id 2 plants a floor at 15838 % (length + 1) characters: right behind an address, a bare figure and a chain of numbers.
+    for before in ("ab.39@mail9.example.com x", "about 36 xx", "call 555-92 x", "at 36.151.1"):
+        text = next(t for n in range(400) for t in [before + "y" * n] if 15838 % (len(t) + 1) == len(before))
+        agree("text_salary", documents=f"SELECT 2::BIGINT AS doc_id, '{text}' AS text, 'en' AS lang, 's' AS source, 1::BIGINT AS n_chars")
