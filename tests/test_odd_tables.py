@@ -3,7 +3,12 @@
 import duckdb
 import pytest
 
-from tidemark import queries
+from tidemark import posting_queries, queries
+from tidemark.functions import enrichment
+from tidemark.operators.storage import spread
+from tidemark.plans import postings
+
+DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -46,3 +51,18 @@ def test_figures_in_addresses_are_no_pay(agree):
     for before in ("ab.39@mail9.example.com x", "about 36 xx", "call 555-92 x", "at 36.151.1"):
         text = next(t for n in range(400) for t in [before + "y" * n] if 15838 % (len(t) + 1) == len(before))
         agree("text_salary", documents=f"SELECT 2::BIGINT AS doc_id, '{text}' AS text, 'en' AS lang, 's' AS source, 1::BIGINT AS n_chars")
+
+
+def test_postings_are_dealt_to_all_cores(spark):
+    assert "RoundRobinPartitioning" in posting_queries._postings(spark, DATA)._jdf.queryExecution().toString()
+    wide = spark.range(10).hint("x").crossJoin(spark.range(40_000_000).withColumnRenamed("id", "b"))
+    assert "RoundRobin" not in spread(wide)._jdf.queryExecution().toString() and "RoundRobin" in spread(wide, 10**6)._jdf.queryExecution().toString()
+
+
+def test_reports_read_only_the_facts_that_they_show(spark):
+    archive = posting_queries._postings(spark, DATA)
+    bare = postings.insights(archive, top=0, reports={"certifications", "totals"})
+    assert set(bare) == {"certifications", "totals"}
+    whole = postings.insights(enrichment.enrich(archive), top=0)
+    for name, frame in bare.items():
+        assert sorted(map(str, frame.collect())) == sorted(map(str, whole[name].collect()))

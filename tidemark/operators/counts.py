@@ -114,9 +114,14 @@ def share_of_any(df: DataFrame, values: str, seq: str, top: int = 0) -> DataFram
 
 def distinct_spellings(values: Column) -> Column:
     """An array without repeats whatever the case: of each the first spelling, in the order of first places; blanks go."""
+
+    def firsts(solid: Column) -> Column:
+        low = F.transform(solid, lambda x: F.lower(x))
+        return F.filter(solid, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+    # As a lambda's variable, so that what the values are made of is worked out once and not for each place.
     solid = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
-    low = F.transform(solid, lambda x: F.lower(x))
-    return F.filter(solid, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return F.get(F.transform(F.array(solid), firsts), F.lit(0))
 
 
 def by_employer(df: DataFrame, employer: str, disciplines: str, pay: str, seq: str, top: int = 0) -> DataFrame:
