@@ -5,6 +5,7 @@ import pytest
 
 from tidemark import posting_queries, queries
 from tidemark.functions import enrichment
+from tidemark.operators import similarity
 from tidemark.operators.storage import spread
 from tidemark.plans import postings
 
@@ -66,3 +67,17 @@ def test_reports_read_only_the_facts_that_they_show(spark):
     whole = postings.insights(enrichment.enrich(archive), top=0)
     for name, frame in bare.items():
         assert sorted(map(str, frame.collect())) == sorted(map(str, whole[name].collect()))
+
+
+def test_best_match_joins_shared_passages_as_one(agree, spark, monkeypatch):
+    seen = {}
+    kept = similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, name: seen.setdefault(name, kept(df, name)))
+    # A passage of 40 words in every text, a copy of each fourth text, own words in all.
+    text = "(SELECT string_agg('p' || j, ' ') FROM range(40) x(j)) || ' ' || (SELECT string_agg('w' || (k - k % 4 * (k % 8 // 4)) || 'x' || j, ' ') FROM range(30) x(j))"
+    docs = f"SELECT k::BIGINT AS doc_id, {text} AS text FROM range(200) r(k)"
+    for limit in (400_000, 10):
+        seen.clear()
+        monkeypatch.setattr(similarity, "BROADCAST_ROWS", limit)
+        agree("best_match", documents=docs)
+        assert seen["shared"].count() < seen["held"].count() / 20
