@@ -81,3 +81,21 @@ def test_best_match_joins_shared_passages_as_one(agree, spark, monkeypatch):
         monkeypatch.setattr(similarity, "BROADCAST_ROWS", limit)
         agree("best_match", documents=docs)
         assert seen["shared"].count() < seen["held"].count() / 20
+
+
+def cut(before: str, behind: str, rest: int, of: int) -> str:
+    """SQL for a document whose planted fact comes between the two; its key leaves a rest."""
+    text, key = next((t, k) for n in range(9) for t in [before + behind + "Y" * n] for k in range(rest + of, 9_999, of) if k * 7919 % (len(t) + 1) == len(before))
+    return f"SELECT {key}::BIGINT AS doc_id, '{text}' AS text, 'en' AS lang, 's' AS source, 1::BIGINT AS n_chars"
+
+
+def stated(spark, field, texts):
+    rows = [(i, "Worker", t, "", "") for i, t in enumerate(texts)]
+    frame = enrichment.enrich(spark.createDataFrame(rows, "i int, title string, description string, location string, compensation string"))
+    return [r[0] for r in frame.orderBy("i").select(f"enrichment.{field}").collect()]
+
+
+def test_words_in_capitals_cut_in_two_are_no_degree(agree, spark):
+    agree("text_education", documents=" UNION ALL ".join(cut("WAS!! THIN", "GED" + behind, k, 25) for k, behind in ((6, "!! ST!! THNTONHE!! "), (12, ",!! at"), (18, ". THE!! "))))
+    said = ["GED", "Needs:\nGED\nCPR and first aid", "HOLDS A GED OR A HIGH SCHOOL PAPER, NO DEGREE AT ALL", "IN!! GED!! TION!!", "a GED!!"]
+    assert stated(spark, "education", said) == ["High School"] * 3 + [None, "High School"]
