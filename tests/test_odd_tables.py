@@ -99,3 +99,8 @@ def test_words_in_capitals_cut_in_two_are_no_degree(agree, spark):
     agree("text_education", documents=" UNION ALL ".join(cut("WAS!! THIN", "GED" + behind, k, 25) for k, behind in ((6, "!! ST!! THNTONHE!! "), (12, ",!! at"), (18, ". THE!! "))))
     said = ["GED", "Needs:\nGED\nCPR and first aid", "HOLDS A GED OR A HIGH SCHOOL PAPER, NO DEGREE AT ALL", "IN!! GED!! TION!!", "a GED!!"]
     assert stated(spark, "education", said) == ["High School"] * 3 + [None, "High School"]
+
+
+def test_telephone_numbers_are_no_contract(agree, spark):
+    agree("text_employment_type", documents=cut("call +1 (202) 555-1099 now ", "x", 2, 4))
+    assert stated(spark, "employment_type", ["W-2/1099", "a 1099 position", "1099-NEC", "202.555.1099", "202 555 1099"]) == ["Contract"] * 3 + [None] * 2
