@@ -104,3 +104,10 @@ def test_words_in_capitals_cut_in_two_are_no_degree(agree, spark):
 def test_telephone_numbers_are_no_contract(agree, spark):
     agree("text_employment_type", documents=cut("call +1 (202) 555-1099 now ", "x", 2, 4))
     assert stated(spark, "employment_type", ["W-2/1099", "a 1099 position", "1099-NEC", "202.555.1099", "202 555 1099"]) == ["Contract"] * 3 + [None] * 2
+
+
+def test_figures_behind_a_line_end_or_letters_are_no_pay(agree, spark):
+    places = ("+1 (202) 555", "-0011 th"), ("th ", "and 4970008931099239 "), ("AKIAVRUXPZJN36K th ", ""), ("+1 (202) 555-0011 k", "eit")
+    agree("text_salary", documents=" UNION ALL ".join(cut(before, behind, 2, 3) for before, behind in places))
+    said = ["US$61,000 - $72,500 per year", "pay: $61,000\n- $72,500 per year", "pay: 61,000 -\n72,500 per year", "pay 61K to 72K", "KEY61K"]
+    assert stated(spark, "salary_min", said) == [61000.0] * 4 + [None] and stated(spark, "salary_max", said) == [72500.0] * 3 + [72000.0, None]
