@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidemark import posting_queries, queries
+from tidemark import fact_queries, posting_queries, queries
 from tidemark.functions import enrichment
 from tidemark.operators import similarity
 from tidemark.operators.storage import spread
@@ -111,3 +111,11 @@ def test_figures_behind_a_line_end_or_letters_are_no_pay(agree, spark):
     agree("text_salary", documents=" UNION ALL ".join(cut(before, behind, 2, 3) for before, behind in places))
     said = ["US$61,000 - $72,500 per year", "pay: $61,000\n- $72,500 per year", "pay: 61,000 -\n72,500 per year", "pay 61K to 72K", "KEY61K"]
     assert stated(spark, "salary_min", said) == [61000.0] * 4 + [None] and stated(spark, "salary_max", said) == [72500.0] * 3 + [72000.0, None]
+
+
+def test_service_terms_hold_no_words_of_others(agree, spark):
+    terms = [term for _, term in fact_queries.SERVED]
+    for before, behind in (("la tionle. Airéè, ", "trer"), ("la air", "éè trer")):
+        agree("text_service_branch", documents=cut(before, behind, terms.index("force fitness"), len(terms)))
+    said = ["Serve the Air\nForce.", "in the air,\nforce fitness", "holistic health & fitness", "éarmyé"]
+    assert stated(spark, "service_branch", said) == ["Air Force", "Marine Corps", "Army", None]
