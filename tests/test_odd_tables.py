@@ -119,3 +119,19 @@ def test_service_terms_hold_no_words_of_others(agree, spark):
         agree("text_service_branch", documents=cut(before, behind, terms.index("force fitness"), len(terms)))
     said = ["Serve the Air\nForce.", "in the air,\nforce fitness", "holistic health & fitness", "éarmyé"]
     assert stated(spark, "service_branch", said) == ["Air Force", "Marine Corps", "Army", None]
+
+
+def test_best_match_compares_rows_of_the_same_frequent_runs_as_one(agree, spark, monkeypatch):
+    seen = {}
+    kept = similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, name: seen.setdefault(name, kept(df, name)))
+    # Up to three passages, own words of several lengths, copies of some texts; sizes and so similarities are often equal.
+    passages = " || ".join(f"CASE WHEN k % {n} < 2 THEN (SELECT string_agg('{p}' || j, ' ') FROM range({30 + n}) x(j)) || ' ' ELSE '' END" for n, p in ((3, "p"), (5, "q"), (7, "s")))
+    docs = f"SELECT k::BIGINT AS doc_id, {passages} || coalesce((SELECT string_agg('w' || (k - k % 3 * (k % 11 // 8)) || 'x' || j, ' ') FROM range(k % 13) x(j)), '') AS text FROM range(1000) r(k)"
+    for rare, limit in ((0, 400_000), (0.02, 10), (2, 10)):
+        seen.clear()
+        monkeypatch.setattr(similarity, "RARE_ROWS", rare)
+        monkeypatch.setattr(similarity, "BROADCAST_ROWS", limit)
+        agree("best_match", documents=docs)
+        assert seen["alike"].count() < seen["shared"].count() / 4
+        assert (seen["alike"].count() > 0) == (rare < 2)
